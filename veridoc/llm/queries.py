@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veridoc.llm.packing import op10_packing
+from veridoc.llm.secrets import op8_secrets
 from veridoc.llm.simhash import op5_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_simhash": op5_simhash,
+        "op8_secrets": op8_secrets,
         "op10_packing": op10_packing,
     }
 
