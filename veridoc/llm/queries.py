@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veridoc.llm.decontaminate import op7_decontamination
 from veridoc.llm.packing import op10_packing
+from veridoc.llm.quality import op4_quality
 from veridoc.llm.secrets import op8_secrets
 from veridoc.llm.simhash import op5_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_quality": op4_quality,
         "op5_simhash": op5_simhash,
+        "op7_decontamination": op7_decontamination,
         "op8_secrets": op8_secrets,
         "op10_packing": op10_packing,
     }
