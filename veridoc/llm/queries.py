@@ -11,10 +11,12 @@ from veridoc.llm.packing import op10_packing
 from veridoc.llm.quality import op4_quality
 from veridoc.llm.secrets import op8_secrets
 from veridoc.llm.simhash import op5_simhash
+from veridoc.llm.urlfilter import op1_sql, op1_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": op1_url_filter,
         "op4_quality": op4_quality,
         "op5_simhash": op5_simhash,
         "op7_decontamination": op7_decontamination,
@@ -24,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filter": op1_sql()}
