@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the supplied tables, by a path that only Spark has to understand."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,11 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors.
 
-    The folder's path is kept on the result for ``discard``.
+    Its shuffle files go as soon as it is written. The folder's path is kept on the result for ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veridoc-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.veridoc_path = path
     return out

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veridoc.llm.decontaminate import op7_decontamination
+from veridoc.llm.neighbours import op3_neighbours
 from veridoc.llm.packing import op10_packing
 from veridoc.llm.quality import op4_quality
 from veridoc.llm.secrets import op8_secrets
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
         "op2_warc": op2_warc,
+        "op3_neighbours": op3_neighbours,
         "op4_quality": op4_quality,
         "op5_simhash": op5_simhash,
         "op6_toxicity": op6_toxicity,
