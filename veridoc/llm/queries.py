@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from veridoc.llm.decontaminate import op7_decontamination
 from veridoc.llm.neighbours import op3_neighbours
 from veridoc.llm.packing import op10_packing
+from veridoc.llm.pitman_yor import op9_language_model
 from veridoc.llm.quality import op4_quality
 from veridoc.llm.secrets import op8_secrets
 from veridoc.llm.simhash import op5_simhash
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op7_decontamination": op7_decontamination,
         "op8_secrets": op8_secrets,
+        "op9_language_model": op9_language_model,
         "op10_packing": op10_packing,
     }
 
