@@ -1,22 +1,25 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-A text is its lower-cased words, each spelled in bytes and closed by a space, then an end byte; the model
-predicts each byte from the four before it. Every context is a restaurant whose parent is the context
-without its farthest byte, down to the empty context over a uniform base. Seating is sampled by Gibbs:
-the customers of each dish sit down anew, given the other tables and the parent's predictions, and the
-tables are the parent's customers. Predictive probabilities are averaged over the last samples.
-
-How it runs: documents are dealt to blocks of bounded text. A block asks for the counts of its distinct
-words and byte 5-grams; requests are packed by (block, destination) and destinations add them up.
-A destination holds whole subtrees of contexts (those that end in the same two bytes), so all restaurants
-of two bytes and more are sampled there; those of one and no byte, 256 x 257 dishes at most, are
-sampled on the driver between rounds. Answers go back packed, and each block scores its documents.
-Every n-gram and word of the training documents is counted; nothing grows on the driver.
+A text is its words (A-Z lower-cased) and an end; a word that no training document has is one symbol,
+the unknown word, as in the add-one base. Each is a customer of the word restaurant. Its base measure
+gives the unknown word a share that makes a new word as likely as words seen once say (Good-Turing), and
+the rest to the known words by a spelling model, scaled to them: a word's bytes, closed by a space, are
+predicted one by one from the up to four before them. Every spelling context is a restaurant whose parent is the context without its
+farthest byte, down to the empty context over a uniform base. Seating is sampled by Gibbs: the customers
+of each dish sit down anew, given the other tables and the parent's predictions, and the tables are the
+parent's customers (a word's tables are spelled once each). Predictive probabilities are averaged over
+the last samples.
+
+How it runs: documents are dealt to blocks of bounded text. A block asks for its distinct words;
+requests are packed by (block, word destination), where their counts are added up. Word destinations
+ask gram destinations, which hold whole subtrees of contexts (those that end in the same two bytes), for
+the probabilities of their words' byte 5-grams, in rounds; the restaurants of one and no byte, 256 x 257
+dishes at most, are sampled on the driver. The words' probabilities go back packed, and each block scores
+its documents. Every word of every training document is counted; nothing grows on the driver.
 
 Cases: a null text counts as empty (the end alone); a null id counts as the empty id in the fold;
-repeated rows are scored each; without training documents the base is that of zero counts and the
-model is uniform; an empty table gives no rows; other columns are not read. Words are told apart by
-64-bit hashes.
+repeated rows are scored each; without training documents the base is that of zero counts and every
+token is the unknown word, with certainty; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,16 +37,18 @@ from pyspark.sql import functions as F
 from veridoc.llm.common import crc_mod, discard, materialize, table
 
 FOLDS, HELD = 7, 2
-END = b"\n"
+END = b""  # as a word
+PAD = b"\n"
 CONTEXT = 4
 SYMBOLS = 252  # bytes but white space, and the two closers
 DISCOUNTS = (0.2, 0.35, 0.5, 0.6, 0.7)
 STRENGTHS = (1.0, 1.0, 1.0, 1.0, 0.5)
-ROUNDS, SWEEPS, SAMPLES = 3, 4, 2
+ROUNDS, SWEEPS, SAMPLES = 3, 4, 3
+WORD_STRENGTH = 1.0
 BLOCK_BYTES = 6_000_000
-CHUNK_BYTES = 1_000_000
-#: Requests that one destination takes, about, and how many a block makes.
-DEST_REQUESTS, BLOCK_REQUESTS = 1_500_000, 320_000
+CHUNK_WORDS = 100_000
+#: Blocks whose requests one word destination takes, and word destinations for one gram destination.
+BLOCKS_A_DEST, DESTS_A_GRAM_DEST = 6, 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,9 +73,9 @@ def words_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def spell(words: list[bytes]) -> bytes:
-    """The bytes that the model predicts, after a context of ends."""
-    return END * CONTEXT + b"".join([b" ".join(words[:-1]), b" " if len(words) > 1 else b"", END])
+def spell(word: bytes) -> bytes:
+    """The bytes that the spelling model predicts, after an empty context."""
+    return PAD * CONTEXT + (word + b" " if word else PAD)
 
 
 def grams(spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,18 +92,6 @@ def grams(spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys[inside[:n]], np.repeat(np.arange(len(spelled)), sizes - CONTEXT)
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
-    at, part, size = 0, [], 0
-    for i, t in enumerate(texts):
-        part.append(words_of(t))
-        size += len(t or "")
-        if size >= CHUNK_BYTES:
-            yield at, part
-            at, part, size = i + 1, [], 0
-    if part:
-        yield at, part
-
-
 def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and the sums of their counts."""
     if not len(keys):
@@ -109,32 +102,8 @@ def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first)
 
 
-def features(texts: list[str | None], train: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted word hashes and training counts, sorted 5-grams and training counts of a block."""
-    counts: Counter[bytes] = Counter()
-    others: set[bytes] = set()
-    keys, sums = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for at, part in _chunks(texts):
-        for words, t in zip(part, train[at:]):
-            (counts if t else others).update(words)
-        for learned in (True, False):
-            own = [spell(w) for w, t in zip(part, train[at:]) if t == learned]
-            if own:
-                k, c = np.unique(grams(own)[0], return_counts=True)
-                keys.append(k)
-                sums.append(c if learned else np.zeros_like(c))
-        if len(keys) > 8:
-            k, c = _added(np.concatenate(keys), np.concatenate(sums))
-            keys, sums = [k], [c]
-    k, c = _added(np.concatenate(keys), np.concatenate(sums))
-    words = list(counts.keys() | others)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    w, n = _added(hashes, np.fromiter((counts.get(x, 0) for x in words), np.int64, len(words)))
-    return w, n, k, c
-
-
-def _word_dest(hashes: np.ndarray, n: int) -> np.ndarray:
-    return ((hashes >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
+def _word_dest(words: list[bytes], n: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh32_intdigest, words), np.int64, len(words)) % n
 
 
 def _gram_dest(keys: np.ndarray, n: int) -> np.ndarray:
@@ -143,40 +112,94 @@ def _gram_dest(keys: np.ndarray, n: int) -> np.ndarray:
     return (((pair + np.uint64(1)) * _MIX >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
 
-REQUESTS = "block int, dest int, words binary, word_counts binary, grams binary, gram_counts binary"
+def _join(words: list[bytes]) -> bytes:
+    return zstandard.compress(b"\n".join(words), 1)
+
+
+def _split(data: bytes) -> list[bytes]:
+    return zstandard.decompress(data).split(b"\n")
+
+
+REQUESTS = "block int, dest int, words binary, counts binary"
+
+
+def _by_dest(words: list[bytes], dests: int) -> list[tuple[int, np.ndarray]]:
+    """The rows of sorted words that go to each destination."""
+    of = _word_dest(words, dests)
+    order = np.argsort(of, kind="stable")
+    edges = np.searchsorted(of[order], np.arange(dests + 1))
+    return [(d, order[edges[d] : edges[d + 1]]) for d in range(dests) if edges[d] < edges[d + 1]]
 
 
 def _requests(dests: int):
     def run(rows: pa.Table) -> pa.Table:
-        w, n, k, c = features(rows.column("text").to_pylist(), rows.column("train").to_pylist())
-        wd, kd = _word_dest(w, dests), _gram_dest(k, dests)
+        counts: Counter[bytes] = Counter()
+        others: set[bytes] = set()
+        for text, train in zip(rows.column("text"), rows.column("train")):
+            (counts if train.as_py() else others).update(words_of(text.as_py()))
+        words = sorted(counts.keys() | others)
+        n = np.fromiter((counts.get(w, 0) for w in words), np.int64, len(words))
         block = rows.column("block")[0].as_py()
-        out = []
-        for d in range(dests):
-            i, j = wd == d, kd == d
-            if i.any() or j.any():
-                out.append((block, d, w[i].tobytes(), _pack(n[i]), _deltas(k[j]), _pack(c[j])))
-        kinds = (pa.int32(), pa.int32(), *(pa.binary(),) * 4)
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["block", "dest", "words", "word_counts", "grams", "gram_counts"])
+        out = [(block, d, _join([words[i] for i in at.tolist()]), _pack(n[at])) for d, at in _by_dest(words, dests)]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "dest", "words", "counts"])
 
     return run
 
 
-SUMS = "kind string, block int, dest int, a binary, b binary, tokens long, types long"
-_SUM_KINDS = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+WORDS = "dest int, words binary, counts binary, spelled binary, tables binary, tokens long, types long, once long, twice long, n_tables array<long>, mass double"
+_WORD_KINDS = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64())
+_WORD_NAMES = [x.split()[0] for x in WORDS.split(", ")]
+
+
+def _word_row(dest: int, words: bytes, counts: np.ndarray, spelled: np.ndarray, tables: np.ndarray) -> pa.Table:
+    """A word destination's state; tables has a row for each sample."""
+    row = (dest, words, _pack(counts), _pack(spelled), _pack(tables.astype(np.int64)), int(counts.sum()), int((counts > 0).sum()), int((counts == 1).sum()), int((counts == 2).sum()), tables.sum(1).astype(int).tolist(), float((10 ** spelled[counts > 0].astype(np.float64)).sum()))
+    return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(row, _WORD_KINDS)], names=_WORD_NAMES)
 
 
 def _summed(rows: pa.Table) -> pa.Table:
-    """A destination's sums: the words' go back to each block, the 5-grams' stay for the sampler."""
-    dest = rows.column("dest")[0].as_py()
-    blocks = rows.column("block").to_pylist()
-    asked = [np.frombuffer(x, np.uint64) for x in rows.column("words").to_pylist()]
-    given = [_unpack(x, np.int64) for x in rows.column("word_counts").to_pylist()]
-    w, n = _added(np.concatenate(asked), np.concatenate(given))
-    out = [("word", b, dest, _pack(n[np.searchsorted(w, x)]), None, None, None) for b, x in zip(blocks, asked)]
-    k, c = _added(np.concatenate([_keys(x) for x in rows.column("grams").to_pylist()]), np.concatenate([_unpack(x, np.int64) for x in rows.column("gram_counts").to_pylist()]))
-    out.append(("gram", None, dest, _deltas(k), _pack(c), int(n.sum()), int((n > 0).sum())))
-    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), _SUM_KINDS)], names=["kind", "block", "dest", "a", "b", "tokens", "types"])
+    """The distinct words of a word destination with their training counts, a table each."""
+    total: dict[bytes, int] = {}
+    for data, n in zip(rows.column("words"), rows.column("counts")):
+        for w, c in zip(_split(data.as_py()), _unpack(n.as_py(), np.int64).tolist()):
+            total[w] = total.get(w, 0) + c
+    words = sorted(total)
+    counts = np.fromiter((total[w] for w in words), np.int64, len(words))
+    return _word_row(rows.column("dest")[0].as_py(), _join(words), counts, np.zeros(len(words), np.float32), np.minimum(counts, 1)[None, :])
+
+
+def _word_grams(words: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """In parts: the first word's number, the 5-grams of the words, and their words' numbers in the part."""
+    for at in range(0, len(words), CHUNK_WORDS):
+        yield at, *grams([spell(w) for w in words[at : at + CHUNK_WORDS]])
+
+
+def _distinct_grams(words: list[bytes], weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct 5-grams of the words, and the sums of their words' weights."""
+    keys, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for at, k, row in _word_grams(words):
+        n = np.zeros(len(k), np.int64) if weights is None else weights[at + row]
+        k, n = _added(k, n)
+        keys, sums = _added(np.concatenate([keys, k]), np.concatenate([sums, n]))
+    return keys, sums
+
+
+GRAMS = "block int, dest int, grams binary, counts binary"
+
+
+def _gram_requests(dests: int):
+    """What a word destination asks each gram destination for, with its words' tables as customers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, words, tables in zip(*(batch.column(x).to_pylist() for x in ("dest", "words", "tables"))):
+                words = _split(words)
+                keys, sums = _distinct_grams(words, _unpack(tables, np.int64).reshape(-1, len(words))[-1])
+                of = _gram_dest(keys, dests)
+                out = [(block, d, _deltas(keys[of == d]), _pack(sums[of == d])) for d in np.unique(of).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "dest", "grams", "counts"])
+
+    return run
 
 
 def seat(customers: np.ndarray, weight: np.ndarray, discount: float, draw: np.random.Generator) -> np.ndarray:
@@ -239,7 +262,7 @@ class Subtrees:
             dishes, up = np.unique(self.levels[-1].dishes & np.uint64((1 << (8 * (level + 1))) - 1), return_inverse=True)
             self.up.append(up)
             self.levels.append(Restaurants(dishes, level))
-        self.base = (self.levels[-1].dishes & np.uint64(0xFFFF)).astype(np.int64)
+        self.base = (self.levels[-1].dishes & np.uint64(0xFFFF)).astype(np.int64)  # (context byte, byte)
 
     def predictions(self, p1: np.ndarray) -> list[np.ndarray]:
         """Of each level's dishes, longest contexts first; p1 has those of the one-byte contexts by (byte, byte)."""
@@ -266,25 +289,27 @@ def _seed(dest: int, number: int) -> np.random.Generator:
     return np.random.default_rng([17, dest, number])
 
 
-def _round(p1: np.ndarray, number: int, last: bool):
-    """One round over the subtrees of each destination: tables for the driver, or averaged log-probabilities."""
+MODEL = "dest int, grams binary, logs binary, dish array<int>, n array<long>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for dest, a, b in zip(*(batch.column(x).to_pylist() for x in ("dest", "a", "b"))):
-                keys, counts = _keys(a), _unpack(b, np.int64)
-                trees, draw = Subtrees(keys, counts), _seed(dest, number)
-                mean = np.zeros(len(keys))
-                for s in range(SWEEPS + (SAMPLES if last else 0)):
-                    trees.sweep(p1, draw)
-                    if last and s >= SWEEPS:
-                        mean += trees.predictions(p1)[0] / SAMPLES
-                if last:
-                    yield pa.RecordBatch.from_arrays([pa.array([dest], pa.int32()), pa.array([a], pa.binary()), pa.array([np.log10(mean).astype(np.float32).tobytes()], pa.binary())], names=["dest", "keys", "logs"])
-                else:
-                    below = trees.customers_below()
-                    at = np.flatnonzero(below)
-                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(below[at].astype(np.int64))], names=["dish", "n"])
+
+def _round(p1: np.ndarray, number: int):
+    """Sums a gram destination's requests, samples its restaurants, and averages their predictions."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        dest = rows.column("dest")[0].as_py()
+        parts = [(_keys(k.as_py()), _unpack(n.as_py(), np.int64)) for k, n in zip(rows.column("grams"), rows.column("counts"))]
+        keys, counts = _added(np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]))
+        trees, draw = Subtrees(keys, counts), _seed(dest, number)
+        mean = np.zeros(len(keys))
+        for s in range(SWEEPS + SAMPLES):
+            trees.sweep(p1, draw)
+            if s >= SWEEPS:
+                mean += trees.predictions(p1)[0] / SAMPLES
+        below = trees.customers_below()
+        at = np.flatnonzero(below)
+        row = ([dest], [_deltas(keys)], [np.log10(mean).astype(np.float32).tobytes()], [at.tolist()], [below[at].astype(int).tolist()])
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], names=["dest", "grams", "logs", "dish", "n"])
 
     return run
 
@@ -308,11 +333,50 @@ def short_contexts(customers: np.ndarray, draw: np.random.Generator) -> np.ndarr
 
 
 def _answered(requests: pa.Table, model: pa.Table) -> pa.Table:
-    """The log-probabilities of the 5-grams that each block asks a destination for."""
-    keys = _keys(model.column("keys")[0].as_py())
+    """The log-probabilities of the 5-grams that each word destination asks a gram destination for."""
+    keys = _keys(model.column("grams")[0].as_py())
     logs = np.frombuffer(model.column("logs")[0].as_py(), np.float32)
     found = [logs[np.searchsorted(keys, _keys(x))].tobytes() for x in requests.column("grams").to_pylist()]
-    return pa.Table.from_arrays([requests.column("block").combine_chunks(), requests.column("dest").combine_chunks(), pa.array(found, pa.binary())], names=["block", "dest", "a"])
+    return pa.Table.from_arrays([requests.column("block").combine_chunks(), requests.column("dest").combine_chunks(), pa.array(found, pa.binary())], names=["block", "dest", "logs"])
+
+
+def _seated(gram_dests: int, discount: float, n_tables: int, known: float, number: int, samples: int):
+    """Spells a word destination's words by the answers, and seats their customers anew."""
+
+    def run(state: pa.Table, answers: pa.Table) -> pa.Table:
+        dest, packed = state.column("dest")[0].as_py(), state.column("words")[0].as_py()
+        words, counts = _split(packed), _unpack(state.column("counts")[0].as_py(), np.int64)
+        keys, _ = _distinct_grams(words)
+        of, logs = _gram_dest(keys, gram_dests), np.zeros(len(keys))
+        for d, a in zip(answers.column("dest").to_pylist(), answers.column("logs").to_pylist()):
+            logs[of == d] = np.frombuffer(a, np.float32)
+        log_of, spelled = _Lookup(keys, logs), np.zeros(len(words))
+        for at, k, row in _word_grams(words):
+            spelled[at : at + CHUNK_WORDS] = np.bincount(row, log_of(k))
+        weight = (WORD_STRENGTH + discount * n_tables) * known * 10**spelled
+        draw = _seed(dest, 1_000 + number)
+        tables = np.stack([np.minimum(seat(counts, weight, discount, draw), counts) for _ in range(samples)])
+        return _word_row(dest, packed, counts, spelled.astype(np.float32), tables)
+
+    return run
+
+
+def _word_answers(discount: float, tokens: int, n_tables: list[int], unknown: float, mass: float):
+    """Count and averaged log-probability of the words that each block asks a word destination for."""
+
+    def run(requests: pa.Table, state: pa.Table) -> pa.Table:
+        words, counts = _split(state.column("words")[0].as_py()), _unpack(state.column("counts")[0].as_py(), np.int64)
+        spelled = 10 ** _unpack(state.column("spelled")[0].as_py(), np.float32).astype(np.float64)
+        tables = _unpack(state.column("tables")[0].as_py(), np.int64).reshape(len(n_tables), -1)
+        first = np.where(counts > 0, (1 - unknown) * spelled / mass, unknown)
+        p = np.mean([(counts - discount * t + (WORD_STRENGTH + discount * n) * first) / (WORD_STRENGTH + tokens) for t, n in zip(tables, n_tables)], axis=0)
+        logs = np.log10(p)
+        place = {w: i for i, w in enumerate(words)}
+        rows = [np.fromiter(map(place.__getitem__, _split(x)), np.int64) for x in requests.column("words").to_pylist()]
+        arrays = [requests.column("block").combine_chunks(), requests.column("dest").combine_chunks(), pa.array([_pack(counts[r]) for r in rows], pa.binary()), pa.array([_pack(logs[r].astype(np.float32)) for r in rows], pa.binary())]
+        return pa.Table.from_arrays(arrays, names=["block", "dest", "counts", "logs"])
+
+    return run
 
 
 class _Lookup:
@@ -336,28 +400,24 @@ def _scores(dests: int, tokens: int, types: int):
     floor = float(np.log10(tokens + types + 1))
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = docs.column("text").to_pylist()
-        w, _, k, _ = features(texts, [True] * len(texts))
-        wd, kd = _word_dest(w, dests), _gram_dest(k, dests)
-        counts, logs = np.zeros(len(w), np.int64), np.zeros(len(k), np.float32)
-        for kind, dest, a in zip(*(answers.column(x).to_pylist() for x in ("kind", "dest", "a"))):
-            if kind == "word":
-                counts[wd == dest] = _unpack(a, np.int64)
-            else:
-                logs[kd == dest] = np.frombuffer(a, np.float32)
-        count_of, log_of = _Lookup(w, counts), _Lookup(k, logs.astype(np.float64))
-        n_tokens, n_known, base, score = [], [], [], []
-        for _, part in _chunks(texts):
-            sizes = np.array([len(x) for x in part])
-            of = np.repeat(np.arange(len(part)), sizes)
-            c = count_of(np.fromiter((xxhash.xxh64_intdigest(x) for words in part for x in words), np.uint64, int(sizes.sum())))
-            n_tokens.append(sizes)
-            n_known.append(np.bincount(of, c > 0, len(part)).astype(np.int64))
-            base.append(np.bincount(of, np.log10(c + 1.0), len(part)) - sizes * floor)
-            keys, row = grams([spell(x) for x in part])
-            score.append(np.bincount(row, log_of(keys), len(part)))
-        whole = [np.concatenate(x) for x in (n_tokens, n_known, base, score)]
-        arrays = [docs.column("doc_id").combine_chunks(), docs.column("held_out").combine_chunks(), pa.array(whole[0].astype(np.int64)), pa.array(whole[1]), pa.array(np.full(len(texts), tokens, np.int64)), pa.array(whole[2]), pa.array(whole[3])]
+        texts = docs.column("text")
+        distinct: set[bytes] = set()
+        for t in texts:
+            distinct.update(words_of(t.as_py()))
+        words = sorted(distinct)
+        where = dict(_by_dest(words, dests))
+        counts, logs = np.zeros(len(words), np.int64), np.zeros(len(words))
+        for dest, n, p in zip(*(answers.column(x).to_pylist() for x in ("dest", "counts", "logs"))):
+            counts[where[dest]] = _unpack(n, np.int64)
+            logs[where[dest]] = _unpack(p, np.float32)
+        base_of = np.log10(counts + 1.0) - floor
+        place = {w: i for i, w in enumerate(words)}
+        out = np.zeros((len(texts), 2), np.int64), np.zeros((len(texts), 2))
+        for i, t in enumerate(texts):
+            at = np.fromiter(map(place.__getitem__, words_of(t.as_py())), np.int64)
+            out[0][i] = len(at), (counts[at] > 0).sum()
+            out[1][i] = base_of[at].sum(), logs[at].sum()
+        arrays = [docs.column("doc_id").combine_chunks(), docs.column("held_out").combine_chunks(), pa.array(out[0][:, 0]), pa.array(out[0][:, 1]), pa.array(np.full(len(texts), tokens, np.int64)), pa.array(out[1][:, 0]), pa.array(out[1][:, 1])]
         return pa.Table.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
@@ -368,29 +428,41 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
-    spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = source.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    dests = max(4, -(-blocks * BLOCK_REQUESTS // DEST_REQUESTS))
+    dests = max(4, -(-blocks // BLOCKS_A_DEST))
+    gram_dests = max(2, dests // DESTS_A_GRAM_DEST)
     held = crc_mod("doc_id", FOLDS) == HELD
     dealt = source.select("doc_id", "text", held.alias("held_out"), (~held).alias("train"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
     requests = materialize(dealt.groupBy("block").applyInArrow(_requests(dests), REQUESTS))
-    sums = materialize(requests.groupBy("dest").applyInArrow(_summed, SUMS))
-    trees = sums.where("kind = 'gram'").select("dest", "a", "b")
-    found = sums.where("kind = 'gram'").agg(F.sum("tokens"), F.sum("types")).first()
-    tokens, types = found[0] or 0, found[1] or 0
+    state = materialize(requests.groupBy("dest").applyInArrow(_summed, WORDS))
+    sums = state.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "once", "twice"))).first()
+    tokens, types = sums[0], sums[1]
+    discount = min(max(sums[2] / (sums[2] + 2 * sums[3]), 0.05), 0.95) if sums[2] + sums[3] else 0.5
+    n_tables, mass = [types], 1.0
+    # Of the customers that open a table, so many order the unknown word; all, if nothing has been learned.
+    unknown = min(max((sums[2] + 1) / (WORD_STRENGTH + discount * types + 1), 1 / (types + 1)), 0.95) if types else 1.0
     p1 = np.full(65_536, 1 / SYMBOLS)
     for number in range(rounds):
+        last = number == rounds - 1
+        asked = materialize(state.select("dest", "words", "tables").mapInArrow(_gram_requests(gram_dests), GRAMS))
+        model = materialize(asked.groupBy("dest").applyInArrow(_round(p1, number), MODEL))
         below = np.zeros(65_536)
-        for r in trees.mapInArrow(_round(p1, number, False), "dish long, n long").groupBy("dish").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
+        for r in model.select(F.explode(F.arrays_zip("dish", "n")).alias("x")).groupBy("x.dish").agg(F.sum("x.n").alias("n")).collect():  # 65,536 rows at most
             below[r["dish"]] = r["n"]
-        p1 = short_contexts(below, _seed(-1 % 2**32, number))
-    model = trees.mapInArrow(_round(p1, rounds, True), "dest int, keys binary, logs binary")
-    answers = requests.select("block", "dest", "grams").groupBy("dest").cogroup(model.groupBy("dest")).applyInArrow(_answered, "block int, dest int, a binary")
-    back = materialize(answers.withColumn("kind", F.lit("gram")).unionByName(sums.where("kind = 'word'").select("kind", "block", "dest", "a")))
+        p1 = short_contexts(below, _seed(2**31, number))
+        answers = asked.select("block", "dest", "grams").groupBy("dest").cogroup(model.select("dest", "grams", "logs").groupBy("dest")).applyInArrow(_answered, "block int, dest int, logs binary")
+        seated = _seated(gram_dests, discount, n_tables[-1], (1 - unknown) / mass, number, SAMPLES if last else 1)
+        following = materialize(state.select("dest", "words", "counts").groupBy("dest").cogroup(answers.groupBy("block")).applyInArrow(seated, WORDS))
+        for old in (asked, model, state):
+            discard(old)
+        state = following
+        n_tables = [r["n"] for r in state.select(F.posexplode("n_tables").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").collect()] or n_tables  # a row a sample
+        mass = state.agg(F.sum("mass")).first()[0] or 1.0
+    back = materialize(requests.select("block", "dest", "words").groupBy("dest").cogroup(state.select("dest", "words", "counts", "spelled", "tables").groupBy("dest")).applyInArrow(_word_answers(discount, tokens, n_tables, unknown, mass), "block int, dest int, counts binary, logs binary"))
     discard(requests)
-    discard(sums)
+    discard(state)
     return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_scores(dests, tokens, types), SCORES)
 
 
