@@ -165,5 +165,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(of, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row of each component, columns unchanged: that with the least id (a null one last), then the least fingerprint."""
+    found = near_duplicates(docs, id_col, text_col, shingle)
+    kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("lone")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("first"))
+    mark = "fp"
+    while mark in docs.columns:
+        mark += "_"
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(at)), np.uint64, batch.num_rows)
+            yield batch.append_column(mark, pa.array(fps.view(np.int64)))
+
+    marked = docs.mapInArrow(run, docs.schema.add(mark, "long"))
+    kept = kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.fp").alias("kept_fp"))
+    same = marked[id_col].cast("long").eqNullSafe(kept["kept_id"]) & (marked[mark] == kept["kept_fp"])
+    return marked.join(kept, same, "left_semi").dropDuplicates([id_col, mark]).select(*docs.columns)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
