@@ -30,16 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import table
+from veridoc.llm.common import discard, materialize, table
 
-SAMPLE = 16_000
+SAMPLE = 10_000
 BUCKETS = 1 << 18
 KEEP = 300
 #: Standard deviations that a feature's count among a category must be from what chance gives.
 LEAST_GAP = 5.0
 BEGINNINGS = (4, 5, 6)
 FOLDS = 5
-CUT = 0.3
+CUT = 0.4
 #: Words that mark a toxic document's category.
 LEXICON = {
     "insult": ("idiot", "moron", "clown", "loser", "stupid"),
@@ -116,31 +116,34 @@ class Chain:
         return out
 
 
-def fit_chain(found: Sequence[np.ndarray], y: np.ndarray, folds: int = FOLDS, keep: int = KEEP) -> Chain:
-    """Fits the chain on rows of features and their categories (one column each)."""
-    if not len(found):
-        return Chain(np.zeros(0, np.int64), ())
-    flat = np.concatenate(found).astype(np.int64)
+def bucket_counts(found: Sequence[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Of each bucket: the rows that have it, and those of each category."""
+    flat = np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)
     owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    scores = np.zeros(BUCKETS)
-    for c in range(y.shape[1]):
-        own = y[:, c].sum()
-        if 0 < own < len(y):
-            inside = np.bincount(flat[y[owner, c] == 1], minlength=BUCKETS)
-            everywhere = np.bincount(flat, minlength=BUCKETS)
-            share = everywhere / len(y)
-            scores = np.maximum(scores, np.abs(inside - own * share) / np.sqrt(own * share * (1 - share) + 1.0))
+    own = [np.bincount(flat[y[owner, c] == 1], minlength=BUCKETS) for c in range(y.shape[1])]
+    return np.stack([np.bincount(flat, minlength=BUCKETS), *own])
+
+
+def choose(counts: np.ndarray, n: int, own: np.ndarray, keep: int = KEEP) -> np.ndarray:
+    """The buckets to keep, sorted; n rows, own[c] of category c."""
+    scores, share = np.zeros(counts.shape[1]), counts[0] / max(n, 1)
+    for c, k in enumerate(own):
+        if 0 < k < n:
+            scores = np.maximum(scores, np.abs(counts[1 + c] - k * share) / np.sqrt(k * share * (1 - share) + 1.0))
     kept = np.argsort(-scores, kind="stable")[:keep]
-    kept = np.sort(kept[scores[kept] >= LEAST_GAP])
-    place = np.full(BUCKETS, -1)
-    place[kept] = np.arange(len(kept))
-    x = np.zeros((len(found), len(kept)))
-    x[owner[place[flat] >= 0], place[flat][place[flat] >= 0]] = 1
-    fold = np.arange(len(found)) % folds
-    weights, earlier = [], np.zeros((len(found), 0))
+    return np.sort(kept[scores[kept] >= LEAST_GAP])
+
+
+def fit_weights(kept: np.ndarray, places: Sequence[np.ndarray], y: np.ndarray, folds: int = FOLDS) -> Chain:
+    """Fits the chain; places has the numbers of the kept buckets that each row has."""
+    x = np.zeros((len(places), len(kept)))
+    for i, p in enumerate(places):
+        x[i, p] = 1
+    fold = np.arange(len(places)) % folds
+    weights, earlier = [], np.zeros((len(places), 0))
     for c in range(y.shape[1]):
         whole = np.concatenate([x, earlier], axis=1)
-        apart = np.zeros(len(found))
+        apart = np.zeros(len(places))
         for k in range(folds):
             if (fold == k).any():
                 apart[fold == k] = _predict(whole[fold == k], _logistic(whole[fold != k], y[fold != k, c]))
@@ -149,22 +152,57 @@ def fit_chain(found: Sequence[np.ndarray], y: np.ndarray, folds: int = FOLDS, ke
     return Chain(kept, tuple(weights))
 
 
+def fit_chain(found: Sequence[np.ndarray], y: np.ndarray) -> Chain:
+    """Fits the chain on rows of features and their categories (one column each)."""
+    if not len(found):
+        return Chain(np.zeros(0, np.int64), ())
+    kept = choose(bucket_counts(found, y), len(y), y.sum(0))
+    return fit_weights(kept, [np.flatnonzero(np.isin(kept, f, assume_unique=True)) for f in found], y)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Chain:
-    """Learns from at most sample labelled documents."""
+    """Learns from at most sample labelled documents; the driver gets their kept features, and BUCKETS counts at most."""
     of = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("y is not null and doc_id is not null")
     of = of.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    ints = pa.list_(pa.int32())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, ys = batch.column(1), batch.column(2).to_pylist()
+            found = [features(t.as_py()).astype(np.int32) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, ints), pa.array([marks(t.as_py(), y) for t, y in zip(texts, ys)], ints)], names=["doc_id", "f", "y"])
+
+    def rows_of(batch: pa.RecordBatch | pa.Table, name: str) -> list[np.ndarray]:
+        return [np.array(x.as_py(), np.int64) for x in batch.column(name)]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((1 + len(CATEGORIES), BUCKETS), np.int64)
         for batch in batches:
-            texts, ys = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t).astype(np.int32) for t in texts], pa.list_(pa.int32())), pa.array([marks(t, y) for t, y in zip(texts, ys)], pa.list_(pa.int32()))], names=["doc_id", "f", "y"])
+            if batch.num_rows:
+                total += bucket_counts(rows_of(batch, "f"), np.stack(rows_of(batch, "y")))
+        at = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(t[at]) for t in total)], names=["bucket", *(f"n{i}" for i in range(len(total)))])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     one = source.join(F.broadcast(of), "doc_id").select("doc_id", "text", "y")  # sample rows at most
-    rows = one.mapInArrow(run, "doc_id long, f array<int>, y array<int>").dropDuplicates(["doc_id"]).toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    found, ys = rows.column("f"), rows.column("y")
-    return fit_chain([np.asarray(found[int(i)].values, np.int64) for i in order], np.array([ys[int(i)].as_py() for i in order], int).reshape(-1, len(CATEGORIES)))
+    rows = materialize(one.mapInArrow(featured, "doc_id long, f array<int>, y array<int>").dropDuplicates(["doc_id"]))
+    names = [f"n{i}" for i in range(1 + len(CATEGORIES))]
+    sums = rows.mapInArrow(counted, ", ".join(["bucket int", *(f"{n} long" for n in names)])).groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+    counts = np.zeros((len(names), BUCKETS), np.int64)
+    counts[:, sums.column("bucket").to_numpy()] = np.stack([sums.column(n).to_numpy() for n in names])
+    size = rows.agg(F.count("*"), *(F.sum(F.get("y", F.lit(c))) for c in range(len(CATEGORIES)))).first()
+    if not size[0]:
+        return Chain(np.zeros(0, np.int64), ())
+    kept = choose(counts, size[0], np.array(size[1:]))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [np.flatnonzero(np.isin(kept, f, assume_unique=True)).astype(np.int32) for f in rows_of(batch, "f")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, ints), batch.column(2)], names=["doc_id", "f", "y"])
+
+    few = rows.mapInArrow(placed, "doc_id long, f array<int>, y array<int>").toArrow().sort_by("doc_id")
+    discard(rows)
+    return fit_weights(kept, rows_of(few, "f"), np.stack(rows_of(few, "y")))
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
