@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veridoc.llm.common import components, materialize, table
 
@@ -179,7 +180,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(at)), np.uint64, batch.num_rows)
             yield batch.append_column(mark, pa.array(fps.view(np.int64)))
 
-    marked = docs.mapInArrow(run, docs.schema.add(mark, "long"))
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())]))
     kept = kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.fp").alias("kept_fp"))
     same = marked[id_col].cast("long").eqNullSafe(kept["kept_id"]) & (marked[mark] == kept["kept_fp"])
     return marked.join(kept, same, "left_semi").dropDuplicates([id_col, mark]).select(*docs.columns)
