@@ -105,7 +105,7 @@ class Rewriter:
     def column(self, column: Column | str, kind: str = "json") -> Column:
         """The rewritten document as a variant; null where the text is no JSON document."""
         c = F.col(column) if isinstance(column, str) else column
-        read = {"json": parsed, "variant": lambda x: x, "struct": lambda x: f"to_variant_object({x})"}[kind]
+        read = {"json": parsed, "variant": lambda x: x, "struct": lambda x: f"parse_json(to_json({x}))", "struct_nulls": lambda x: f"to_variant_object({x})"}[kind]
         body = let(read("veridoc_source"), lambda d: f"CASE WHEN {d} IS NULL THEN NULL ELSE {self.sql(d)} END")
         return F.get(F.call_function("transform", F.array(c), F.expr(f"veridoc_source -> {body}")), F.lit(0))
 

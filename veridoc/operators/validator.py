@@ -116,11 +116,12 @@ class Validator:
             errors = f"slice({errors}, 1, 1)"
         return let(doc, lambda d: f"CASE WHEN {d} IS NULL THEN {_SYNTAX} WHEN {_renamed(valid, d)} THEN {NONE} ELSE {_renamed(errors, d)} END")
 
-    # Columns. kind is what the column holds: "json" (text), "binary" (UTF-8), "variant", or "struct".
+    # Columns. kind is what the column holds: "json" (text), "binary" (UTF-8), "variant", "struct" (a null
+    # is a missing key) or "struct_nulls" (a null is JSON's).
 
     def _document(self, column: Column | str, kind: str) -> tuple[str, Callable[[str], str]]:
         c = F.col(column) if isinstance(column, str) else column
-        return c, {"json": parsed, "binary": lambda x: parsed(f"decode({x}, 'utf-8')"), "variant": lambda x: x, "struct": lambda x: f"to_variant_object({x})"}[kind]
+        return c, {"json": parsed, "binary": lambda x: parsed(f"decode({x}, 'utf-8')"), "variant": lambda x: x, "struct": lambda x: f"parse_json(to_json({x}))", "struct_nulls": lambda x: f"to_variant_object({x})"}[kind]
 
     def _with(self, column: Column | str, kind: str, body: Callable[[str], str]) -> Column:
         c, read = self._document(column, kind)
@@ -166,7 +167,7 @@ class Validator:
     def _interpreted(self, column: Column | str, kind: str) -> Column:
         """The result by the interpreter, in an Arrow UDF over JSON text."""
         c = F.col(column) if isinstance(column, str) else column
-        text = {"json": lambda: c.cast("string"), "binary": lambda: F.decode(c, "utf-8"), "variant": lambda: F.to_json(c), "struct": lambda: F.to_json(c)}[kind]()
+        text = {"json": lambda: c.cast("string"), "binary": lambda: F.decode(c, "utf-8"), "variant": lambda: F.to_json(c), "struct": lambda: F.to_json(c), "struct_nulls": lambda: F.to_json(F.to_variant_object(c))}[kind]()
         interpreter, verbose, early, every = self._interpreter, self.verbose, self.abort_early, self.all_errors
 
         @F.pandas_udf(RESULT)
