@@ -35,7 +35,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_CANDIDATE = 12, 18, 16, 16
 THRESHOLD = 20.0
 ALPHA = 0.05
-SMOOTHING = 1e-4
+#: Weight of symbols that a state hasn't seen, in a credential's automaton and in the ordinary one.
+SMOOTHING, PLAIN_SMOOTHING = 1e-4, 1e-2
 EXAMPLES = 150
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -136,11 +137,9 @@ class Automaton:
                 red.append(t)
         place = {x: i for i, x in enumerate(red)}
         n = len(SYMBOLS)
-        sink = len(red)
-        self.next = np.full((sink + 1, n), sink, np.int32)
-        p = np.full((sink + 1, n + 1), 1 / (n + 1))
+        self.next = np.zeros((len(red), n), np.int32)  # an unseen symbol leads to the first state
+        p = np.full((len(red), n + 1), smoothing / (n + 1))
         for x, i in place.items():
-            p[i] = smoothing / (n + 1)
             for c, t in after[x].items():
                 self.next[i, c] = place[t]
                 p[i, c] += (1 - smoothing) * weight[x][c] / visits[x]
@@ -166,7 +165,7 @@ _MODELS: dict[int, dict[str, Automaton]] = {}
 def automata(seed: int = 7) -> dict[str, Automaton]:
     """The automata of ``labelled_examples``, inferred once in each worker."""
     if seed not in _MODELS:
-        _MODELS[seed] = {kind: Automaton(examples) for kind, examples in labelled_examples(seed).items()}
+        _MODELS[seed] = {kind: Automaton(examples, smoothing=PLAIN_SMOOTHING if kind == "plain" else SMOOTHING) for kind, examples in labelled_examples(seed).items()}
     return _MODELS[seed]
 
 
