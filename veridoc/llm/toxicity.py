@@ -39,6 +39,8 @@ KEEP = 300
 LEAST_GAP = 5.0
 BEGINNINGS = (4, 5, 6)
 FOLDS = 5
+#: Rows whose features are held at a time.
+PART = 256
 CUT = 0.4
 #: Words that mark a toxic document's category.
 LEXICON = {
@@ -167,17 +169,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ints = pa.list_(pa.int32())
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts, ys = batch.column(1), batch.column(2).to_pylist()
             found = [features(t.as_py()).astype(np.int32) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, ints), pa.array([marks(t.as_py(), y) for t, y in zip(texts, ys)], ints)], names=["doc_id", "f", "y"])
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (batch.slice(at, PART) for batch in batches for at in range(0, batch.num_rows, PART))
+
     def rows_of(batch: pa.RecordBatch | pa.Table, name: str) -> list[np.ndarray]:
         return [np.array(x.as_py(), np.int64) for x in batch.column(name)]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 + len(CATEGORIES), BUCKETS), np.int64)
-        for batch in batches:
+        for batch in parts(batches):
             if batch.num_rows:
                 total += bucket_counts(rows_of(batch, "f"), np.stack(rows_of(batch, "y")))
         at = np.flatnonzero(total[0])
@@ -196,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     kept = choose(counts, size[0], np.array(size[1:]))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             places = [np.flatnonzero(np.isin(kept, f, assume_unique=True)).astype(np.int32) for f in rows_of(batch, "f")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, ints), batch.column(2)], names=["doc_id", "f", "y"])
 
@@ -209,7 +214,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     """doc_id and the probability of each category for every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, PART) for b in batches for at in range(0, b.num_rows, PART)):
             p = chain.score([features(t.as_py()) for t in batch.column(1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, c]) for c in range(len(CATEGORIES)))], names=["doc_id", *CATEGORIES])
 
