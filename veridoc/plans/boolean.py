@@ -60,22 +60,30 @@ def is_type(v: str, name: str) -> str:
         case "null":
             return f"is_variant_null({v})"
         case "integer":
-            return f"({kind(v)} = 'number' AND {as_double(v)} % 1 = 0)"
-        case "string" | "boolean" | "number":
-            return f"({kind(v)} = '{name}')"
+            return let(f"schema_of_variant({v})", lambda t: f"({t} = 'BIGINT' OR ({t} IN ('DOUBLE', 'FLOAT') OR {t} LIKE 'DECIMAL%') AND {as_double(v)} % 1 = 0)")
+        case "number":
+            return let(f"schema_of_variant({v})", lambda t: f"({t} = 'BIGINT' OR {t} LIKE 'DECIMAL%' OR {t} IN ('DOUBLE', 'FLOAT') AND NOT isnan({as_double(v)}) AND abs({as_double(v)}) < double('infinity'))")
+        case "string":
+            return f"(schema_of_variant({v}) IN {_TEXTS})"
+        case "boolean":
+            return f"(schema_of_variant({v}) = 'BOOLEAN')"
     return "false"
 
 
+#: What schema_of_variant calls scalars that are texts in JSON.
+_TEXTS = "('STRING', 'DATE', 'TIMESTAMP', 'TIMESTAMP_NTZ', 'BINARY', 'UUID')"
+
+
 def equals(v: str, value: Any) -> str:
     """Whether a variant equals a fixed value: numbers by value, objects whatever the order of keys."""
     if value is None:
         return f"is_variant_null({v})"
     if isinstance(value, bool):
-        return f"({kind(v)} = 'boolean' AND try_variant_get({v}, '$', 'boolean') = {str(value).lower()})"
+        return f"({is_type(v, 'boolean')} AND try_variant_get({v}, '$', 'boolean') = {str(value).lower()})"
     if isinstance(value, (int, float)):
-        return f"({kind(v)} = 'number' AND {as_double(v)} = {number(value)})"
+        return f"({is_type(v, 'number')} AND {as_double(v)} = {number(value)})"
     if isinstance(value, str):
-        return f"({kind(v)} = 'string' AND {as_text(v)} = {quote(value)})"
+        return f"({is_type(v, 'string')} AND {as_text(v)} = {quote(value)})"
     if isinstance(value, list):
         return let(as_array(v), lambda a: "coalesce(" + both([f"size({a}) = {len(value)}", *(let(f"get({a}, {i})", lambda x, y=y: equals(x, y)) for i, y in enumerate(value))]) + ", false)")
     return let(as_map(v), lambda m: "coalesce(" + both([f"size({m}) = {len(value)}", *(f"coalesce({let(f'element_at({m}, {quote(k)})', lambda x, y=y: f'CASE WHEN {x} IS NULL THEN false ELSE {equals(x, y)} END')}, false)" for k, y in value.items())]) + ", false)")
@@ -87,7 +95,9 @@ def one_of_values(v: str, values: list) -> str:
     numbers = [x for x in values if isinstance(x, (int, float)) and not isinstance(x, bool)]
     rest = [x for x in values if not isinstance(x, str) and (isinstance(x, bool) or not isinstance(x, (int, float)))]
     parts = []
-    if texts or numbers:
+    if texts and not numbers:
+        parts.append(f"(schema_of_variant({v}) IN {_TEXTS} AND {as_text(v)} IN ({', '.join(map(quote, texts))}))")
+    elif numbers:
         def scalars(k: str) -> str:
             own = []
             if texts:
@@ -188,10 +198,14 @@ class BooleanCompiler:
         known = names[0] if names and len(names) == 1 else None
         may = lambda *kinds: names is None or bool(set(names) & set(kinds))
         if may("number", "integer") and any(k in schema for k in NUMERIC):
-            checks = let(as_double(v), lambda d: both([self.numeric(k, d, schema[k]) for k in NUMERIC if k in schema]))
+            own = [k for k in NUMERIC if k in schema]
+            inner = lambda d: both([self.numeric(k, d, schema[k]) for k in own])
+            checks = inner(as_double(v)) if own in (["minimum"], ["maximum"]) else let(as_double(v), inner)
             parts.append(checks if known in ("number", "integer") else f"CASE WHEN {is_type(v, 'number')} THEN {checks} ELSE true END")
         if may("string") and any(k in schema for k in TEXTUAL):
-            checks = let(as_text(v), lambda s: both([self.textual(k, s, schema[k]) for k in TEXTUAL if k in schema]))
+            texts = [k for k in TEXTUAL if k in schema]
+            spelled = lambda s: both([self.textual(k, s, schema[k]) for k in texts])
+            checks = spelled(as_text(v)) if len(texts) == 1 else let(as_text(v), spelled)
             if checks != "true":
                 parts.append(checks if known == "string" else f"CASE WHEN {is_type(v, 'string')} THEN {checks} ELSE true END")
         if may("array") and any(k in schema for k in ARRAYS):
