@@ -8,6 +8,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
+from veridoc.functions.text import restart
 from veridoc.operators.validator import RESULT, Validator, parsed
 from veridoc.plans.errors import ERROR
 
@@ -21,16 +22,24 @@ def _checked(name: str) -> str:
 
 
 def to_sql(validator: Validator, text: str = "doc") -> str:
-    """The verdict on a column of JSON text as one SQL expression."""
+    """The verdict on a column of JSON text as one SQL expression; the same text each time."""
+    validator.compile()
+    restart()
     return validator.valid_sql(parsed(text))
 
 
+def _errors_sql(validator: Validator, text: str) -> str:
+    validator.compile()
+    restart()
+    return validator.errors_sql(parsed(text))
+
+
 def to_function(validator: Validator, name: str, temporary: bool = True, errors: bool = True) -> list[str]:
     """Statements that create name(json) for the verdict and, with errors, name_errors(json) for the errors."""
     kind = "TEMPORARY FUNCTION" if temporary else "FUNCTION"
     out = [f"CREATE OR REPLACE {kind} {_checked(name)}(veridoc_json STRING) RETURNS BOOLEAN RETURN {to_sql(validator, 'veridoc_json')}"]
     if errors:
-        out.append(f"CREATE OR REPLACE {kind} {name}_errors(veridoc_json STRING) RETURNS array<{ERROR}> RETURN {validator.errors_sql(parsed('veridoc_json'))}")
+        out.append(f"CREATE OR REPLACE {kind} {name}_errors(veridoc_json STRING) RETURNS array<{ERROR}> RETURN {_errors_sql(validator, 'veridoc_json')}")
     return out
 
 
@@ -40,7 +49,7 @@ def bundle(validators: dict[str, Validator], errors: bool = True) -> str:
     same: dict[str, str] = {}
     aliases: dict[str, str] = {}
     for name, v in validators.items():
-        body = to_sql(v, "veridoc_json") + (v.errors_sql(parsed("veridoc_json")) if errors else "")
+        body = to_sql(v, "veridoc_json") + (_errors_sql(v, "veridoc_json") if errors else "")
         if body in same:
             aliases[name] = same[body]
         else:
