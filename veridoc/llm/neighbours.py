@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from veridoc.llm.common import discard, materialize, table
 
 DEGREE = 32
-BLOCK = 1024
+BLOCK = 2048
 PIVOTS = 128
 STARTS = 3
 ROUNDS = 6
 SETTLED = 0.02
-BEAM = 128
-WIDTH = 32
+BEAM = 192
+WIDTH = 48
 SEARCH_ROUNDS = 6
 #: Nodes of each query that the end scores exactly.
 FINAL = 24
