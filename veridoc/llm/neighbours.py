@@ -201,7 +201,7 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, block: int = BLOCK, pivo
     edges = None
     for i in range(starts):
         direction = draw.normal(size=points.shape[1])
-        own = points[i::starts]
+        own = points[i % len(points) :: starts]
         keyed = nodes.select("node", "unit").mapInArrow(_ordered(own, (direction / np.linalg.norm(direction)).astype(np.float32)), "node long, unit binary, key double")
         sorted_rows = keyed.repartitionByRange(F.col("key"), F.col("node")).sortWithinPartitions("key", "node")
         part = sorted_rows.mapInArrow(_blocked(block, degree), "u long, v long, s float")
