@@ -78,3 +78,31 @@ def test_spelling_is_a_distribution():
         trees.sweep(p1, np.random.default_rng(1))
     for level, p in zip(trees.levels, trees.predictions(p1)):
         assert (np.bincount(level.of, p) <= 1 + 1e-9).all() and (level.tables <= level.customers).all()
+
+
+def test_word_order_counts(spark):
+    """A document in the order of the training texts is likelier than the same words in another."""
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    words = [f"w{i}" for i in range(12)]
+    draw = np.random.default_rng(4)
+    starts = draw.integers(0, 12, len(ids))
+    docs = [(i, " ".join(words[(s + j) % 12] for j in range(20))) for i, s in zip(ids, starts)]
+    order = " ".join(words)
+    docs += [(held[0], order), (held[1], " ".join(words[::-1]))]
+    got = {r[0]: r for r in rows(P.score_documents(spark.createDataFrame(docs, "doc_id long, text string")))}
+    assert abs(got[held[0]][5] - got[held[1]][5]) < 1e-9
+    assert got[held[0]][6] > got[held[1]][6] + 10
+
+
+def test_words_after_a_word_sum_to_one(spark):
+    """Over the known words, one unknown and the end, what follows a word is a distribution."""
+    train = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 != 2][:300]
+    draw = np.random.default_rng(6)
+    texts = [" ".join(f"w{int(x)}" for x in draw.zipf(1.4, 40) if x < 3000) for _ in train]
+    known = sorted({w for t in texts for w in t.split()})
+    probes = [i for i in range(100_000) if zlib.crc32(str(i).encode()) % 7 == 2][: len(known) + 3]
+    docs = list(zip(train, texts)) + list(zip(probes, ["", "w1", *(f"w1 {w}" for w in [*known, "never-seen"])]))
+    got = {r[0]: r[6] for r in rows(P.score_documents(spark.createDataFrame(docs, "doc_id long, text string")))}
+    end, alone = (got[i] for i in probes[:2])
+    assert abs(10**end + sum(10 ** (got[i] - alone) for i in probes[2:]) - 1) < 1e-3

@@ -1,8 +1,10 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
 A text is its words (A-Z lower-cased) and an end; a word that no training document has is one symbol,
-the unknown word, as in the add-one base. Each is a customer of the word restaurant. Its base measure
-gives the unknown word a share that makes a new word as likely as words seen once say (Good-Turing), and
+the unknown word, as in the add-one base. A text ends after a word with one probability for all words.
+If it goes on, the next word is a customer of the restaurant of the word before it (of the end, for the
+first word), whose parent is the word restaurant: a pair's tables are the word's customers. The word
+restaurant's base measure gives the unknown word a share that makes a new word as likely as words seen once say (Good-Turing), and
 the rest to the known words by a spelling model, scaled to them: a word's bytes, closed by a space, are
 predicted one by one from the up to four before them. Every spelling context is a restaurant whose parent is the context without its
 farthest byte, down to the empty context over a uniform base. Seating is sampled by Gibbs: the customers
@@ -10,12 +12,14 @@ of each dish sit down anew, given the other tables and the parent's predictions,
 parent's customers (a word's tables are spelled once each). Predictive probabilities are averaged over
 the last samples.
 
-How it runs: documents are dealt to blocks of bounded text. A block asks for its distinct words;
-requests are packed by (block, word destination), where their counts are added up. Word destinations
-ask gram destinations, which hold whole subtrees of contexts (those that end in the same two bytes), for
+How it runs: documents are dealt to blocks of bounded text. A block asks for its distinct words and
+pairs; requests are packed by (block, word destination), where their counts are added up. A pair is at the
+destination of its first word, so that a restaurant is in one place; its second word is known there by its
+64-bit hash. Destinations of pairs and of words exchange tables and probabilities after the first round
+and after the last. Word destinations ask gram destinations, which hold whole subtrees of contexts (those that end in the same two bytes), for
 the probabilities of their words' byte 5-grams, in rounds; the restaurants of one and no byte, 256 x 257
-dishes at most, are sampled on the driver. The words' probabilities go back packed, and each block scores
-its documents. Every word of every training document is counted; nothing grows on the driver.
+dishes at most, are sampled on the driver. The probabilities of words and pairs go back packed, and each
+block scores its documents. Every word and pair of every training document is counted; nothing grows on the driver.
 
 Cases: a null text counts as empty (the end alone); a null id counts as the empty id in the fold;
 repeated rows are scored each; without training documents the base is that of zero counts and every
@@ -24,8 +28,9 @@ token is the unknown word, with certainty; an empty table gives no rows; other c
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +50,13 @@ DISCOUNTS = (0.2, 0.35, 0.5, 0.6, 0.7)
 STRENGTHS = (1.0, 1.0, 1.0, 1.0, 0.5)
 ROUNDS, SWEEPS, SAMPLES = 3, 4, 3
 WORD_STRENGTH = 1.0
+PAIR_STRENGTH = 1.0
 BLOCK_BYTES = 6_000_000
 CHUNK_WORDS = 100_000
 #: Blocks whose requests one word destination takes, and word destinations for one gram destination.
 BLOCKS_A_DEST, DESTS_A_GRAM_DEST = 6, 2
+#: Parts in which the pairs' probabilities go back.
+ANSWER_PARTS = 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -102,8 +110,29 @@ def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first)
 
 
-def _word_dest(words: list[bytes], n: int) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh32_intdigest, words), np.int64, len(words)) % n
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _word_dest(hashes: np.ndarray, n: int) -> np.ndarray:
+    return (hashes % np.uint64(n)).astype(np.int64)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Packed by the place of the bytes, for numbers whose high bytes are much alike."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
+
+
+def _unplaned(data: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _rising(x: np.ndarray) -> bytes:
+    return _planes(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def _risen(data: bytes, kind) -> np.ndarray:
+    return np.cumsum(_unplaned(data, kind), dtype=kind)
 
 
 def _gram_dest(keys: np.ndarray, n: int) -> np.ndarray:
@@ -120,52 +149,212 @@ def _split(data: bytes) -> list[bytes]:
     return zstandard.decompress(data).split(b"\n")
 
 
-REQUESTS = "block int, dest int, words binary, counts binary"
+REQUESTS = "block int, dest int, words binary, counts binary, seconds binary, first binary, second binary, n binary"
+
+
+def _block_words(texts: pa.ChunkedArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The sorted distinct words, each token's place among them (0 is the end), and the tokens of each text."""
+    number: defaultdict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
+    parts = []
+    for text in texts:
+        own = words_of(text.as_py())
+        parts.append(np.fromiter(map(number.__getitem__, own), np.int64, len(own)))
+    words = sorted(number)
+    rank = np.zeros(len(words), np.int64)
+    rank[np.fromiter(map(number.__getitem__, words), np.int64, len(words))] = np.arange(len(words))
+    return words, rank[np.concatenate(parts)], np.array([len(x) for x in parts])
+
+
+def _block_pairs(tokens: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs' words, and the pair of each token that isn't an end; what precedes a first word is an end."""
+    before = np.concatenate([[0], tokens[:-1]])
+    keys, of = np.unique((before * n_words + tokens)[tokens > 0], return_inverse=True)
+    return keys // n_words, keys % n_words, of
 
 
-def _by_dest(words: list[bytes], dests: int) -> list[tuple[int, np.ndarray]]:
-    """The rows of sorted words that go to each destination."""
-    of = _word_dest(words, dests)
-    order = np.argsort(of, kind="stable")
-    edges = np.searchsorted(of[order], np.arange(dests + 1))
-    return [(d, order[edges[d] : edges[d + 1]]) for d in range(dests) if edges[d] < edges[d + 1]]
+def _by_dest(hashes: np.ndarray, first: np.ndarray, dests: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """The words and the pairs, by their first words, that go to each destination."""
+    of = _word_dest(hashes, dests)
+    split = []
+    for x in (of, of[first]):
+        order = np.argsort(x, kind="stable")
+        edges = np.searchsorted(x[order], np.arange(dests + 1))
+        split.append([order[edges[d] : edges[d + 1]] for d in range(dests)])
+    return [(d, at, pairs) for d, (at, pairs) in enumerate(zip(*split)) if len(at)]
 
 
 def _requests(dests: int):
     def run(rows: pa.Table) -> pa.Table:
-        counts: Counter[bytes] = Counter()
-        others: set[bytes] = set()
-        for text, train in zip(rows.column("text"), rows.column("train")):
-            (counts if train.as_py() else others).update(words_of(text.as_py()))
-        words = sorted(counts.keys() | others)
-        n = np.fromiter((counts.get(w, 0) for w in words), np.int64, len(words))
+        words, tokens, sizes = _block_words(rows.column("text"))
+        train = np.repeat(rows.column("train").to_numpy(), sizes)
+        n = np.bincount(tokens[train], minlength=len(words))
+        first, second, of = _block_pairs(tokens, len(words))
+        pair_n = np.bincount(of[train[tokens > 0]], minlength=len(first)).astype(np.int32)
+        hashes = _hashes(words)
+        by_hash = np.argsort(hashes)
+        place, rank = np.zeros(len(words), np.int32), np.zeros(len(words), np.int32)
+        rank[by_hash] = np.arange(len(words))
         block = rows.column("block")[0].as_py()
-        out = [(block, d, _join([words[i] for i in at.tolist()]), _pack(n[at])) for d, at in _by_dest(words, dests)]
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "dest", "words", "counts"])
+        out = []
+        for d, at, pairs in _by_dest(hashes, first, dests):
+            place[at] = np.arange(len(at))
+            seconds, own = np.unique(rank[second[pairs]], return_inverse=True)
+            out.append((block, d, _join([words[i] for i in at.tolist()]), _pack(n[at]), _rising(hashes[by_hash[seconds]]), _rising(place[first[pairs]]), _planes(own.astype(np.int32)), _planes(pair_n[pairs])))
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), *[pa.binary()] * 6))], names=["block", "dest", "words", "counts", "seconds", "first", "second", "n"])
+
+    return run
+
+
+PAIRS = "dest int, n_words long, keys binary, counts binary, seconds binary, tables binary, gains binary, shares binary, once long, twice long"
+_PAIR_KINDS = (pa.int32(), pa.int64(), *[pa.binary()] * 6, pa.int64(), pa.int64())
+_PAIR_NAMES = [x.split()[0] for x in PAIRS.split(", ")]
+
+
+def _pair_row(dest: int, n_words: int, keys: np.ndarray, counts: np.ndarray, seconds: np.ndarray, tables: np.ndarray, gains: np.ndarray, shares: np.ndarray) -> pa.Table:
+    """A pair destination's state. keys: first word's place << 32 | second's; gains and shares are empty until the last seating."""
+    row = (dest, n_words, _rising(keys), _planes(counts.astype(np.int32)), _rising(seconds), _planes(tables.astype(np.int32)), _pack(gains.astype(np.float32)), _pack(shares.astype(np.float32)), int((counts == 1).sum()), int((counts == 2).sum()))
+    return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(row, _PAIR_KINDS)], names=_PAIR_NAMES)
+
+
+def _request_words(rows: pa.Table) -> tuple[list[bytes], list[np.ndarray]]:
+    """The sorted distinct words of a destination's requests, and the places of each request's words among them."""
+    lists = [_split(x) for x in rows.column("words").to_pylist()]
+    words = sorted(set().union(*lists))
+    place = {w: i for i, w in enumerate(words)}
+    return words, [np.fromiter(map(place.__getitem__, x), np.int64, len(x)) for x in lists]
+
+
+def _paired(rows: pa.Table) -> pa.Table:
+    """The distinct pairs of a destination with their training counts, a table each."""
+    words, places = _request_words(rows)
+    hashes = [_risen(x, np.uint64) for x in rows.column("seconds").to_pylist()]
+    seconds = np.unique(np.concatenate(hashes))
+    keys, counts = [], []
+    for at, h, c, w, n in zip(places, hashes, *(rows.column(x).to_pylist() for x in ("first", "second", "n"))):
+        n = _unplaned(n, np.int32)
+        seen = n > 0
+        keys.append((at[_risen(c, np.int32)[seen]].astype(np.uint64) << np.uint64(32)) | np.searchsorted(seconds, h)[_unplaned(w, np.int32)[seen]].astype(np.uint64))
+        counts.append(n[seen].astype(np.int64))
+    keys, counts = _added(np.concatenate(keys), np.concatenate(counts))
+    used, second = np.unique(keys & np.uint64(0xFFFFFFFF), return_inverse=True)  # those that only held-out documents have go
+    keys = (keys >> np.uint64(32) << np.uint64(32)) | second.astype(np.uint64)
+    none = np.zeros(0)
+    return _pair_row(rows.column("dest")[0].as_py(), len(words), keys, counts, seconds[used.astype(np.int64)], np.minimum(counts, 1), none, none)
+
+
+TABLES = "pair_dest int, dest int, seconds binary, tables binary"
+
+
+def _pair_tables(dests: int):
+    """The second words of a pair destination, for their word destinations, with the tables of their pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dest, keys, seconds, tables in zip(*(batch.column(x).to_pylist() for x in ("dest", "keys", "seconds", "tables"))):
+                seconds = _risen(seconds, np.uint64)
+                sums = np.bincount((_risen(keys, np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.int64), _unplaned(tables, np.int32), len(seconds)).astype(np.int64)
+                of = _word_dest(seconds, dests)
+                out = [(dest, d, _rising(seconds[of == d]), _planes(sums[of == d])) for d in np.unique(of).tolist()]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["pair_dest", "dest", "seconds", "tables"])
+
+    return run
+
+
+def _customers(state: pa.Table, sent: pa.Table) -> pa.Table:
+    """A word destination whose words have the tables of their pairs as customers."""
+    packed = state.column("words")[0].as_py()
+    hashes = _hashes(_split(packed))
+    order = np.argsort(hashes)
+    customers = np.zeros(len(hashes), np.int64)
+    for h, t in zip(sent.column("seconds").to_pylist(), sent.column("tables").to_pylist()):
+        customers[order[np.searchsorted(hashes[order], _risen(h, np.uint64))]] += _unplaned(t, np.int64)
+    spelled = _unpack(state.column("spelled")[0].as_py(), np.float32)
+    tables = np.minimum(np.maximum(_unpack(state.column("tables")[0].as_py(), np.int64).reshape(-1, len(hashes)), 1), customers)
+    return _word_row(state.column("dest")[0].as_py(), packed, _unpack(state.column("counts")[0].as_py(), np.int64), customers, spelled, tables)
+
+
+def _parents(discount: float, seats: int, n_tables: list[int], unknown: float, mass: float):
+    """The word restaurant's predictions for the second words that each pair destination asks for."""
+
+    def run(sent: pa.Table, state: pa.Table) -> pa.Table:
+        words, p = _predicted(state, discount, seats, n_tables, unknown, mass)
+        hashes = _hashes(words)
+        order = np.argsort(hashes)
+        found = [_pack(p[order[np.searchsorted(hashes[order], _risen(h, np.uint64))]].astype(np.float32)) for h in sent.column("seconds").to_pylist()]
+        return pa.Table.from_arrays([sent.column("pair_dest").combine_chunks(), sent.column("dest").combine_chunks(), pa.array(found, pa.binary())], names=["pair_dest", "dest", "p"])
+
+    return run
+
+
+def _pairs_seated(dests: int, discount: float, number: int, last: bool):
+    """Seats the customers of a destination's pairs; after the last time, averages what the seatings predict."""
+
+    def run(pairs: pa.Table, answers: pa.Table) -> pa.Table:
+        dest, n_words = pairs.column("dest")[0].as_py(), pairs.column("n_words")[0].as_py()
+        keys, seconds = (_risen(pairs.column(x)[0].as_py(), np.uint64) for x in ("keys", "seconds"))
+        counts, tables = (_unplaned(pairs.column(x)[0].as_py(), np.int32).astype(np.int64) for x in ("counts", "tables"))
+        parent, of = np.zeros(len(seconds)), _word_dest(seconds, dests)
+        for d, p in zip(answers.column("dest").to_pylist(), answers.column("p").to_pylist()):
+            parent[of == d] = _unpack(p, np.float32)
+        first, parent = (keys >> np.uint64(32)).astype(np.int64), parent[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        customers = np.bincount(first, counts, n_words)
+        gains, shares = np.zeros(len(keys) if last else 0), np.zeros(n_words if last else 0)
+        draw = _seed(dest, 2_000 + number)
+        for s in range(SWEEPS + (SAMPLES if last else 0)):
+            total = np.bincount(first, tables, n_words)
+            tables = np.minimum(seat(counts, (PAIR_STRENGTH + discount * (total[first] - tables)) * parent, discount, draw), counts)
+            if s >= SWEEPS:
+                gains += (counts - discount * tables) / (PAIR_STRENGTH + customers[first]) / SAMPLES
+                shares += (PAIR_STRENGTH + discount * np.bincount(first, tables, n_words)) / (PAIR_STRENGTH + customers) / SAMPLES
+        return _pair_row(dest, n_words, keys, counts, seconds, tables, gains, shares)
 
     return run
 
 
-WORDS = "dest int, words binary, counts binary, spelled binary, tables binary, tokens long, types long, once long, twice long, n_tables array<long>, mass double"
-_WORD_KINDS = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64())
+ANSWERS = "block int, dest int, counts binary, p binary, shares binary, gains binary"
+
+
+def _pair_answers(requests: pa.Table, pairs: pa.Table) -> pa.Table:
+    """What each block's pairs have of their own, and what share of each first word's predictions is its parent's."""
+    keys, seconds = (_risen(pairs.column(x)[0].as_py(), np.uint64) for x in ("keys", "seconds"))
+    gains, shares = (np.append(_unpack(pairs.column(x)[0].as_py(), np.float32), np.float32(0)) for x in ("gains", "shares"))
+    out = []
+    for at, h, c, w in zip(_request_words(requests)[1], *(requests.column(x).to_pylist() for x in ("seconds", "first", "second"))):
+        h = _risen(h, np.uint64)
+        place = np.searchsorted(seconds, h)
+        place[np.append(seconds, np.uint64(0))[place] != h] = 0xFFFFFFFF  # not in training
+        own = (at[_risen(c, np.int32)].astype(np.uint64) << np.uint64(32)) | place[_unplaned(w, np.int32)].astype(np.uint64)
+        found = np.searchsorted(keys, own)
+        found[np.append(keys, ~np.uint64(0))[found] != own] = len(keys)
+        out.append((None, None, _pack(shares[at]), _pack(gains[found])))
+    arrays = [requests.column("block").combine_chunks(), requests.column("dest").combine_chunks(), *(pa.array(x, pa.binary()) for x in zip(*out))]
+    return pa.Table.from_arrays(arrays, names=["block", "dest", "counts", "p", "shares", "gains"])
+
+
+WORDS = "dest int, words binary, counts binary, customers binary, spelled binary, tables binary, tokens long, types long, ends long, seats long, dishes long, once long, twice long, n_tables array<long>, mass double"
+_WORD_KINDS = (pa.int32(), *[pa.binary()] * 5, *[pa.int64()] * 7, pa.list_(pa.int64()), pa.float64())
 _WORD_NAMES = [x.split()[0] for x in WORDS.split(", ")]
 
 
-def _word_row(dest: int, words: bytes, counts: np.ndarray, spelled: np.ndarray, tables: np.ndarray) -> pa.Table:
+def _word_row(dest: int, words: bytes, counts: np.ndarray, customers: np.ndarray, spelled: np.ndarray, tables: np.ndarray) -> pa.Table:
     """A word destination's state; tables has a row for each sample."""
-    row = (dest, words, _pack(counts), _pack(spelled), _pack(tables.astype(np.int64)), int(counts.sum()), int((counts > 0).sum()), int((counts == 1).sum()), int((counts == 2).sum()), tables.sum(1).astype(int).tolist(), float((10 ** spelled[counts > 0].astype(np.float64)).sum()))
+    seated = [int(x.sum()) for x in (customers, customers > 0, customers == 1, customers == 2)]
+    ends = int(counts[0]) if _split(words)[0] == END else 0
+    row = (dest, words, _pack(counts), _pack(customers), _pack(spelled), _pack(tables.astype(np.int64)), int(counts.sum()), int((counts > 0).sum()), ends, *seated, tables.sum(1).astype(int).tolist(), float((10 ** spelled[customers > 0].astype(np.float64)).sum()))
     return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(row, _WORD_KINDS)], names=_WORD_NAMES)
 
 
 def _summed(rows: pa.Table) -> pa.Table:
-    """The distinct words of a word destination with their training counts, a table each."""
+    """The distinct words of a word destination with their training counts."""
     total: dict[bytes, int] = {}
     for data, n in zip(rows.column("words"), rows.column("counts")):
         for w, c in zip(_split(data.as_py()), _unpack(n.as_py(), np.int64).tolist()):
             total[w] = total.get(w, 0) + c
     words = sorted(total)
     counts = np.fromiter((total[w] for w in words), np.int64, len(words))
-    return _word_row(rows.column("dest")[0].as_py(), _join(words), counts, np.zeros(len(words), np.float32), np.minimum(counts, 1)[None, :])
+    return _word_row(rows.column("dest")[0].as_py(), _join(words), counts, np.zeros(len(words), np.int64), np.zeros(len(words), np.float32), np.zeros((1, len(words)), np.int64))
 
 
 def _word_grams(words: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -345,7 +534,7 @@ def _seated(gram_dests: int, discount: float, n_tables: int, known: float, numbe
 
     def run(state: pa.Table, answers: pa.Table) -> pa.Table:
         dest, packed = state.column("dest")[0].as_py(), state.column("words")[0].as_py()
-        words, counts = _split(packed), _unpack(state.column("counts")[0].as_py(), np.int64)
+        words, counts, customers = _split(packed), *(_unpack(state.column(x)[0].as_py(), np.int64) for x in ("counts", "customers"))
         keys, _ = _distinct_grams(words)
         of, logs = _gram_dest(keys, gram_dests), np.zeros(len(keys))
         for d, a in zip(answers.column("dest").to_pylist(), answers.column("logs").to_pylist()):
@@ -355,26 +544,32 @@ def _seated(gram_dests: int, discount: float, n_tables: int, known: float, numbe
             spelled[at : at + CHUNK_WORDS] = np.bincount(row, log_of(k))
         weight = (WORD_STRENGTH + discount * n_tables) * known * 10**spelled
         draw = _seed(dest, 1_000 + number)
-        tables = np.stack([np.minimum(seat(counts, weight, discount, draw), counts) for _ in range(samples)])
-        return _word_row(dest, packed, counts, spelled.astype(np.float32), tables)
+        tables = np.stack([np.minimum(seat(customers, weight, discount, draw), customers) for _ in range(samples)])
+        return _word_row(dest, packed, counts, customers, spelled.astype(np.float32), tables)
 
     return run
 
 
-def _word_answers(discount: float, tokens: int, n_tables: list[int], unknown: float, mass: float):
-    """Count and averaged log-probability of the words that each block asks a word destination for."""
+def _predicted(state: pa.Table, discount: float, seats: int, n_tables: list[int], unknown: float, mass: float) -> tuple[list[bytes], np.ndarray]:
+    """A word destination's words, and what the word restaurant predicts for them, averaged."""
+    words, customers = _split(state.column("words")[0].as_py()), _unpack(state.column("customers")[0].as_py(), np.int64)
+    spelled = 10 ** _unpack(state.column("spelled")[0].as_py(), np.float32).astype(np.float64)
+    tables = _unpack(state.column("tables")[0].as_py(), np.int64).reshape(len(n_tables), -1)
+    first = np.where(customers > 0, (1 - unknown) * spelled / mass, unknown)
+    return words, np.mean([(customers - discount * t + (WORD_STRENGTH + discount * n) * first) / (WORD_STRENGTH + seats) for t, n in zip(tables, n_tables)], axis=0)
+
+
+def _word_answers(discount: float, seats: int, n_tables: list[int], unknown: float, mass: float):
+    """Count and probability of the words that each block asks a word destination for."""
 
     def run(requests: pa.Table, state: pa.Table) -> pa.Table:
-        words, counts = _split(state.column("words")[0].as_py()), _unpack(state.column("counts")[0].as_py(), np.int64)
-        spelled = 10 ** _unpack(state.column("spelled")[0].as_py(), np.float32).astype(np.float64)
-        tables = _unpack(state.column("tables")[0].as_py(), np.int64).reshape(len(n_tables), -1)
-        first = np.where(counts > 0, (1 - unknown) * spelled / mass, unknown)
-        p = np.mean([(counts - discount * t + (WORD_STRENGTH + discount * n) * first) / (WORD_STRENGTH + tokens) for t, n in zip(tables, n_tables)], axis=0)
-        logs = np.log10(p)
+        words, p = _predicted(state, discount, seats, n_tables, unknown, mass)
+        counts = _unpack(state.column("counts")[0].as_py(), np.int64)
         place = {w: i for i, w in enumerate(words)}
         rows = [np.fromiter(map(place.__getitem__, _split(x)), np.int64) for x in requests.column("words").to_pylist()]
-        arrays = [requests.column("block").combine_chunks(), requests.column("dest").combine_chunks(), pa.array([_pack(counts[r]) for r in rows], pa.binary()), pa.array([_pack(logs[r].astype(np.float32)) for r in rows], pa.binary())]
-        return pa.Table.from_arrays(arrays, names=["block", "dest", "counts", "logs"])
+        none = pa.nulls(len(rows), pa.binary())
+        arrays = [requests.column("block").combine_chunks(), requests.column("dest").combine_chunks(), pa.array([_pack(counts[r]) for r in rows], pa.binary()), pa.array([_pack(p[r].astype(np.float32)) for r in rows], pa.binary()), none, none]
+        return pa.Table.from_arrays(arrays, names=["block", "dest", "counts", "p", "shares", "gains"])
 
     return run
 
@@ -396,28 +591,27 @@ class _Lookup:
         return self.values[at]
 
 
-def _scores(dests: int, tokens: int, types: int):
+def _scores(dests: int, tokens: int, types: int, ends: int):
     floor = float(np.log10(tokens + types + 1))
+    # Untrained, the end is the unknown word too.
+    end, on = (np.log10(ends / (tokens + 1)), np.log10(1 - ends / (tokens + 1))) if tokens else (0.0, 0.0)
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = docs.column("text")
-        distinct: set[bytes] = set()
-        for t in texts:
-            distinct.update(words_of(t.as_py()))
-        words = sorted(distinct)
-        where = dict(_by_dest(words, dests))
-        counts, logs = np.zeros(len(words), np.int64), np.zeros(len(words))
-        for dest, n, p in zip(*(answers.column(x).to_pylist() for x in ("dest", "counts", "logs"))):
-            counts[where[dest]] = _unpack(n, np.int64)
-            logs[where[dest]] = _unpack(p, np.float32)
-        base_of = np.log10(counts + 1.0) - floor
-        place = {w: i for i, w in enumerate(words)}
-        out = np.zeros((len(texts), 2), np.int64), np.zeros((len(texts), 2))
-        for i, t in enumerate(texts):
-            at = np.fromiter(map(place.__getitem__, words_of(t.as_py())), np.int64)
-            out[0][i] = len(at), (counts[at] > 0).sum()
-            out[1][i] = base_of[at].sum(), logs[at].sum()
-        arrays = [docs.column("doc_id").combine_chunks(), docs.column("held_out").combine_chunks(), pa.array(out[0][:, 0]), pa.array(out[0][:, 1]), pa.array(np.full(len(texts), tokens, np.int64)), pa.array(out[1][:, 0]), pa.array(out[1][:, 1])]
+        words, at, sizes = _block_words(docs.column("text"))
+        first, second, of = _block_pairs(at, len(words))
+        where = {d: x for d, *x in _by_dest(_hashes(words), first, dests)}
+        counts, p, shares, gains = np.zeros(len(words), np.int64), np.zeros(len(words)), np.ones(len(words)), np.zeros(len(first))
+        for dest, n, own, share, gain in zip(*(answers.column(x).to_pylist() for x in ("dest", "counts", "p", "shares", "gains"))):
+            mine, pairs = where[dest]
+            if n is not None:
+                counts[mine], p[mine] = _unpack(n, np.int64), _unpack(own, np.float32)
+            else:
+                shares[mine], gains[pairs] = _unpack(share, np.float32), _unpack(gain, np.float32)
+        logs = np.full(len(at), end)
+        logs[at > 0] = (on + np.log10(gains + shares[first] * p[second]))[of]
+        edges = np.cumsum(sizes) - sizes
+        known, base, score = (np.add.reduceat(x, edges) for x in ((counts > 0).astype(np.int64)[at], (np.log10(counts + 1.0) - floor)[at], logs))
+        arrays = [docs.column("doc_id").combine_chunks(), docs.column("held_out").combine_chunks(), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(np.full(len(sizes), tokens, np.int64)), pa.array(base), pa.array(score)]
         return pa.Table.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
@@ -426,6 +620,16 @@ def _scores(dests: int, tokens: int, types: int):
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def _discount(once: int, twice: int) -> float:
+    return min(max(once / (once + 2 * twice), 0.05), 0.95) if once + twice else 0.5
+
+
+def _totals(state: DataFrame) -> tuple[list[int], float]:
+    """The word restaurant's tables in each sample, and what its known words' spellings add up to."""
+    n = [r["n"] for r in state.select(F.posexplode("n_tables").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").collect()]  # a row a sample
+    return n or [0], state.agg(F.sum("mass")).first()[0] or 1.0
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -436,16 +640,22 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = crc_mod("doc_id", FOLDS) == HELD
     dealt = source.select("doc_id", "text", held.alias("held_out"), (~held).alias("train"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
     requests = materialize(dealt.groupBy("block").applyInArrow(_requests(dests), REQUESTS))
-    state = materialize(requests.groupBy("dest").applyInArrow(_summed, WORDS))
-    sums = state.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "once", "twice"))).first()
-    tokens, types = sums[0], sums[1]
-    discount = min(max(sums[2] / (sums[2] + 2 * sums[3]), 0.05), 0.95) if sums[2] + sums[3] else 0.5
-    n_tables, mass = [types], 1.0
-    # Of the customers that open a table, so many order the unknown word; all, if nothing has been learned.
-    unknown = min(max((sums[2] + 1) / (WORD_STRENGTH + discount * types + 1), 1 / (types + 1)), 0.95) if types else 1.0
+    pairs = materialize(requests.groupBy("dest").applyInArrow(_paired, PAIRS))
+    once, twice = pairs.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("once", "twice"))).first()
+    pair_discount = _discount(once, twice)
+    summed = materialize(requests.select("dest", "words", "counts").groupBy("dest").applyInArrow(_summed, WORDS))
+    sent = materialize(pairs.select("dest", "keys", "seconds", "tables").mapInArrow(_pair_tables(dests), TABLES))
+    state = materialize(summed.groupBy("dest").cogroup(sent.groupBy("dest")).applyInArrow(_customers, WORDS))
+    discard(summed)
+    tokens, types, ends = state.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "ends"))).first()
+    mass, n_tables = 1.0, []
     p1 = np.full(65_536, 1 / SYMBOLS)
     for number in range(rounds):
         last = number == rounds - 1
+        seats, dishes, once, twice = state.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("seats", "dishes", "once", "twice"))).first()
+        discount, n_tables = _discount(once, twice), n_tables or [dishes]
+        # Of the customers that open a table, so many order the unknown word; all, if nothing has been learned.
+        unknown = min(max((once + 1) / (WORD_STRENGTH + discount * dishes + 1), 1 / (dishes + 1)), 0.95) if dishes else 1.0
         asked = materialize(state.select("dest", "words", "tables").mapInArrow(_gram_requests(gram_dests), GRAMS))
         model = materialize(asked.groupBy("dest").applyInArrow(_round(p1, number), MODEL))
         below = np.zeros(65_536)
@@ -454,16 +664,35 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         p1 = short_contexts(below, _seed(2**31, number))
         answers = asked.select("block", "dest", "grams").groupBy("dest").cogroup(model.select("dest", "grams", "logs").groupBy("dest")).applyInArrow(_answered, "block int, dest int, logs binary")
         seated = _seated(gram_dests, discount, n_tables[-1], (1 - unknown) / mass, number, SAMPLES if last else 1)
-        following = materialize(state.select("dest", "words", "counts").groupBy("dest").cogroup(answers.groupBy("block")).applyInArrow(seated, WORDS))
+        following = materialize(state.select("dest", "words", "counts", "customers").groupBy("dest").cogroup(answers.groupBy("block")).applyInArrow(seated, WORDS))
         for old in (asked, model, state):
             discard(old)
         state = following
-        n_tables = [r["n"] for r in state.select(F.posexplode("n_tables").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").collect()] or n_tables  # a row a sample
-        mass = state.agg(F.sum("mass")).first()[0] or 1.0
-    back = materialize(requests.select("block", "dest", "words").groupBy("dest").cogroup(state.select("dest", "words", "counts", "spelled", "tables").groupBy("dest")).applyInArrow(_word_answers(discount, tokens, n_tables, unknown, mass), "block int, dest int, counts binary, logs binary"))
-    discard(requests)
+        n_tables, mass = _totals(state)
+        if number and not last:
+            continue
+        learned = (discount, seats, n_tables, unknown, mass)
+        parents = sent.select("pair_dest", "dest", "seconds").groupBy("dest").cogroup(state.groupBy("dest")).applyInArrow(_parents(*learned), "pair_dest int, dest int, p binary")
+        reseated = materialize(pairs.groupBy("dest").cogroup(parents.groupBy("pair_dest")).applyInArrow(_pairs_seated(dests, pair_discount, number, last), PAIRS))
+        discard(pairs)
+        discard(sent)
+        pairs = reseated
+        if not last:
+            sent = materialize(pairs.select("dest", "keys", "seconds", "tables").mapInArrow(_pair_tables(dests), TABLES))
+            following = materialize(state.groupBy("dest").cogroup(sent.groupBy("dest")).applyInArrow(_customers, WORDS))
+            discard(state)
+            state = following
+            n_tables, mass = _totals(state)
+    back = [materialize(requests.select("block", "dest", "words").groupBy("dest").cogroup(state.groupBy("dest")).applyInArrow(_word_answers(*learned), ANSWERS))]
     discard(state)
-    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_scores(dests, tokens, types), SCORES)
+    for k in range(ANSWER_PARTS):  # one after another, so that only a part is in shuffle files
+        own = lambda x: x.where(F.col("dest") % ANSWER_PARTS == k)  # noqa: B023, E731
+        asking = own(requests).select("block", "dest", "words", "seconds", "first", "second").groupBy("dest")
+        back.append(materialize(asking.cogroup(own(pairs).select("dest", "keys", "seconds", "gains", "shares").groupBy("dest")).applyInArrow(_pair_answers, ANSWERS)))
+    discard(requests)
+    discard(pairs)
+    back = reduce(DataFrame.union, back)
+    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_scores(dests, tokens, types, ends), SCORES)
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
