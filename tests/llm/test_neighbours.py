@@ -62,3 +62,14 @@ def test_short_units_keep_directions():
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     again = N._unit(N.pa.array(N._short(unit), N.pa.binary()))
     assert np.abs(again @ again.T - unit @ unit.T).max() < 0.01
+
+
+def test_recall_among_near_equal_vectors(spark):
+    """A large group of jittered copies of one vector, rescaled, beside random vectors."""
+    draw = np.random.default_rng(8)
+    centre = draw.normal(size=64)
+    x = np.concatenate([centre / np.linalg.norm(centre) + 1e-3 * draw.normal(size=(1200, 64)), draw.normal(size=(300, 64))])
+    x *= draw.uniform(0.5, 2, size=(len(x), 1))
+    vectors = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = rows(N.nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), 25))
+    assert _recall(got, _brute(vectors, 25, 5)) >= 0.9

@@ -9,8 +9,9 @@ neighbours), and keeps each node's ``degree`` best. It ends when few neighbours
 
 A search starts at the query's own node if it is indexed, or at the nearest pivots' nodes, and expands
 the best nodes not yet expanded, round by round in joins, until the best ``beam`` of every query are
-expanded or ``max_rounds`` is reached. Scores of the result are cosines of the original vectors in
-double precision.
+expanded or ``max_rounds`` is reached. Nodes are ranked by the distance of unit vectors kept in single
+precision, computed in double: near-equal vectors keep their order, which products of rounded vectors
+lose. The whole beam is then ranked by the cosines of the original vectors in double precision.
 
 Cases: vectors that are null, zero, of another length than the longest, or hold null or non-finite components take no
 part, nor do rows without an id; ties go to the smaller id; a repeated id is one row; an empty table
@@ -38,8 +39,8 @@ SETTLED = 0.02
 BEAM = 192
 WIDTH = 48
 SEARCH_ROUNDS = 6
-#: Nodes of each query that the end scores exactly.
-FINAL = 24
+#: Nodes of each query that the end scores exactly: the whole beam.
+FINAL = BEAM
 _IDS = 8
 
 
@@ -49,17 +50,19 @@ def _exact(column: pa.Array) -> np.ndarray:
 
 
 def _short(unit: np.ndarray) -> list[bytes]:
-    """Unit vectors in a byte a component: the step as a single-precision number, then the steps."""
-    step = (np.abs(unit).max(1, keepdims=True) / 127).astype(np.float32)
-    return [a.tobytes() + b.tobytes() for a, b in zip(step, np.rint(unit / step).astype(np.int8))]
+    """Unit vectors in single precision."""
+    return [x.tobytes() for x in unit.astype(np.float32)]
 
 
 def _unit(column: pa.Array) -> np.ndarray:
-    """What ``_short`` spelled, as a matrix."""
-    if not len(column):
-        return np.zeros((0, 0), np.float32)
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
+    """What ``_short`` spelled, as a matrix of doubles."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 0))
+
+
+def _nearness(x: np.ndarray) -> np.ndarray:
+    """Of each two rows, less half their squared distance: for unit vectors, the cosine less one."""
+    half = np.einsum("ij,ij->i", x, x) / 2
+    return x @ x.T - half[:, None] - half[None, :]
 
 
 def _gathered(keep: int):
@@ -111,12 +114,12 @@ def _best(near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _edges(nodes: np.ndarray, unit: np.ndarray, k: int) -> pa.RecordBatch:
-    near = unit @ unit.T
+    near = _nearness(unit)
     np.fill_diagonal(near, -9)
     if len(nodes) < 2:
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float32())], names=["u", "v", "s"])
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["u", "v", "s"])
     rows, columns = _best(near, min(k, len(nodes) - 1))
-    return pa.RecordBatch.from_arrays([pa.array(nodes[rows]), pa.array(nodes[columns]), pa.array(near[rows, columns].astype(np.float32))], names=["u", "v", "s"])
+    return pa.RecordBatch.from_arrays([pa.array(nodes[rows]), pa.array(nodes[columns]), pa.array(near[rows, columns])], names=["u", "v", "s"])
 
 
 def _blocked(block: int, k: int):
@@ -170,7 +173,7 @@ def _compared(k: int):
                 own, first = np.unique(node[at : at + n], return_index=True)
                 if len(own) > 1:
                     x, least = unit[at : at + n][first], worst[at : at + n][first]
-                    near = x @ x.T
+                    near = _nearness(x)
                     np.fill_diagonal(near, -9)
                     rows, columns = _best(near, min(k, len(own) - 1))
                     s = near[rows, columns]
@@ -180,7 +183,7 @@ def _compared(k: int):
                     ss.append(s[good])
                 at += n
             join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(join(us, np.int64)), pa.array(join(vs, np.int64)), pa.array(join(ss, np.float32))], names=["u", "v", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(join(us, np.int64)), pa.array(join(vs, np.int64)), pa.array(join(ss, np.float64))], names=["u", "v", "s"])
 
     return run
 
@@ -195,16 +198,16 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, block: int = BLOCK, pivo
     """The neighbour graph of a materialized nodes table: u, near (array of s, v; best first)."""
     sampled = nodes.select("unit").orderBy(F.xxhash64("node", F.lit(seed))).limit(pivots * starts).collect()  # pivots * starts rows
     if not sampled:
-        return materialize(nodes.sparkSession.createDataFrame([], "u long, near array<struct<s:float,v:long>>"))
+        return materialize(nodes.sparkSession.createDataFrame([], "u long, near array<struct<s:double,v:long>>"))
     points = _unit(pa.array([bytes(r["unit"]) for r in sampled], pa.binary()))
     draw = np.random.default_rng(seed)
     edges = None
     for i in range(starts):
         direction = draw.normal(size=points.shape[1])
         own = points[i % len(points) :: starts]
-        keyed = nodes.select("node", "unit").mapInArrow(_ordered(own, (direction / np.linalg.norm(direction)).astype(np.float32)), "node long, unit binary, key double")
+        keyed = nodes.select("node", "unit").mapInArrow(_ordered(own, direction / np.linalg.norm(direction)), "node long, unit binary, key double")
         sorted_rows = keyed.repartitionByRange(F.col("key"), F.col("node")).sortWithinPartitions("key", "node")
-        part = sorted_rows.mapInArrow(_blocked(block, degree), "u long, v long, s float")
+        part = sorted_rows.mapInArrow(_blocked(block, degree), "u long, v long, s double")
         edges = part if edges is None else edges.union(part)
     graph = materialize(_top(edges.groupBy("u", "v").agg(F.max("s").alias("s")), degree))
     many = nodes.count()
@@ -213,10 +216,10 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, block: int = BLOCK, pivo
         # A node's members: itself, its neighbours, and the nearest of those whose neighbour it is.
         back = flat.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("s"), "u"))).where(F.col("r") <= degree).select(F.col("v").alias("centre"), F.col("u").alias("member"))
         around = flat.select(F.col("u").alias("centre"), F.col("v").alias("member")).union(back).union(graph.select(F.col("u").alias("centre"), F.col("u").alias("member")))
-        worst = graph.select(F.col("u").alias("member"), F.when(F.size("near") < degree, F.lit(-9.0)).otherwise(F.element_at("near", -1)["s"]).cast("float").alias("worst"))
+        worst = graph.select(F.col("u").alias("member"), F.when(F.size("near") < degree, F.lit(-9.0)).otherwise(F.element_at("near", -1)["s"]).cast("double").alias("worst"))
         about = nodes.select(F.col("node").alias("member"), "unit").join(worst, "member")
         groups = around.join(about, "member").groupBy("centre").agg(F.collect_list(F.struct("member", "unit", "worst")).alias("members"))  # 2 * degree + 1 at most
-        proposed = groups.select("members").mapInArrow(_compared(degree), "u long, v long, s float").groupBy("u", "v").agg(F.max("s").alias("s"))
+        proposed = groups.select("members").mapInArrow(_compared(degree), "u long, v long, s double").groupBy("u", "v").agg(F.max("s").alias("s"))
         fresh = materialize(proposed.join(flat.select("u", "v"), ["u", "v"], "left_anti"))
         changed = fresh.count()
         better = materialize(_top(flat.union(fresh), degree))
@@ -229,23 +232,24 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, block: int = BLOCK, pivo
 
 
 def _cosines(exact: bool):
-    """q, v and the cosine of the vectors a and b: exact ones, or short unit vectors."""
+    """q, v and the cosine of the exact vectors a and b, or the nearness of the short unit vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4_096):
                 part = batch.slice(at, 4_096)
                 a, b = ((_exact if exact else _unit)(part.column(name)) for name in ("a", "b"))
-                s = np.einsum("ij,ij->i", a, b)
-                if exact:
-                    s = s / np.sqrt(np.einsum("ij,ij->i", a, a)) / np.sqrt(np.einsum("ij,ij->i", b, b))
+                if not exact:
+                    s = np.square(a - b).sum(1) / -2
+                else:
+                    s = np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a)) / np.sqrt(np.einsum("ij,ij->i", b, b))
                 yield pa.RecordBatch.from_arrays([part.column("q"), part.column("v"), pa.array(s.astype(np.float64))], names=["q", "v", "s"])
 
     return run
 
 
 def _scored(pairs: DataFrame, nodes: DataFrame, asked: DataFrame, exact: bool = False) -> DataFrame:
-    """The pairs (q, v) with the cosine of their nodes' vectors."""
+    """The pairs (q, v) with the cosine or the nearness of their nodes' vectors."""
     name = "exact" if exact else "unit"
     where = nodes.select(F.col("node").alias("v"), F.col(name).alias("b"))
     return pairs.join(where, "v").join(asked.select("q", F.col(name).alias("a")), "q").select("q", "v", "a", "b").mapInArrow(_cosines(exact), "q long, v long, s double")
@@ -254,7 +258,7 @@ def _scored(pairs: DataFrame, nodes: DataFrame, asked: DataFrame, exact: bool =
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM, width: int = WIDTH, max_rounds: int = SEARCH_ROUNDS, final: int = FINAL) -> DataFrame:
     """The nodes found for each query node of column q: q, v, s (exact cosine), the final best of each, q itself among them."""
     asked = materialize(nodes.join(queries.select(F.col("q").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("q"), "unit", "exact"))
-    state = materialize(asked.select("q", F.col("q").alias("v"), F.lit(1.0).alias("s"), F.lit(False).alias("done")))
+    state = materialize(asked.select("q", F.col("q").alias("v"), F.lit(0.0).alias("s"), F.lit(False).alias("done")))
     best = Window.partitionBy("q").orderBy(F.desc("s"), "v")
     to_do = Window.partitionBy("q").orderBy("done", F.desc("s"), "v")
     for _ in range(max_rounds):
