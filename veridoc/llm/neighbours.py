@@ -1,25 +1,29 @@
 """Approximate nearest neighbours: a graph built by NN-descent, searched greedily.
 
-Equal vectors are one node of the graph, with its least ids, so a vector that fills a third of the
-table is as cheap as any other. The graph starts from blocks: nodes are sorted by their nearest of
-``pivots`` sampled nodes (the only sample; it fixes an order, every node is indexed) and a random
-direction, and compared within runs of ``block`` rows. Each round of NN-descent joins every node's
-neighbours, forward and backward, around it, compares them with each other (they are neighbours of
-neighbours), and keeps each node's ``degree`` best. It ends when few neighbours change.
-
-A search starts at the query's own node if it is indexed, or at the nearest pivots' nodes, and expands
-the best nodes not yet expanded, round by round in joins, until the best ``beam`` of every query are
-expanded or ``max_rounds`` is reached. Nodes are ranked by the distance of unit vectors kept in single
-precision, computed in double: near-equal vectors keep their order, which products of rounded vectors
-lose. The whole beam is then ranked by the cosines of the original vectors in double precision.
-
-Cases: vectors that are null, zero, of another length than the longest, or hold null or non-finite components take no
-part, nor do rows without an id; ties go to the smaller id; a repeated id is one row; an empty table
-gives no rows; other columns are not read.
+Vectors of one direction (equal but for a positive factor, to twelve decimals) are one node of the graph, with its
+least ids, so a vector that fills a third of the table is as cheap as any other. The graph starts from blocks: in
+each of ``starts`` orders, by the nearest of ``pivots`` sampled nodes (the only sample; it fixes an order, every node
+is indexed) and then along a random direction, nodes are numbered through the whole table and cut into blocks of about
+``block`` rows, whose members are compared with each other. How the table or a shuffle is partitioned doesn't matter.
+Each round of NN-descent joins every node's neighbours, forward and backward, around it, compares them with each other
+(they are neighbours of neighbours) where one of the two is new to it, and keeps each node's ``degree`` best. It ends
+when hardly any neighbour is new, however many rounds that takes.
+
+A search starts at the query's own node and expands the best nodes not yet expanded along links in either direction,
+round by round in joins, until the whole beam is expanded. The beam grows with the logarithm of the number of nodes.
+Nodes are ranked by the distance of unit vectors kept in single precision, computed in double: near-equal vectors
+keep their order, which products of rounded vectors lose. The whole beam is then ranked by the cosines of the original
+vectors in double precision.
+
+Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id;
+cosines are of vectors of one length, so those of another length than the commonest (of two, the longer) take no part;
+ties go to the smaller id, of nodes found; a repeated id is one row; an empty table gives no rows; other columns,
+texts of any length included, are not read. A query is a row of the table.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,17 +35,19 @@ from pyspark.sql import functions as F
 from veridoc.llm.common import discard, materialize, table
 
 DEGREE = 32
-BLOCK = 2048
+BLOCK = 1024
 PIVOTS = 128
 STARTS = 3
-ROUNDS = 6
 SETTLED = 0.02
-BEAM = 192
-WIDTH = 48
-SEARCH_ROUNDS = 6
-#: Nodes of each query that the end scores exactly: the whole beam.
-FINAL = BEAM
+#: Nodes in a beam, times the binary logarithm of the number of nodes.
+BEAM = 10
 _IDS = 8
+_HELD = 50_000
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def _exact(column: pa.Array) -> np.ndarray:
@@ -65,22 +71,37 @@ def _nearness(x: np.ndarray) -> np.ndarray:
     return x @ x.T - half[:, None] - half[None, :]
 
 
+def _directions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to (id, v) the bytes of the direction: components over the greatest one, to twelve decimals."""
+    for batch in batches:
+        x = _matrix(batch.column(1))
+        way = np.round(x / np.abs(x).max(1, keepdims=True), 12) + 0.0 if len(x) else x
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in way], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "way", "exact"])
+
+
 def _gathered(keep: int):
-    """Of each vector in a partition: its doubles, and its least ids."""
+    """Of each direction in a partition: its least ids, and the vector of the least. Those of many are told in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[bytes, list[int]] = defaultdict(list)
-        for batch in batches:
-            for key, i in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist()):
-                own = least[np.array(key, np.float64).tobytes()]
-                if i not in own:
-                    own.append(i)
-                    if len(own) > 4 * keep:
-                        own[:] = sorted(own)[:keep]
-        keys = list(least)
-        for at in range(0, len(keys), 5_000):
-            part = keys[at : at + 5_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([sorted(least[k])[:keep] for k in part], pa.list_(pa.int64()))], names=["exact", "ids"])
+        least: dict[bytes, dict[int, bytes]] = defaultdict(dict)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            keys = list(least)
+            for at in range(0, len(keys), 5_000):
+                part = keys[at : at + 5_000]
+                ids = [sorted(least[k])[:keep] for k in part]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([least[k][i[0]] for k, i in zip(part, ids)], pa.binary()), pa.array(ids, pa.list_(pa.int64()))], names=["way", "exact", "ids"])
+            least.clear()
+
+        for batch in _directions(batches):
+            for i, way, exact in zip(*(c.to_pylist() for c in batch.columns)):
+                own = least[way]
+                own[i] = min(exact, own.get(i, exact))
+                if len(own) > 4 * keep:
+                    least[way] = {j: own[j] for j in sorted(own)[:keep]}
+            if len(least) > _HELD:
+                yield from told()
+        yield from told()
 
     return run
 
@@ -94,16 +115,22 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in ids.to_pylist()], pa.int64()), batch.column(0), pa.array(_short(unit) if len(unit) else [], pa.binary()), ids], names=["node", "exact", "unit", "ids"])
 
 
-def nodes_of(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", keep: int = _IDS) -> DataFrame:
-    """A row per distinct vector: node (its least id), exact (doubles), unit (bytes), ids (its keep least)."""
+def _rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """id and v (doubles) of the rows that take part."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = rows.where(F.forall("v", finite) & F.exists("v", lambda x: x != 0))
-    size = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    least = rows.where(F.size("v") == size).mapInArrow(_gathered(keep), "exact binary, ids array<long>")
-    salted = least.groupBy("exact", F.pmod(F.xxhash64("ids"), F.lit(16)).alias("salt")).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids"))
-    merged = salted.groupBy("exact").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids"))
-    return merged.mapInArrow(_units, "node long, exact binary, unit binary, ids array<long>")
+    commonest = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    return rows.where(F.size("v") == (commonest["size"] if commonest else 0))
+
+
+def nodes_of(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", keep: int = _IDS) -> DataFrame:
+    """A row per direction: node (its least id), exact (that one's doubles), unit (bytes), ids (its keep least)."""
+    least = _rows(vectors, id_col, vector_col).mapInArrow(_gathered(keep), "way binary, exact binary, ids array<long>")
+    first = F.min_by("exact", F.element_at("ids", 1)).alias("exact")
+    merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids")
+    salted = least.groupBy("way", F.pmod(F.xxhash64("ids"), F.lit(16)).alias("salt")).agg(first, merged)  # a row a task and direction at most, but for those told in parts
+    return salted.groupBy("way").agg(first, merged).select("exact", "ids").mapInArrow(_units, "node long, exact binary, unit binary, ids array<long>")
 
 
 def _best(near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,188 +140,206 @@ def _best(near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(near)), k), columns.ravel()
 
 
-def _edges(nodes: np.ndarray, unit: np.ndarray, k: int) -> pa.RecordBatch:
-    near = _nearness(unit)
-    np.fill_diagonal(near, -9)
-    if len(nodes) < 2:
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["u", "v", "s"])
-    rows, columns = _best(near, min(k, len(nodes) - 1))
-    return pa.RecordBatch.from_arrays([pa.array(nodes[rows]), pa.array(nodes[columns]), pa.array(near[rows, columns])], names=["u", "v", "s"])
+EDGES = "u long, v long, s double"
+GRAPH = "u long, near array<struct<s:double,v:long,old:boolean>>"
 
 
-def _blocked(block: int, k: int):
-    """Compares runs of block rows of a sorted partition."""
+def _block(k: int):
+    """Compares a block's members with each other; the k nearest of each are its first neighbours."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, unit = np.zeros(0, np.int64), None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = _unit(batch.column("unit"))
-            nodes, unit = np.concatenate([nodes, batch.column("node").to_numpy()]), own if unit is None else np.concatenate([unit, own])
-            while len(nodes) >= 2 * block:
-                yield _edges(nodes[:block], unit[:block], k)
-                nodes, unit = nodes[block:], unit[block:]
-        if len(nodes) > block:  # the last two runs share what is left
-            half = len(nodes) // 2
-            yield _edges(nodes[:half], unit[:half], k)
-            nodes, unit = nodes[half:], unit[half:]
-        if len(nodes):
-            yield _edges(nodes, unit, k)
+    def run(rows: pa.Table) -> pa.Table:
+        nodes, near = rows.column("node").to_numpy(), _nearness(_unit(rows.column("unit").combine_chunks()))
+        np.fill_diagonal(near, -9)
+        if len(nodes) < 2:
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "s": pa.array([], pa.float64())})
+        at, columns = _best(near, min(k, len(nodes) - 1))
+        return pa.table({"u": nodes[at], "v": nodes[columns], "s": near[at, columns]})
 
     return run
 
 
-def _ordered(pivots: np.ndarray, direction: np.ndarray):
-    """Adds key: the nearest pivot's number, and the place along the direction as its fraction."""
+def _ordered(pivots: np.ndarray, ways: np.ndarray):
+    """A row for each start: the nearest of the start's pivots and, as a fraction, the place along its direction."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             unit = _unit(batch.column("unit"))
-            key = (unit @ pivots.T).argmax(1) + (unit @ direction + 1) / 2.0001 if len(unit) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("unit"), pa.array(key.astype(np.float64))], names=["node", "unit", "key"])
+            for i, way in enumerate(ways):
+                key = (unit @ pivots[i % len(pivots) :: len(ways)].T).argmax(1) + (unit @ way + 1) / 2.0001 if len(unit) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), i), pa.int32()), pa.array(key, pa.float64()), batch.column("node"), batch.column("unit")], names=["start", "key", "node", "unit"])
 
     return run
 
 
-def _compared(k: int):
-    """Compares the members around a node with each other; those better than a member's worst are proposed."""
+def _numbered(sorted_rows: DataFrame) -> DataFrame:
+    """Adds number, each row's place in a range-partitioned and sorted table. The driver gets a count a partition."""
+    placed = materialize(sorted_rows.withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33).cast("int").alias("part")
+    counts = placed.groupBy(part).count().orderBy("part").collect()  # a row a partition
+    before, offsets = 0, []
+    for r in counts:
+        offsets.append((r["part"], before))
+        before += r["count"]
+    of = placed.sparkSession.createDataFrame(offsets, "part int, before long")
+    out = placed.withColumn("part", part).join(F.broadcast(of), "part").withColumn("number", F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).drop("part", "before", "at")
+    out.veridoc_path = placed.veridoc_path
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            members = batch.column(0)
-            flat = members.flatten()
-            node, worst = flat.field(0).to_numpy(), flat.field(2).to_numpy()
-            unit = _unit(flat.field(1))
-            sizes = members.value_lengths().to_numpy()
-            us, vs, ss = [], [], []
-            at = 0
-            for n in sizes.tolist():
-                own, first = np.unique(node[at : at + n], return_index=True)
-                if len(own) > 1:
-                    x, least = unit[at : at + n][first], worst[at : at + n][first]
-                    near = _nearness(x)
-                    np.fill_diagonal(near, -9)
-                    rows, columns = _best(near, min(k, len(own) - 1))
-                    s = near[rows, columns]
-                    good = s > least[rows]
-                    us.append(own[rows[good]])
-                    vs.append(own[columns[good]])
-                    ss.append(s[good])
-                at += n
-            join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(join(us, np.int64)), pa.array(join(vs, np.int64)), pa.array(join(ss, np.float64))], names=["u", "v", "s"])
 
-    return run
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares the members around a node with each other where one is new; those nearer than a member's worst are proposed."""
+    for batch in batches:
+        members = batch.column(0)
+        flat = members.flatten()
+        node, worst, old, unit = flat.field(0).to_numpy(), flat.field(2).to_numpy(), flat.field(3).to_numpy(zero_copy_only=False), _unit(flat.field(1))
+        us, vs, ss = ([np.zeros(0, k)] for k in (np.int64, np.int64, np.float64))
+        at = 0
+        for n in members.value_lengths().to_pylist():
+            own, first, of = np.unique(node[at : at + n], return_index=True, return_inverse=True)
+            new = np.bincount(of, old[at : at + n]) == 0
+            near = _nearness(unit[at : at + n][first])
+            good = (new[:, None] | new[None, :]) & (near > worst[at : at + n][first][:, None])
+            np.fill_diagonal(good, False)
+            i, j = np.nonzero(good)
+            us.append(own[i])
+            vs.append(own[j])
+            ss.append(near[i, j])
+            at += n
+        u, v, s = map(np.concatenate, (us, vs, ss))
+        order = np.lexsort((v, u))
+        new = order[np.concatenate([[True], (np.diff(u[order]) != 0) | (np.diff(v[order]) != 0)])] if len(u) else order
+        for k in range(0, len(new), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[new[k : k + 100_000]]) for x in (u, v, s)], names=["u", "v", "s"])
 
 
 def _top(edges: DataFrame, k: int) -> DataFrame:
-    """The k best of each node's neighbours, which differ: u, near (s, v), best first."""
-    ranked = edges.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v"))).where(F.col("r") <= k)
-    return ranked.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("s", "v")), asc=False).alias("near"))
+    """Of edges (u, v, s, old), which may repeat, each node's k best, best first. All of it after one shuffle by u."""
+    once = edges.repartition("u").groupBy("u", "v").agg(F.max("s").alias("s"), F.max("old").alias("old"))
+    ranked = once.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v"))).where(F.col("r") <= k)
+    return ranked.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("s", "v", "old")), asc=False).alias("near"))
+
 
+def _links(graph: DataFrame, degree: int) -> DataFrame:
+    """Both directions of the graph's links, backward ones the degree best of a node: centre, member, old."""
+    flat = graph.select("u", F.explode("near").alias("e")).select("u", F.col("e.v").alias("v"), F.col("e.s").alias("s"), F.col("e.old").alias("old"))
+    back = flat.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("s"), "u"))).where(F.col("r") <= degree)
+    return flat.select(F.col("u").alias("centre"), F.col("v").alias("member"), "old").union(back.select("v", "u", "old"))
 
-def build_graph(nodes: DataFrame, degree: int = DEGREE, block: int = BLOCK, pivots: int = PIVOTS, starts: int = STARTS, rounds: int = ROUNDS, seed: int = 11) -> DataFrame:
-    """The neighbour graph of a materialized nodes table: u, near (array of s, v; best first)."""
+
+def build_graph(nodes: DataFrame, degree: int = DEGREE, block: int = BLOCK, pivots: int = PIVOTS, starts: int = STARTS, rounds: int | None = None, seed: int = 11) -> DataFrame:
+    """The neighbour graph of a materialized nodes table: u, near (array of s, v, old; best first). rounds: as many as it takes, or at most so many."""
+    many = nodes.count()
+    if many < 2:
+        return materialize(nodes.sparkSession.createDataFrame([], GRAPH))
     sampled = nodes.select("unit").orderBy(F.xxhash64("node", F.lit(seed))).limit(pivots * starts).collect()  # pivots * starts rows
-    if not sampled:
-        return materialize(nodes.sparkSession.createDataFrame([], "u long, near array<struct<s:double,v:long>>"))
     points = _unit(pa.array([bytes(r["unit"]) for r in sampled], pa.binary()))
-    draw = np.random.default_rng(seed)
-    edges = None
-    for i in range(starts):
-        direction = draw.normal(size=points.shape[1])
-        own = points[i % len(points) :: starts]
-        keyed = nodes.select("node", "unit").mapInArrow(_ordered(own, direction / np.linalg.norm(direction)), "node long, unit binary, key double")
-        sorted_rows = keyed.repartitionByRange(F.col("key"), F.col("node")).sortWithinPartitions("key", "node")
-        part = sorted_rows.mapInArrow(_blocked(block, degree), "u long, v long, s double")
-        edges = part if edges is None else edges.union(part)
-    graph = materialize(_top(edges.groupBy("u", "v").agg(F.max("s").alias("s")), degree))
-    many = nodes.count()
-    for _ in range(rounds):
-        flat = graph.select("u", F.explode("near").alias("e")).select("u", F.col("e.v").alias("v"), F.col("e.s").alias("s"))
+    ways = np.random.default_rng(seed).normal(size=(starts, points.shape[1]))
+    keyed = nodes.select("node", "unit").mapInArrow(_ordered(points, ways / np.linalg.norm(ways, axis=1, keepdims=True)), "start int, key double, node long, unit binary")
+    rows = _numbered(keyed.repartitionByRange("start", "key", "node").sortWithinPartitions("start", "key", "node"))
+    blocks = -(-many // block)
+    place = F.floor((F.col("number") - F.col("start") * many) * blocks / F.lit(many)).alias("block")
+    first = rows.select("start", place, "node", "unit").groupBy("start", "block").applyInArrow(_block(degree), EDGES)
+    graph = materialize(_top(first.withColumn("old", F.lit(False)), degree))
+    discard(rows)
+    while rounds is None or rounds > 0:
+        rounds = None if rounds is None else rounds - 1
         # A node's members: itself, its neighbours, and the nearest of those whose neighbour it is.
-        back = flat.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("s"), "u"))).where(F.col("r") <= degree).select(F.col("v").alias("centre"), F.col("u").alias("member"))
-        around = flat.select(F.col("u").alias("centre"), F.col("v").alias("member")).union(back).union(graph.select(F.col("u").alias("centre"), F.col("u").alias("member")))
+        around = _links(graph, degree).union(graph.select("u", "u", F.lit(True)))
         worst = graph.select(F.col("u").alias("member"), F.when(F.size("near") < degree, F.lit(-9.0)).otherwise(F.element_at("near", -1)["s"]).cast("double").alias("worst"))
         about = nodes.select(F.col("node").alias("member"), "unit").join(worst, "member")
-        groups = around.join(about, "member").groupBy("centre").agg(F.collect_list(F.struct("member", "unit", "worst")).alias("members"))  # 2 * degree + 1 at most
-        proposed = groups.select("members").mapInArrow(_compared(degree), "u long, v long, s double").groupBy("u", "v").agg(F.max("s").alias("s"))
-        fresh = materialize(proposed.join(flat.select("u", "v"), ["u", "v"], "left_anti"))
-        changed = fresh.count()
-        better = materialize(_top(flat.union(fresh), degree))
+        groups = around.join(about, "member").groupBy("centre").agg(F.collect_list(F.struct("member", "unit", "worst", "old")).alias("members"))  # 2 * degree + 1 at most
+        proposed = groups.where(F.exists("members", lambda m: ~m["old"])).select("members").mapInArrow(_compared, EDGES)
+        known = graph.select("u", F.explode("near").alias("e")).select("u", F.col("e.v").alias("v"), F.col("e.s").alias("s"), F.lit(True).alias("old"))
+        better = materialize(_top(known.union(proposed.withColumn("old", F.lit(False))), degree))
         discard(graph)
-        discard(fresh)
         graph = better
-        if changed <= SETTLED * degree * many:
+        if (graph.agg(F.sum(F.size(F.filter("near", lambda e: ~e["old"])))).first()[0] or 0) <= SETTLED * degree * many:
             break
     return graph
 
 
-def _cosines(exact: bool):
-    """q, v and the cosine of the exact vectors a and b, or the nearness of the short unit vectors."""
+STATE = "q long, unit binary, vs array<long>, ss array<double>, done array<boolean>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4_096):
-                part = batch.slice(at, 4_096)
-                a, b = ((_exact if exact else _unit)(part.column(name)) for name in ("a", "b"))
-                if not exact:
-                    s = np.square(a - b).sum(1) / -2
-                else:
-                    s = np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a)) / np.sqrt(np.einsum("ij,ij->i", b, b))
-                yield pa.RecordBatch.from_arrays([part.column("q"), part.column("v"), pa.array(s.astype(np.float64))], names=["q", "v", "s"])
+
+def _advanced(beam: int):
+    """A query's beam after what its nodes led to has been ranked into it."""
+
+    def run(state: pa.Table, reached: pa.Table) -> pa.Table:
+        if not state.num_rows:
+            return state
+        vs, ss, done = (np.array(state.column(c)[0].as_py()) for c in ("vs", "ss", "done"))
+        done[:] = True  # all of a beam are expanded at once
+        v, unit = reached.column("v").combine_chunks().to_numpy(), _unit(reached.column("b").combine_chunks())
+        fresh = ~np.isin(v, vs)
+        if fresh.any():
+            own = np.frombuffer(state.column("unit")[0].as_py(), np.float32).astype(np.float64)
+            s = np.square(unit[fresh] - own).sum(1) / -2
+            vs, ss, done = np.concatenate([vs, v[fresh]]), np.concatenate([ss, s]), np.concatenate([done, np.zeros(len(s), bool)])
+            best = np.lexsort((vs, -ss))[:beam]
+            vs, ss, done = vs[best], ss[best], done[best]
+        row = [state.column("q").combine_chunks(), state.column("unit").combine_chunks(), *(pa.array([x.tolist()], k) for x, k in ((vs, pa.list_(pa.int64())), (ss, pa.list_(pa.float64())), (done, pa.list_(pa.bool_()))))]
+        return pa.Table.from_arrays(row, names=["q", "unit", "vs", "ss", "done"])
 
     return run
 
 
-def _scored(pairs: DataFrame, nodes: DataFrame, asked: DataFrame, exact: bool = False) -> DataFrame:
-    """The pairs (q, v) with the cosine or the nearness of their nodes' vectors."""
-    name = "exact" if exact else "unit"
-    where = nodes.select(F.col("node").alias("v"), F.col(name).alias("b"))
-    return pairs.join(where, "v").join(asked.select("q", F.col(name).alias("a")), "q").select("q", "v", "a", "b").mapInArrow(_cosines(exact), "q long, v long, s double")
+def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """q, v and the cosine of the exact vectors a and b."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4_096):
+            part = batch.slice(at, 4_096)
+            a, b = (_exact(part.column(name)) for name in ("a", "b"))
+            s = np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a)) / np.sqrt(np.einsum("ij,ij->i", b, b))
+            yield pa.RecordBatch.from_arrays([part.column("q"), part.column("v"), pa.array(s.astype(np.float64))], names=["q", "v", "s"])
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM, width: int = WIDTH, max_rounds: int = SEARCH_ROUNDS, final: int = FINAL) -> DataFrame:
-    """The nodes found for each query node of column q: q, v, s (exact cosine), the final best of each, q itself among them."""
+def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int, degree: int = DEGREE) -> DataFrame:
+    """The nodes found for each query node of column q: q, v, s (exact cosine), a beam of each, q itself among them."""
     asked = materialize(nodes.join(queries.select(F.col("q").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("q"), "unit", "exact"))
-    state = materialize(asked.select("q", F.col("q").alias("v"), F.lit(0.0).alias("s"), F.lit(False).alias("done")))
-    best = Window.partitionBy("q").orderBy(F.desc("s"), "v")
-    to_do = Window.partitionBy("q").orderBy("done", F.desc("s"), "v")
-    for _ in range(max_rounds):
-        ranked = state.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).drop("r")
-        marked = materialize(ranked.withColumn("go", ~F.col("done") & (F.row_number().over(to_do) <= width)))
+    around = materialize(_links(graph, degree).groupBy("centre").agg(F.collect_set("member").alias("members")))  # 2 * degree at most
+    state = materialize(asked.select("q", "unit", F.array("q").alias("vs"), F.array(F.lit(0.0)).alias("ss"), F.array(F.lit(False)).alias("done")))
+    at = nodes.select(F.col("node").alias("v"), F.col("unit").alias("b"))
+    while True:
+        go = state.select("q", F.explode(F.arrays_zip("vs", "done")).alias("e")).where("not e.done").select(F.col("q").alias("asker"), F.col("e.vs").alias("centre"))
+        reached = go.join(around, "centre").select("asker", F.explode("members").alias("v")).distinct().join(at, "v")
+        moved = materialize(state.groupBy("q").cogroup(reached.groupBy("asker")).applyInArrow(_advanced(beam), STATE))
         discard(state)
-        state = marked.select("q", "v", "s", (F.col("done") | F.col("go")).alias("done"))
-        if marked.where("go").limit(1).count() == 0:
+        state = moved
+        if state.where(F.exists("done", lambda x: ~x)).limit(1).count() == 0:
             break
-        reached = marked.where("go").select("q", F.col("v").alias("u")).join(graph, "u").select("q", F.explode("near.v").alias("v")).distinct()
-        fresh = _scored(reached.join(marked.select("q", "v"), ["q", "v"], "left_anti"), nodes, asked)
-        state = materialize(state.union(fresh.withColumn("done", F.lit(False))))
-        discard(marked)
-    chosen = state.withColumn("r", F.row_number().over(best)).where(F.col("r") <= final).select("q", "v")
-    return _scored(chosen, nodes, asked, exact=True)
+    discard(around)
+    chosen = state.select("q", F.explode("vs").alias("v"))
+    pairs = chosen.join(nodes.select(F.col("node").alias("v"), F.col("exact").alias("b")), "v").join(asked.select("q", F.col("exact").alias("a")), "q")
+    return pairs.select("q", "v", "a", "b").mapInArrow(_cosines, "q long, v long, s double")
 
 
 def nearest(vectors: DataFrame, every: int, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest found of every query, the rows whose id is divisible by every: query_id, rank, vec_id, score."""
     nodes = materialize(nodes_of(vectors, id_col, vector_col, max(_IDS, k + 1)))
     graph = build_graph(nodes)
-    keys = vectors.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<double>").alias("v")).where((F.col("query_id") % every == 0) & F.col("v").isNotNull())
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _directions(batches):
+            yield batch.select(["id", "way"])
+
+    def way_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spelled = [np.array([np.nan if x is None else x for x in v], np.float64).tobytes() for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spelled, pa.binary())], names=["query_id", "exact"])
+            x = _exact(batch.column(1))
+            way = np.round(x / np.abs(x).max(1, keepdims=True), 12) + 0.0 if len(x) else x
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in way], pa.binary())], names=["node", "way"])
 
-    asked = materialize(keys.mapInArrow(exact, "query_id long, exact binary").join(nodes.select("node", "exact"), "exact").select("query_id", F.col("node").alias("q")).distinct())
-    found = search(nodes, graph, asked)
+    keys = _rows(vectors, id_col, vector_col).where(F.col("id") % every == 0).mapInArrow(ways, "id long, way binary")
+    asked = materialize(keys.join(nodes.select("node", "exact").mapInArrow(way_of, "node long, way binary"), "way").select(F.col("id").alias("query_id"), F.col("node").alias("q")).distinct())
+    found = search(nodes, graph, asked, BEAM * max(2, math.ceil(math.log2(nodes.count() + 1))))
     # Each node's ids stand for all of them: a tie goes to the smaller id, so no more than k + 1 are ever needed.
     ids = found.join(nodes.select(F.col("node").alias("v"), "ids"), "v").select("q", "s", F.explode("ids").alias("vec_id"))
     ranked = ids.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "vec_id"))).where(F.col("r") <= k + 1)
     lists = ranked.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "s"))).alias("list"))  # k + 1 at most
     own = asked.join(lists, "q").select("query_id", F.slice(F.filter("list", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("list"))
-    return own.select("query_id", F.posexplode("list").alias("at", "e")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), F.col("e.s").alias("score"))
+    out = materialize(own.select("query_id", F.posexplode("list").alias("at", "e")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), F.col("e.s").alias("score")))
+    for done in (nodes, graph, asked):
+        discard(done)
+    return out
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
