@@ -1,3 +1,6 @@
+import gzip
+import time
+import zlib
 from html.parser import HTMLParser
 
 from helpers import SF, rows, table
@@ -62,3 +65,38 @@ def test_round_trip_of_files(spark, tmp_path):
     assert text[4, "conversion"] == "a < b c d" and "outlink: /q?a=1&b=2\r\n" in text[4, "metadata"]
     assert "title: T & U\r\n" in text[1, "metadata"]
     assert rows(W.derive(W.responses(pages.limit(0)))) == []
+
+
+def test_unclosed_markup_takes_time_in_proportion():
+    for piece in ("<div ", "<script ", '<a href="', "<!-- ", "<title>", "<a x=' ", "<p class=a'b ", "</script ", "<script>"):
+        times = []
+        for n in (100_000, 1_000_000):
+            page = "x" + piece * (n // len(piece))
+            start = time.time()
+            W.Page(page).describe("", "")
+            W.to_text(page)
+            times.append(time.time() - start)
+        assert times[1] < 2 + 30 * times[0], piece
+        assert W.to_text(page).startswith("x")
+
+
+def test_bodies_are_decoded_by_their_headers():
+    text = "<p>é ü 漢</p>"
+    head = lambda *x: "HTTP/1.1 200 OK\r\n" + "".join(f"{y}\r\n" for y in x)
+    raw = text.encode()
+    chunked = b"5;x=1\r\n" + raw[:5] + b"\r\n" + f"{len(raw) - 5:x}".encode() + b"\r\n" + raw[5:] + b"\r\n0\r\n\r\n"
+    assert W.decoded(head(), raw) == W.decoded(head("Content-Type: text/html; charset=nonsense"), raw) == text
+    assert W.decoded(head("Content-Type: text/html; charset=utf-16"), text.encode("utf-16")) == text
+    assert W.decoded(head(), b"<meta charset=latin-1>\xe9") == "<meta charset=latin-1>é"
+    assert W.decoded(head("Content-Encoding: gzip"), gzip.compress(raw)) == W.decoded(head("Content-Encoding: gzip"), raw) == text
+    assert W.decoded(head("Content-Encoding: deflate"), zlib.compress(raw)) == text
+    assert W.decoded(head("Transfer-Encoding: chunked"), chunked) == W.decoded(head("Transfer-Encoding: chunked"), raw) == text
+
+
+def test_blocks_that_hold_the_bytes_between_records(spark, tmp_path):
+    made = W._batch([(None, f"<urn:{i}>", "resource", "d", "u", "text/plain", None, "", W.digest(b), W.digest(b), len(b), b) for i, b in enumerate([b"a\r\n\r\nWARC/1.1\r\nWARC-Type: x\r\n\r\nb", b"", b"\xff\x00" * 500, b"end\r\n\r\n"])])
+    data = b"".join(map(W.spell, made.to_pylist()))
+    for name, packed in (("x.warc", data), ("y.warc.gz", b"".join(gzip.compress(W.spell(r)) for r in made.to_pylist()))):
+        (tmp_path / name).write_bytes(packed)
+        got = sorted((r["record_id"], bytes(r["block"])) for r in W.read_records(spark, str(tmp_path / name)).collect())
+        assert got == sorted((r["record_id"], r["block"]) for r in made.to_pylist())

@@ -39,6 +39,8 @@ BLOCK = 1024
 PIVOTS = 128
 STARTS = 3
 SETTLED = 0.02
+#: Centres compared in one group, at most; each has 2 * DEGREE + 1 members at most.
+CENTRES = 4096
 #: Nodes in a beam, times the binary logarithm of the number of nodes.
 BEAM = 10
 _IDS = 8
@@ -186,30 +188,34 @@ def _numbered(sorted_rows: DataFrame) -> DataFrame:
     return out
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compares the members around a node with each other where one is new; those nearer than a member's worst are proposed."""
-    for batch in batches:
-        members = batch.column(0)
-        flat = members.flatten()
-        node, worst, old, unit = flat.field(0).to_numpy(), flat.field(2).to_numpy(), flat.field(3).to_numpy(zero_copy_only=False), _unit(flat.field(1))
-        us, vs, ss = ([np.zeros(0, k)] for k in (np.int64, np.int64, np.float64))
-        at = 0
-        for n in members.value_lengths().to_pylist():
-            own, first, of = np.unique(node[at : at + n], return_index=True, return_inverse=True)
-            new = np.bincount(of, old[at : at + n]) == 0
-            near = _nearness(unit[at : at + n][first])
-            good = (new[:, None] | new[None, :]) & (near > worst[at : at + n][first][:, None])
+def _compared(links: pa.Table, about: pa.Table) -> pa.Table:
+    """Compares the members around each centre of a group with each other where one is new; those nearer than a member's worst are proposed."""
+    us, vs, ss = ([np.zeros(0, k)] for k in (np.int64, np.int64, np.float64))
+    if links.num_rows and about.num_rows:
+        member = about.column("member").to_numpy()
+        order = np.argsort(member)
+        names, worst = member[order], about.column("worst").to_numpy()[order]
+        unit = np.frombuffer(b"".join(about.column("unit").to_pylist()), np.float32).reshape(len(order), -1)[order]
+        centre, at, old = links.column("centre").to_numpy(), np.searchsorted(names, links.column("member").to_numpy()), links.column("old").to_numpy()
+        order = np.lexsort((at, centre))
+        centre, at, old = centre[order], at[order], old[order]
+        edges = np.flatnonzero(np.concatenate([[True], centre[1:] != centre[:-1], [True]]))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if old[a:b].all():
+                continue
+            own, of = np.unique(at[a:b], return_inverse=True)
+            new = np.bincount(of, old[a:b]) == 0
+            near = _nearness(unit[own].astype(np.float64))
+            good = (new[:, None] | new[None, :]) & (near > worst[own][:, None])
             np.fill_diagonal(good, False)
             i, j = np.nonzero(good)
             us.append(own[i])
             vs.append(own[j])
             ss.append(near[i, j])
-            at += n
         u, v, s = map(np.concatenate, (us, vs, ss))
-        order = np.lexsort((v, u))
-        new = order[np.concatenate([[True], (np.diff(u[order]) != 0) | (np.diff(v[order]) != 0)])] if len(u) else order
-        for k in range(0, len(new), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[new[k : k + 100_000]]) for x in (u, v, s)], names=["u", "v", "s"])
+        _, first = np.unique(u * len(names) + v, return_index=True)
+        us, vs, ss = [names[u[first]]], [names[v[first]]], [s[first]]
+    return pa.table({"u": us[0], "v": vs[0], "s": ss[0]})
 
 
 def _top(edges: DataFrame, k: int) -> DataFrame:
@@ -240,21 +246,25 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, block: int = BLOCK, pivo
     place = F.floor((F.col("number") - F.col("start") * many) * blocks / F.lit(many)).alias("block")
     first = rows.select("start", place, "node", "unit").groupBy("start", "block").applyInArrow(_block(degree), EDGES)
     graph = materialize(_top(first.withColumn("old", F.lit(False)), degree))
+    size = min(CENTRES, max(CENTRES // 16, many // 32))
+    groups = materialize(rows.where("start = 0").select(F.col("node").alias("centre"), F.floor(F.col("number") / size).cast("int").alias("group")))
     discard(rows)
     while rounds is None or rounds > 0:
         rounds = None if rounds is None else rounds - 1
-        # A node's members: itself, its neighbours, and the nearest of those whose neighbour it is.
-        around = _links(graph, degree).union(graph.select("u", "u", F.lit(True)))
+        # A node's members: itself, its neighbours, and the nearest of those whose neighbour it is. They are compared in groups
+        # of centres that lie together, to each of which a vector goes once.
+        around = _links(graph, degree).union(graph.select("u", "u", F.lit(True))).join(groups, "centre")
         worst = graph.select(F.col("u").alias("member"), F.when(F.size("near") < degree, F.lit(-9.0)).otherwise(F.element_at("near", -1)["s"]).cast("double").alias("worst"))
         about = nodes.select(F.col("node").alias("member"), "unit").join(worst, "member")
-        groups = around.join(about, "member").groupBy("centre").agg(F.collect_list(F.struct("member", "unit", "worst", "old")).alias("members"))  # 2 * degree + 1 at most
-        proposed = groups.where(F.exists("members", lambda m: ~m["old"])).select("members").mapInArrow(_compared, EDGES)
+        sent = around.select(F.col("group").alias("of"), "member").distinct().join(about, "member")
+        proposed = around.groupBy("group").cogroup(sent.groupBy("of")).applyInArrow(_compared, EDGES)
         known = graph.select("u", F.explode("near").alias("e")).select("u", F.col("e.v").alias("v"), F.col("e.s").alias("s"), F.lit(True).alias("old"))
         better = materialize(_top(known.union(proposed.withColumn("old", F.lit(False))), degree))
         discard(graph)
         graph = better
         if (graph.agg(F.sum(F.size(F.filter("near", lambda e: ~e["old"])))).first()[0] or 0) <= SETTLED * degree * many:
             break
+    discard(groups)
     return graph
 
 

@@ -27,15 +27,25 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from veridoc.llm.common import components, materialize, table
+from veridoc.llm.common import components, discard, materialize, table
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 2
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 BUCKET = 64
+#: Near-duplicates of whole texts: shingles of so many words, similarity, fingerprints of 64 bits of the distinct words,
+#: and the bits of those in which candidates may differ.
+NEAR_SHINGLE, NEAR = 5, 0.8
+PRINTS = 6
+NEAR_BITS = 64 * PRINTS // 5
+NEAREST = 4
+BLOCK = 512
+FEW = 250_000
+_PS = [f"p{i}" for i in range(PRINTS)]
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+_SALTS = np.arange(1, PRINTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -166,24 +176,182 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(of, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row of each component, columns unchanged: that with the least id (a null one last), then the least fingerprint."""
-    found = near_duplicates(docs, id_col, text_col, shingle)
-    kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("lone")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("first"))
-    mark = "fp"
-    while mark in docs.columns:
-        mark += "_"
-    at = docs.columns.index(text_col)
+def word_prints(text: str | None) -> np.ndarray:
+    """The ``PRINTS`` fingerprints of a text's distinct words: majority bits of as many hashes of each."""
+    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    counts = np.zeros(64 * PRINTS, np.int64)
+    for at in range(0, len(hashes), 16_384):
+        mixed = (hashes[at : at + 16_384, None] ^ _SALTS) * _MIX
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX
+        mixed ^= mixed >> np.uint64(29)
+        counts += np.unpackbits(mixed.astype(">u8").view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes)).view(">u8").astype(np.uint64)
 
+
+def shingle_set(text: str | None, shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """The sorted hashes of a text's distinct shingles; a shorter text is one, a text without words the empty one."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    found = {b" ".join(words)} if len(words) < shingle else set(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in found), np.uint64, len(found)))
+
+
+def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = np.array([word_prints(t.as_py()) for t in batch.column(1)], np.uint64).reshape(-1, PRINTS).view(np.int64)
+        columns = [batch.column(0), batch.column(2), batch.column(3), *(pa.array(np.ascontiguousarray(prints[:, i])) for i in range(PRINTS))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t1", "t2", *_PS])
+
+
+def _print_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The Golay bucket keys of each of a text's fingerprints."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 5_000):
+            part = batch.slice(at, 5_000)
+            node = part.column(0).to_numpy()
+            for i in range(PRINTS):
+                rows, keys = bucket_keys(part.column(1 + i).to_numpy().view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys | np.int64(i << 40)), pa.array(node[rows])], names=["key", "node"])
+
+
+def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of buckets of bounded size, each once a batch."""
+    places = lru_cache(maxsize=None)(lambda n: np.triu_indices(n, 1))
+    for batch in batches:
+        sizes, flat = batch.column(0).value_lengths().to_numpy(), batch.column(0).flatten().to_numpy()
+        ends = np.cumsum(sizes)
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n, end in zip(sizes.tolist(), ends.tolist()):
+            own = flat[end - n : end]
+            i, j = places(n)
+            us.append(own[i])
+            vs.append(own[j])
+        pairs = np.stack([np.concatenate(us), np.concatenate(vs)], axis=1)
+        pairs.sort(axis=1)
+        pairs = np.unique(pairs, axis=0)
+        for at in range(0, len(pairs), 100_000):
+            part = pairs[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[:, k])) for k in (0, 1)], names=["u", "v"])
+
+
+def _nearest_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each two blocks of a crowded bucket: a spanning forest of the least distances, and each member's nearest."""
+    for batch in batches:
+        us, vs = [], []
+        for members in batch.column(0):
+            rows = members.values
+            node = rows.field(0).to_numpy()
+            prints = np.stack([rows.field(1 + i).to_numpy() for i in range(PRINTS)], axis=1).view(np.uint64)
+            apart = sum(np.bitwise_count(prints[:, None, i] ^ prints[None, :, i]).astype(np.int16) for i in range(PRINTS))
+            np.fill_diagonal(apart, 64 * PRINTS)
+            n = len(node)
+            for k in np.argpartition(apart, min(NEAREST, n - 1), axis=1)[:, :NEAREST].T:
+                good = apart[np.arange(n), k] <= NEAR_BITS
+                us.append(node[good])
+                vs.append(node[k[good]])
+            best, by, left = apart[0].copy(), np.zeros(n, np.int64), np.ones(n, bool)
+            left[0] = False
+            for _ in range(n - 1):
+                x = int(np.where(left, best, 64 * PRINTS + 1).argmin())
+                left[x] = False
+                if best[x] <= NEAR_BITS:
+                    us.append(node[[x]])
+                    vs.append(node[[by[x]]])
+                closer = apart[x] < best
+                best[closer], by[closer] = apart[x][closer], x
+        u, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (us, vs))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+
+def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(at)), np.uint64, batch.num_rows)
-            yield batch.append_column(mark, pa.array(fps.view(np.int64)))
+            found = [shingle_set(t.as_py(), shingle) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "n", "shingles"])
 
-    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())]))
-    kept = kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.fp").alias("kept_fp"))
-    same = marked[id_col].cast("long").eqNullSafe(kept["kept_id"]) & (marked[mark] == kept["kept_fp"])
-    return marked.join(kept, same, "left_semi").dropDuplicates([id_col, mark]).select(*docs.columns)
+    return run
+
+
+def _similar(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (a, b))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def _candidates(keyed: DataFrame, prints: DataFrame, bucket: int, block: int) -> DataFrame:
+    """Pairs (u < v) of nodes that share a bucket and are near by their fingerprints, each once."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(keyed.join(sizes, "key"))
+    small = shared.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("node").alias("nodes")).select("nodes").mapInArrow(_all_pairs, "u long, v long")
+    crowded = materialize(shared.where(F.col("n") > bucket))
+    hubs = crowded.groupBy("key").agg(F.min("node").alias("u"))
+    stars = crowded.join(hubs, "key").select("u", F.col("node").alias("v")).where("u != v")
+    own = crowded.groupBy("node").agg(F.max(F.struct("n", "key")).alias("most")).select("node", F.col("most.key").alias("key"))
+    blocks = own.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = own.join(blocks, "key").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("key", F.least("b", "other").alias("low"), F.greatest("b", "other").alias("high"), "node").join(prints, "node")
+    met = placed.groupBy("key", "low", "high").agg(F.collect_list(F.struct("node", *_PS)).alias("members"))  # two blocks
+    forest = met.where(F.size("members") > 1).select("members").mapInArrow(_nearest_pairs, "u long, v long")
+    pairs = small.union(stars).union(forest).distinct()
+    left, right = (prints.select(F.col("node").alias(x), *(F.col(p).alias(f"{x}{p}") for p in _PS)) for x in ("u", "v"))
+    apart = sum((F.bit_count(F.col(f"u{p}").bitwiseXOR(F.col(f"v{p}"))) for p in _PS[1:]), F.bit_count(F.col(f"u{_PS[0]}").bitwiseXOR(F.col(f"v{_PS[0]}"))))
+    near = materialize(pairs.join(left, "u").join(right, "v").where(apart <= NEAR_BITS).select("u", "v"))
+    discard(shared)
+    discard(crowded)
+    return near
+
+
+def _checked(spark: SparkSession, df: DataFrame, few: int) -> DataFrame:
+    """df, broadcast only if it has few rows."""
+    return F.broadcast(df) if df.count() <= few else df
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = NEAR, bucket: int = BUCKET, block: int = BLOCK, few: int = FEW) -> DataFrame:
+    """One row of each class of near-duplicates, columns unchanged: that with the least id (a null one last).
+
+    Texts are near-duplicates if their sets of five-word shingles have a Jaccard similarity of 0.8 or more, or through
+    others that are. Such sets leave too many bits of a SimHash of shingles apart; a SimHash of the distinct words keeps
+    them within a few, so candidates are found by ``PRINTS`` of those, each with the Golay keys above, and every
+    candidate is verified on the whole sets. Equal texts are one text. A bucket of up to ``bucket`` texts gives all its
+    pairs. A larger one gives its texts' links to its first one, and each text, in its largest such bucket, the links of
+    the least distances in every two blocks of the bucket's texts: enough to connect them, but not each pair.
+    """
+    spark = docs.sparkSession
+    t1, t2 = F.xxhash64("veridoc_text").alias("t1"), F.xxhash64(F.lit(7), "veridoc_text").alias("t2")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("veridoc_text")).select("doc_id", "veridoc_text", t1, t2)
+    marked = materialize(source.mapInArrow(_printed, f"doc_id long, t1 long, t2 long, {', '.join(f'{p} long' for p in _PS)}"))
+    firsts = materialize(marked.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), *(F.first(p).alias(p) for p in _PS)).withColumn("node", F.monotonically_increasing_id()))
+    prints = firsts.select("node", *_PS)
+    near = _candidates(prints.mapInArrow(_print_keys, "key long, node long"), prints, bucket, block)
+    nodes = near.select(F.col("u").alias("node")).union(near.select("v")).distinct().join(firsts.select("node", "t1", "t2"), "node")
+    texts = source.select("t1", "t2", "veridoc_text").join(_checked(spark, nodes, few), ["t1", "t2"]).groupBy("node").agg(F.first("veridoc_text").alias("text"))
+    sets = materialize(texts.mapInArrow(_sets(shingle), "node long, n long, shingles binary"))
+    left, right = (sets.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("shingles").alias(f"{x}_set")) for x in ("u", "v"))
+    pairs = near.join(left, "u").join(right, "v").where(F.least("u_n", "v_n") >= similarity * F.greatest("u_n", "v_n") - 1e-9)
+    roots = components(pairs.select("u", "v", "u_set", "v_set").mapInArrow(_similar(similarity), "u long, v long")).withColumnsRenamed({"u": "node", "v": "root"})
+    classes = firsts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
+    least = classes.agg(F.min(F.struct(F.col("first").isNull().alias("no_id"), "first", "node", "t1", "t2")).alias("of"))
+    kept = materialize(least.select(F.col("of.first").alias("kept_id"), F.col("of.t1").alias("kept_1"), F.col("of.t2").alias("kept_2")))
+    same = lambda i, x, y: F.col(i).cast("long").eqNullSafe(F.col("kept_id")) & (F.col(x) == F.col("kept_1")) & (F.col(y) == F.col("kept_2"))
+    repeated = materialize(marked.join(kept, same("doc_id", "t1", "t2"), "left_semi").groupBy("doc_id", "t1", "t2").count().where("count > 1").select(F.col("doc_id").alias("kept_id"), F.col("t1").alias("kept_1"), F.col("t2").alias("kept_2")))
+    for done in (marked, firsts, near, sets):
+        discard(done)
+    own = docs.select("*", text.alias("veridoc_text")).withColumns({"veridoc_1": t1, "veridoc_2": t2}).drop("veridoc_text")
+    here = same(id_col, "veridoc_1", "veridoc_2")
+    rows = own.join(_checked(spark, kept, few), here, "left_semi")
+    if repeated.limit(1).count():
+        again = _checked(spark, repeated, few)
+        rows = rows.join(again, here, "left_anti").union(rows.join(again, here, "left_semi").dropDuplicates([id_col, "veridoc_1", "veridoc_2"]))
+    return rows.select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
