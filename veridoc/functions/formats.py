@@ -23,7 +23,7 @@ FORMATS: dict[str, str] = {
     "ipv4": rf"{_OCTET}(?:\.{_OCTET}){{3}}",
     "ipv6": r"[0-9a-fA-F]*(?::[0-9a-fA-F]*){2,7}",
     "uuid": r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    "hostname": rf"{_LABEL}(?:\.{_LABEL})*",
+    "hostname": rf"{_LABEL}(?:\.{_LABEL})*+",
 }
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import itertools
 import json
+import threading
 from typing import Any
 
-_COUNTER = itertools.count()
+_NAMES = threading.local()
 
 
 def quote(s: str) -> str:
@@ -22,13 +22,14 @@ def number(x: float) -> str:
 
 def fresh(prefix: str = "x") -> str:
     """A name that no other lambda uses."""
-    return f"{prefix}{next(_COUNTER)}"
+    number = getattr(_NAMES, "next", 0)
+    _NAMES.next = number + 1
+    return f"{prefix}{number}"
 
 
 def restart() -> None:
-    """Names count from the start again, so one schema always gives the same text."""
-    global _COUNTER
-    _COUNTER = itertools.count()
+    """This thread's names count from the start again, so one schema always gives the same text."""
+    _NAMES.next = 0
 
 
 def let(value: str, body) -> str:

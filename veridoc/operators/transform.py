@@ -11,7 +11,7 @@ from veridoc.functions.regex import to_java
 from veridoc.functions.text import fresh, let, quote, spelled
 from veridoc.operators.validator import parsed
 from veridoc.plans.boolean import as_map, as_text, has, kind, member
-from veridoc.schema.resolve import Place, RecursiveSchema, Resources
+from veridoc.schema.resolve import Place, RecursiveSchema, Resources, TooManyReferences
 
 _EMPTY = "CAST(map() AS MAP<STRING, VARIANT>)"
 #: Decimal numbers with or without an exponent, and hexadecimal ones, as texts; blanks around are allowed.
@@ -50,6 +50,7 @@ class Rewriter:
 
     def sql(self, v: str) -> str:
         """SQL of the rewritten variant named v."""
+        self.resources.followed = 0
         return self._rewrite(self.root, v)
 
     def _touched(self, place: Place) -> bool:
@@ -62,6 +63,8 @@ class Rewriter:
         if "$ref" in schema:
             try:
                 place = self.resources.follow(place)
+            except TooManyReferences:
+                raise
             except RecursiveSchema:
                 return v
             return self._rewrite(place, v)

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from veridoc.functions.text import let, quote, restart, spelled
 from veridoc.plans.boolean import BooleanCompiler
+from veridoc.plans.columns import typed_sql
 from veridoc.plans.errors import ERROR, NONE, ErrorCompiler
 from veridoc.plans.typed import is_flat, typed_predicate
 from veridoc.schema.interpret import Error, Interpreter, check_references, parse
 from veridoc.schema.normalize import Schema, warnings
-from veridoc.schema.resolve import RecursiveSchema, Resources
+from veridoc.schema.resolve import RecursiveSchema, Resources, TooManyReferences
 
 RESULT = f"struct<valid:boolean,errors:array<{ERROR}>>"
 _SYNTAX = f"array(named_struct('keyword', 'syntax', 'instancePath', '', 'schemaPath', '#', 'params', '{{}}', 'message', 'invalid JSON', 'parentSchema', CAST(NULL AS STRING)))"
@@ -48,17 +49,20 @@ class Validator:
 
     Options: schemas (a registry of schemas with $id), formats (name to a SQL template with {} for the
     text, or to a Python predicate), verbose (errors carry their schema), abort_early (one error without
-    detail), all_errors (False: the first only), coerce_types and remove_additional (see ``transform``).
+    detail), all_errors (False: the first only). Before a document is judged, undeclared keys are removed
+    (remove_additional), values coerced (coerce_types) and defaults filled in (use_defaults), in that order,
+    whatever the kind of the column; see ``transform``.
     """
 
-    def __init__(self, schema: Schema | str, *, schemas: Iterable[Schema] = (), formats: dict[str, str | Callable[[str], bool]] | None = None, verbose: bool = False, abort_early: bool = False, all_errors: bool = True, coerce_types: bool = False, remove_additional: bool = False):
+    def __init__(self, schema: Schema | str, *, schemas: Iterable[Schema] = (), formats: dict[str, str | Callable[[str], bool]] | None = None, verbose: bool = False, abort_early: bool = False, all_errors: bool = True, coerce_types: bool = False, remove_additional: bool = False, use_defaults: bool = True):
         self.schema: Schema = json.loads(schema) if isinstance(schema, str) else schema
         self.registry, self.formats = list(schemas), dict(formats or {})
         self.verbose, self.abort_early, self.all_errors = verbose, abort_early, all_errors
-        self.coerce_types, self.remove_additional = coerce_types, remove_additional
+        self.coerce_types, self.remove_additional, self.use_defaults = coerce_types, remove_additional, use_defaults
         self.warnings = warnings(self.schema)
         self._compiled: tuple[str, str] | None = None
         self._interpreter: Interpreter | None = None
+        self._rewritten = "doc"
         self.recursive = False
 
     def add_schema(self, schema: Schema) -> None:
@@ -71,8 +75,13 @@ class Validator:
         """Resolves references and builds the expressions; raises on what has no meaning."""
         if self._interpreter is not None:
             return self
+        from veridoc.operators.transform import Rewriter  # which reads documents as this module does
+
         resources, root = Resources.of(self.schema, self.registry)
         check_references(resources, root)
+        self._resources, self._root = resources, root
+        if self.coerce_types or self.remove_additional or self.use_defaults and '"default"' in json.dumps([self.schema, self.registry]):
+            self._rewritten = Rewriter(self.schema, schemas=self.registry, coerce_types=self.coerce_types, remove_additional=self.remove_additional, defaults=self.use_defaults).sql("doc")
         python = {k: f for k, f in self.formats.items() if callable(f)}
         self._interpreter = Interpreter(resources, root, python)
         if any(isinstance(f, str) for f in self.formats.values()) and python:
@@ -85,8 +94,9 @@ class Validator:
             valid = boolean.compile(root, "doc")
             errors = ErrorCompiler(boolean, self.verbose).compile(root, "doc", "''", "#")
             self._compiled = valid, errors
-        except RecursiveSchema:
+        except RecursiveSchema as e:
             self.recursive = True
+            self._interpreter.compact = isinstance(e, TooManyReferences)
         return self
 
     # Values on the driver.
@@ -98,6 +108,18 @@ class Validator:
 
     # SQL of a document's verdict and result; doc is SQL of a variant, which is null where the text is none.
 
+    @property
+    def rewrites(self) -> bool:
+        """Whether documents may change before they are judged."""
+        self.compile()
+        return self._rewritten != "doc"
+
+    def document_sql(self, doc: str) -> str:
+        """The document as it is judged: after removing, coercing and filling in."""
+        if not self.rewrites:
+            return doc
+        return let(doc, lambda d: f"CASE WHEN {d} IS NULL THEN NULL ELSE {_renamed(self._rewritten, d)} END")
+
     def valid_sql(self, doc: str) -> str:
         self.compile()
         if self._compiled is None:
@@ -125,7 +147,7 @@ class Validator:
     def _with(self, column: Column | str, kind: str, body: Callable[[str], str]) -> Column:
         c, read = self._document(column, kind)
         name = "veridoc_source"
-        inner = body(read(name))
+        inner = body(self.document_sql(read(name)))
         # The column is bound once under a name of its own; inside is SQL text only.
         return F.get(F.call_function("transform", F.array(c), F.expr(f"{name} -> {inner}")), F.lit(0))
 
@@ -166,6 +188,8 @@ class Validator:
     def _interpreted(self, column: Column | str, kind: str) -> Column:
         """The result by the interpreter, in an Arrow UDF over JSON text."""
         c = F.col(column) if isinstance(column, str) else column
+        if self.rewrites:
+            c, kind = self._with(column, kind, lambda doc: doc), "variant"
         text = {"json": lambda: c.cast("string"), "binary": lambda: F.decode(c, "utf-8"), "variant": lambda: F.to_json(c), "struct": lambda: F.to_json(c), "struct_nulls": lambda: F.to_json(F.to_variant_object(c))}[kind]()
         interpreter, verbose, early, every = self._interpreter, self.verbose, self.abort_early, self.all_errors
 
@@ -179,16 +203,38 @@ class Validator:
 
     # DataFrames.
 
+    def verdict(self, df: DataFrame, column: str, kind: str = "json") -> Column:
+        """``is_valid`` for a column of df. A typed one is judged by its type, without documents, wherever that can be."""
+        self.compile()
+        if kind in ("struct", "struct_nulls") and not self.rewrites and not any(callable(f) for f in self.formats.values()):
+            name = "`" + column.replace("`", "``") + "`" if column in df.columns else column
+            sql = typed_sql(self._resources, self._root, self.formats, df.select(F.expr(name)).schema[0].dataType, kind == "struct_nulls")
+            if sql:
+                return F.expr(f"coalesce({name} IS NOT NULL AND {sql(name)}, false)")
+        return self.is_valid(column, kind)
+
     def filter_valid(self, df: DataFrame, column: str, kind: str = "json") -> DataFrame:
-        return df.filter(self.is_valid(column, kind))
+        return df.filter(self.verdict(df, column, kind))
+
+    def with_valid(self, df: DataFrame, column: str, kind: str = "json", name: str = "valid") -> DataFrame:
+        """df with the verdict in a column of that name."""
+        return df.withColumn(name, self.verdict(df, column, kind))
+
+    def with_result(self, df: DataFrame, column: str, kind: str = "json", name: str = "result") -> DataFrame:
+        """df with a struct of valid and errors; errors are looked for only in what doesn't fit."""
+        if kind not in ("struct", "struct_nulls"):
+            return df.withColumn(name, self.validate(column, kind))
+        fits = F.struct(F.lit(True).alias("valid"), F.expr(NONE).alias("errors"))
+        return df.withColumn(name, F.when(self.verdict(df, column, kind), fits).otherwise(self.validate(column, kind)))
 
     def count_valid(self, df: DataFrame, column: str, kind: str = "json") -> DataFrame:
         """One row with n_valid and n_total: a partial and a final aggregate."""
-        return df.select(self.is_valid(column, kind).alias("ok")).agg(F.count_if("ok").alias("n_valid"), F.count("*").alias("n_total"))
+        return df.select(self.verdict(df, column, kind).alias("ok")).agg(F.count_if("ok").alias("n_valid"), F.count("*").alias("n_total"))
 
     def error_counts(self, df: DataFrame, column: str, kind: str = "json") -> DataFrame:
         """How often each keyword fails at each path."""
-        return df.select(F.explode(self.errors(column, kind)).alias("e")).groupBy(F.col("e.keyword").alias("keyword"), F.col("e.instancePath").alias("instance_path")).agg(F.count("*").alias("n_errors"))
+        bad = df.where(~self.verdict(df, column, kind)) if kind in ("struct", "struct_nulls") else df
+        return bad.select(F.explode(self.errors(column, kind)).alias("e")).groupBy(F.col("e.keyword").alias("keyword"), F.col("e.instancePath").alias("instance_path")).agg(F.count("*").alias("n_errors"))
 
     def typed(self, df: DataFrame, nulls: str = "absent") -> Column | None:
         """For a flat schema, the verdict on df's own columns as predicates that Spark can push down; else None."""
@@ -215,7 +261,7 @@ def _errors_of(interpreter: Interpreter, text: str | None, verbose: bool, early:
 
 def validate(schema: Schema | str, df: DataFrame, column: str, kind: str = "json", **options: Any) -> DataFrame:
     """df with a column result, by a schema used once."""
-    return df.withColumn("result", Validator(schema, **options).validate(column, kind))
+    return Validator(schema, **options).with_result(df, column, kind)
 
 
 _CACHE: dict[str, Validator] = {}

@@ -119,8 +119,9 @@ def canonical(v: str) -> str:
     )
 
 
-#: A JSON string (kept), or a number's whole part (kept) and the zeros after its point (dropped).
-_NUMBERS = r'("(?:[^"\\]|\\.)*")|(-?\d+)\.0+(?!\d)'
+#: A JSON string (kept), or a number's whole part (kept) and the zeros after its point (dropped). What repeats gives
+#: nothing back, so Java loops over a string of any length instead of calling itself.
+_NUMBERS = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|(-?\d++)\.0++(?!\d)'
 
 
 def member(v: str, m: str, key: str) -> str:

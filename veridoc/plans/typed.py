@@ -42,8 +42,8 @@ def _all(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
 
-def _leaf(c: Column, kind: T.DataType, schema: dict) -> Column:
-    """Whether a column that isn't null fits."""
+def _leaf(c: Column, kind: T.DataType, schema: dict) -> list[Column]:
+    """What has to hold for a column that isn't null to fit."""
     names = schema.get("type")
     names = [names] if isinstance(names, str) else names
     number, text, boolean = isinstance(kind, _NUMBERS), not isinstance(kind, (*_NUMBERS, T.BooleanType, T.StructType, T.ArrayType, T.MapType)), isinstance(kind, T.BooleanType)
@@ -59,7 +59,7 @@ def _leaf(c: Column, kind: T.DataType, schema: dict) -> Column:
         elif number and "integer" in names:
             parts.append(F.lit(True) if isinstance(kind, _INTEGRAL) else finite & (as_double % 1 == 0))
         elif not (text and "string" in names or boolean and "boolean" in names):
-            return F.lit(False)
+            return [F.lit(False)]
     for values in [schema[k] if k == "enum" else [schema[k]] for k in ("enum", "const") if k in schema]:
         own = [x for x in values if (isinstance(x, bool) if boolean else isinstance(x, str) if text else isinstance(x, (int, float)) and not isinstance(x, bool))]
         parts.append(c.isin(*own) if own else F.lit(False))
@@ -80,7 +80,7 @@ def _leaf(c: Column, kind: T.DataType, schema: dict) -> Column:
             parts.append(c.rlike(to_java(schema["pattern"])))
         if schema.get("format") in formats.FORMATS:
             parts.append(c.rlike(formats.java(schema["format"])))
-    return _all(parts)
+    return parts
 
 
 def typed_predicate(schema: Schema, columns: T.StructType, nulls: str = "absent") -> Column:
@@ -102,11 +102,12 @@ def typed_predicate(schema: Schema, columns: T.StructType, nulls: str = "absent"
         c = F.col(f"`{k}`")
         fits = _leaf(c, kinds[k], sub)
         if nulls == "absent":
-            parts.append(fits if k in schema.get("required", []) else c.isNull() | fits)
+            # One disjunction for each condition, so that Spark can push each down.
+            parts += fits if k in schema.get("required", []) else [c.isNull() | x for x in fits]
         else:
             names = sub.get("type")
             null_fits = (names is None or "null" in names or names == "null") and None in sub.get("enum", [None]) and sub.get("const") is None
-            parts.append(F.when(c.isNull(), F.lit(null_fits)).otherwise(fits))
+            parts.append(F.when(c.isNull(), F.lit(null_fits)).otherwise(_all(fits)))
     for k, needed in schema.get("dependentRequired", {}).items():
         if k in kinds:
             parts += [~present[k] | present.get(n, F.lit(False)) for n in needed]

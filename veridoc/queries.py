@@ -41,7 +41,8 @@ class Verdict:
             df = df.selectExpr(*self.source) if isinstance(self.source, tuple) else _grouped(df, self.source)
         validator = compile(self.schema, **self.options)
         ids = self.ids.split(", ")
-        return df.select(*ids, F.expr(self.doc).alias("doc")).select(*ids, validator.is_valid("doc", self.kind).alias("valid"))
+        docs = df.select(*ids, F.expr(self.doc).alias("doc"))
+        return docs.select(*ids, validator.verdict(docs, "doc", self.kind).alias("valid"))
 
     def sql(self) -> str:
         return f"select {self.ids}, ({self.oracle}) as valid from {self.oracle_source or self.table}"

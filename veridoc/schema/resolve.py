@@ -14,6 +14,14 @@ class RecursiveSchema(SchemaError):
     """A reference leads back to itself, so the schema has no finite expression."""
 
 
+class TooManyReferences(RecursiveSchema):
+    """Written out, the references would make more text than Spark can take."""
+
+
+#: References that are written out into one expression, at most; schemas with more go through the interpreter.
+MOST_REFERENCES = 400
+
+
 @dataclass(frozen=True)
 class Place:
     """A schema within its resource: base is the resource's identifier, scope the resources entered, outermost first."""
@@ -37,6 +45,7 @@ class Resources:
     anchors: dict[tuple[str, str], Schema] = field(default_factory=dict)
     dynamic: dict[tuple[str, str], Schema] = field(default_factory=dict)
     base_of: dict[int, str] = field(default_factory=dict)
+    followed: int = 0
 
     @classmethod
     def of(cls, schema: Schema, others: Iterable[Schema] = ()) -> tuple[Resources, Place]:
@@ -122,5 +131,9 @@ class Resources:
                     break
         if not recursive and id(target) in place.open_refs:
             raise RecursiveSchema(f"{ref} leads back to itself")
+        if not recursive:
+            self.followed += 1
+            if self.followed > MOST_REFERENCES:
+                raise TooManyReferences(f"over {MOST_REFERENCES} references")
         scope = place.scope if base == place.base else (*place.scope, base)
         return Place(target, base, scope if not recursive else scope[:64], place.open_refs if recursive else (*place.open_refs, id(target)))

@@ -25,13 +25,13 @@ def to_sql(validator: Validator, text: str = "doc") -> str:
     """The verdict on a column of JSON text as one SQL expression; the same text each time."""
     validator.compile()
     restart()
-    return validator.valid_sql(parsed(text))
+    return validator.valid_sql(validator.document_sql(parsed(text)))
 
 
 def _errors_sql(validator: Validator, text: str) -> str:
     validator.compile()
     restart()
-    return validator.errors_sql(parsed(text))
+    return validator.errors_sql(validator.document_sql(parsed(text)))
 
 
 def to_function(validator: Validator, name: str, temporary: bool = True, errors: bool = True) -> list[str]:
