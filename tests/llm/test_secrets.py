@@ -51,6 +51,31 @@ def test_automata_tell_formats_apart():
     assert all(learned == [] for _, learned in S.scan_texts(words))
 
 
+def test_parts_of_paths_and_assignments():
+    value = "ghp_aZ3bY4cX5dW6eV7fU8gT9hS0iR1jQ2kP3lO4"
+    for text in (f"/some/path/{value}", f"LONG_NAME={value}", f"see {value}", f"https://host/{value}/rest/of/the/path"):
+        (_, learned), = S.scan_texts([text])
+        assert [(k, text[a:b]) for k, a, b in learned] == [("code_host_token", value)], text
+
+
+def test_credentials_of_the_documents(spark):
+    """Automata learned from the credentials in documents know the ones held out."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found, held = S.credentials(docs), S.credentials(docs, held=True)
+    assert all(len(v) <= S.EXAMPLES for k, v in found.items() if k != "plain") and len(found["plain"]) <= S.ORDINARY
+    assert not any(set(found[k]) & set(held[k]) for k in held)
+    models = S.infer(found)
+    values = held["assigned_value"] + held["hex_string"]
+    code = {c: i for i, c in enumerate(S.SYMBOLS)}
+
+    def score(kind, value):
+        return models[kind].score(S.np.array([code[c] for c in value]), S.np.array([0]), S.np.array([len(value)]))[0]
+
+    known = [max(score(k, v) for k in models if k != "plain") - score("plain", v) >= S.THRESHOLD for v in values]
+    assert len(values) > 20 and sum(known) >= 0.95 * len(known)
+    assert all(learned == [] for _, learned in S.scan_texts(held.get("plain", []), models))
+
+
 def test_automaton_merges_and_scores():
     a = S.Automaton(["ab" * k for k in range(1, 9)] * 20)
     assert a.next.shape[0] < 17  # fewer states than the prefix tree

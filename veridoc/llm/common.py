@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,10 @@ from pyspark.sql import functions as F
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCK = threading.Lock()
+#: By session: how many writes are under way, and what the setting was before the first.
+_WRITES: dict[str, tuple[int, str]] = {}
+_SCOPES = threading.local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,17 +26,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that all executors share (spark.checkpoint.dir); where it is unset, a temporary one, in local mode only."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not given:
         given = context.getCheckpointDir()
     if not given:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         given = f"file://{tempfile.mkdtemp(prefix='veridoc-checkpoints-')}"
         context.setCheckpointDir(given)
     return given.rstrip("/")
 
 
+@contextmanager
+def _shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go as soon as a query ends, while any thread of the session is in here; then the setting is as before."""
+    key = str(spark._jsparkSession.sessionUUID())
+    with _LOCK:
+        n, before = _WRITES.get(key) or (0, spark.conf.get(_CLEANUP, "false"))
+        _WRITES[key] = n + 1, before
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            n, before = _WRITES.pop(key)
+            if n > 1:
+                _WRITES[key] = n - 1, before
+            else:
+                spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors.
 
@@ -38,14 +65,12 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veridoc-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _shuffles_cleaned(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.veridoc_path = path
+    for scope in getattr(_SCOPES, "open", [])[-1:]:
+        scope.tables.append(out)
     return out
 
 
@@ -58,6 +83,36 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class WorkTables:
+    """The tables written since it began; at its end all go but those to keep, which an outer one takes over."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+        self.kept: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df)
+        return df
+
+
+@contextmanager
+def work_tables() -> Iterator[WorkTables]:
+    """A scope for tables that an operator needs while it runs."""
+    scopes = _SCOPES.open = getattr(_SCOPES, "open", [])
+    own = WorkTables()
+    scopes.append(own)
+    try:
+        yield own
+    finally:
+        scopes.pop()
+        left = {id(x) for x in own.kept}
+        for x in own.tables:
+            if id(x) not in left:
+                discard(x)
+            elif scopes:
+                scopes[-1].tables.append(x)
+
+
 def crc_mod(id_col: str, modulus: int):
     """crc32 of the id's decimal text, modulo modulus; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -192,7 +192,7 @@ def _compared(links: pa.Table, about: pa.Table) -> pa.Table:
     """Compares the members around each centre of a group with each other where one is new; those nearer than a member's worst are proposed."""
     us, vs, ss = ([np.zeros(0, k)] for k in (np.int64, np.int64, np.float64))
     if links.num_rows and about.num_rows:
-        member = about.column("member").to_numpy()
+        member = about.column("name").to_numpy()
         order = np.argsort(member)
         names, worst = member[order], about.column("worst").to_numpy()[order]
         unit = np.frombuffer(b"".join(about.column("unit").to_pylist()), np.float32).reshape(len(order), -1)[order]
@@ -254,9 +254,9 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, block: int = BLOCK, pivo
         # A node's members: itself, its neighbours, and the nearest of those whose neighbour it is. They are compared in groups
         # of centres that lie together, to each of which a vector goes once.
         around = _links(graph, degree).union(graph.select("u", "u", F.lit(True))).join(groups, "centre")
-        worst = graph.select(F.col("u").alias("member"), F.when(F.size("near") < degree, F.lit(-9.0)).otherwise(F.element_at("near", -1)["s"]).cast("double").alias("worst"))
-        about = nodes.select(F.col("node").alias("member"), "unit").join(worst, "member")
-        sent = around.select(F.col("group").alias("of"), "member").distinct().join(about, "member")
+        worst = graph.select(F.col("u").alias("node"), F.when(F.size("near") < degree, F.lit(-9.0)).otherwise(F.element_at("near", -1)["s"]).cast("double").alias("worst"))
+        about = nodes.select("node", "unit").join(worst, "node")
+        sent = around.select(F.col("group").alias("of"), F.col("member").alias("name")).distinct().join(about, F.col("name") == F.col("node")).select("of", "name", "unit", "worst")
         proposed = around.groupBy("group").cogroup(sent.groupBy("of")).applyInArrow(_compared, EDGES)
         known = graph.select("u", F.explode("near").alias("e")).select("u", F.col("e.v").alias("v"), F.col("e.s").alias("s"), F.lit(True).alias("old"))
         better = materialize(_top(known.union(proposed.withColumn("old", F.lit(False))), degree))

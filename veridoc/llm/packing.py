@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import materialize, table
+from veridoc.llm.common import materialize, table, work_tables
 
 CAPACITY = 2048
 END_ID = 0
@@ -217,18 +217,19 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str
 
     A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = materialize(source.mapInArrow(_pieces(vocabulary, capacity), PIECES))
-    counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
-    intervals, _ = plan(counts, capacity)
-    salts = max(32, sum(counts.values()) // ROWS_PER_SALT)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = sizes.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = salted.withColumn("row", F.row_number().over(order)).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("row") - 1)
-    schema = f"{PIECES}, sequence_id long, offset long"
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_placed(intervals), schema)
+    with work_tables() as work:
+        source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        pieces = materialize(source.mapInArrow(_pieces(vocabulary, capacity), PIECES))
+        counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+        intervals, _ = plan(counts, capacity)
+        salts = max(32, sum(counts.values()) // ROWS_PER_SALT)
+        salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+        sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+        before = sizes.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
+        order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+        ranked = salted.withColumn("row", F.row_number().over(order)).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("row") - 1)
+        schema = f"{PIECES}, sequence_id long, offset long"
+        return work.keep(materialize(ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_placed(intervals), schema)))
 
 
 def default_vocabulary() -> str:

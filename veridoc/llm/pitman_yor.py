@@ -28,18 +28,18 @@ token is the unknown word, with certainty; an empty table gives no rows; other c
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import crc_mod, discard, materialize, table
+from veridoc.llm.common import crc_mod, discard, materialize, table, work_tables
 
 FOLDS, HELD = 7, 2
 END = b""  # as a word
@@ -54,7 +54,7 @@ PAIR_STRENGTH = 1.0
 BLOCK_BYTES = 6_000_000
 CHUNK_WORDS = 100_000
 #: Blocks whose requests one word destination takes, and word destinations for one gram destination.
-BLOCKS_A_DEST, DESTS_A_GRAM_DEST = 6, 2
+BLOCKS_A_DEST, DESTS_A_GRAM_DEST = 4, 3
 #: Parts in which the pairs' probabilities go back.
 ANSWER_PARTS = 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -104,7 +104,7 @@ def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Distinct keys, sorted, and the sums of their counts."""
     if not len(keys):
         return keys, counts
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[first], np.add.reduceat(counts, first)
@@ -154,16 +154,17 @@ REQUESTS = "block int, dest int, words binary, counts binary, seconds binary, fi
 
 def _block_words(texts: pa.ChunkedArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The sorted distinct words, each token's place among them (0 is the end), and the tokens of each text."""
-    number: defaultdict[bytes, int] = defaultdict()
-    number.default_factory = number.__len__
-    parts = []
-    for text in texts:
-        own = words_of(text.as_py())
-        parts.append(np.fromiter(map(number.__getitem__, own), np.int64, len(own)))
-    words = sorted(number)
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.combine_chunks()))
+    flat, owner = lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    full = pc.greater(pc.binary_length(flat), 0)  # what precedes or follows all white space is empty
+    coded, owner = flat.filter(full).dictionary_encode(), owner[full.to_numpy(zero_copy_only=False)]
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    order = sorted(range(len(words)), key=words.__getitem__)
     rank = np.zeros(len(words), np.int64)
-    rank[np.fromiter(map(number.__getitem__, words), np.int64, len(words))] = np.arange(len(words))
-    return words, rank[np.concatenate(parts)], np.array([len(x) for x in parts])
+    rank[order] = np.arange(1, len(words) + 1)
+    tokens = np.zeros(len(owner) + len(lists), np.int64)
+    tokens[np.arange(len(owner)) + owner] = rank[coded.indices.to_numpy()]
+    return [END, *(words[i] for i in order)], tokens, np.bincount(owner, minlength=len(lists)) + 1
 
 
 def _block_pairs(tokens: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,7 +179,7 @@ def _by_dest(hashes: np.ndarray, first: np.ndarray, dests: int) -> list[tuple[in
     of = _word_dest(hashes, dests)
     split = []
     for x in (of, of[first]):
-        order = np.argsort(x, kind="stable")
+        order = np.argsort(x.astype(np.uint16) if dests < 1 << 16 else x, kind="stable")
         edges = np.searchsorted(x[order], np.arange(dests + 1))
         split.append([order[edges[d] : edges[d + 1]] for d in range(dests)])
     return [(d, at, pairs) for d, (at, pairs) in enumerate(zip(*split)) if len(at)]
@@ -632,67 +633,68 @@ def _totals(state: DataFrame) -> tuple[list[int], float]:
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    size = source.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    dests = max(4, -(-blocks // BLOCKS_A_DEST))
-    gram_dests = max(2, dests // DESTS_A_GRAM_DEST)
-    held = crc_mod("doc_id", FOLDS) == HELD
-    dealt = source.select("doc_id", "text", held.alias("held_out"), (~held).alias("train"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
-    requests = materialize(dealt.groupBy("block").applyInArrow(_requests(dests), REQUESTS))
-    pairs = materialize(requests.groupBy("dest").applyInArrow(_paired, PAIRS))
-    once, twice = pairs.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("once", "twice"))).first()
-    pair_discount = _discount(once, twice)
-    summed = materialize(requests.select("dest", "words", "counts").groupBy("dest").applyInArrow(_summed, WORDS))
-    sent = materialize(pairs.select("dest", "keys", "seconds", "tables").mapInArrow(_pair_tables(dests), TABLES))
-    state = materialize(summed.groupBy("dest").cogroup(sent.groupBy("dest")).applyInArrow(_customers, WORDS))
-    discard(summed)
-    tokens, types, ends = state.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "ends"))).first()
-    mass, n_tables = 1.0, []
-    p1 = np.full(65_536, 1 / SYMBOLS)
-    for number in range(rounds):
-        last = number == rounds - 1
-        seats, dishes, once, twice = state.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("seats", "dishes", "once", "twice"))).first()
-        discount, n_tables = _discount(once, twice), n_tables or [dishes]
-        # Of the customers that open a table, so many order the unknown word; all, if nothing has been learned.
-        unknown = min(max((once + 1) / (WORD_STRENGTH + discount * dishes + 1), 1 / (dishes + 1)), 0.95) if dishes else 1.0
-        asked = materialize(state.select("dest", "words", "tables").mapInArrow(_gram_requests(gram_dests), GRAMS))
-        model = materialize(asked.groupBy("dest").applyInArrow(_round(p1, number), MODEL))
-        below = np.zeros(65_536)
-        for r in model.select(F.explode(F.arrays_zip("dish", "n")).alias("x")).groupBy("x.dish").agg(F.sum("x.n").alias("n")).collect():  # 65,536 rows at most
-            below[r["dish"]] = r["n"]
-        p1 = short_contexts(below, _seed(2**31, number))
-        answers = asked.select("block", "dest", "grams").groupBy("dest").cogroup(model.select("dest", "grams", "logs").groupBy("dest")).applyInArrow(_answered, "block int, dest int, logs binary")
-        seated = _seated(gram_dests, discount, n_tables[-1], (1 - unknown) / mass, number, SAMPLES if last else 1)
-        following = materialize(state.select("dest", "words", "counts", "customers").groupBy("dest").cogroup(answers.groupBy("block")).applyInArrow(seated, WORDS))
-        for old in (asked, model, state):
-            discard(old)
-        state = following
-        n_tables, mass = _totals(state)
-        if number and not last:
-            continue
-        learned = (discount, seats, n_tables, unknown, mass)
-        parents = sent.select("pair_dest", "dest", "seconds").groupBy("dest").cogroup(state.groupBy("dest")).applyInArrow(_parents(*learned), "pair_dest int, dest int, p binary")
-        reseated = materialize(pairs.groupBy("dest").cogroup(parents.groupBy("pair_dest")).applyInArrow(_pairs_seated(dests, pair_discount, number, last), PAIRS))
-        discard(pairs)
-        discard(sent)
-        pairs = reseated
-        if not last:
-            sent = materialize(pairs.select("dest", "keys", "seconds", "tables").mapInArrow(_pair_tables(dests), TABLES))
-            following = materialize(state.groupBy("dest").cogroup(sent.groupBy("dest")).applyInArrow(_customers, WORDS))
-            discard(state)
+    with work_tables() as work:
+        source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+        size = source.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+        blocks = max(1, -(-size // BLOCK_BYTES))
+        dests = max(4, -(-blocks // BLOCKS_A_DEST))
+        gram_dests = max(2, dests // DESTS_A_GRAM_DEST)
+        held = crc_mod("doc_id", FOLDS) == HELD
+        dealt = source.select("doc_id", "text", held.alias("held_out"), (~held).alias("train"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
+        requests = materialize(dealt.groupBy("block").applyInArrow(_requests(dests), REQUESTS))
+        pairs = materialize(requests.groupBy("dest").applyInArrow(_paired, PAIRS))
+        once, twice = pairs.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("once", "twice"))).first()
+        pair_discount = _discount(once, twice)
+        summed = materialize(requests.select("dest", "words", "counts").groupBy("dest").applyInArrow(_summed, WORDS))
+        sent = materialize(pairs.select("dest", "keys", "seconds", "tables").mapInArrow(_pair_tables(dests), TABLES))
+        state = materialize(summed.groupBy("dest").cogroup(sent.groupBy("dest")).applyInArrow(_customers, WORDS))
+        discard(summed)
+        tokens, types, ends = state.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "ends"))).first()
+        mass, n_tables = 1.0, []
+        p1 = np.full(65_536, 1 / SYMBOLS)
+        for number in range(rounds):
+            last = number == rounds - 1
+            seats, dishes, once, twice = state.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("seats", "dishes", "once", "twice"))).first()
+            discount, n_tables = _discount(once, twice), n_tables or [dishes]
+            # Of the customers that open a table, so many order the unknown word; all, if nothing has been learned.
+            unknown = min(max((once + 1) / (WORD_STRENGTH + discount * dishes + 1), 1 / (dishes + 1)), 0.95) if dishes else 1.0
+            asked = materialize(state.select("dest", "words", "tables").mapInArrow(_gram_requests(gram_dests), GRAMS))
+            model = materialize(asked.groupBy("dest").applyInArrow(_round(p1, number), MODEL))
+            below = np.zeros(65_536)
+            for r in model.select(F.explode(F.arrays_zip("dish", "n")).alias("x")).groupBy("x.dish").agg(F.sum("x.n").alias("n")).collect():  # 65,536 rows at most
+                below[r["dish"]] = r["n"]
+            p1 = short_contexts(below, _seed(2**31, number))
+            answers = asked.select("block", "dest", "grams").groupBy("dest").cogroup(model.select("dest", "grams", "logs").groupBy("dest")).applyInArrow(_answered, "block int, dest int, logs binary")
+            seated = _seated(gram_dests, discount, n_tables[-1], (1 - unknown) / mass, number, SAMPLES if last else 1)
+            following = materialize(state.select("dest", "words", "counts", "customers").groupBy("dest").cogroup(answers.groupBy("block")).applyInArrow(seated, WORDS))
+            for old in (asked, model, state):
+                discard(old)
             state = following
             n_tables, mass = _totals(state)
-    back = [materialize(requests.select("block", "dest", "words").groupBy("dest").cogroup(state.groupBy("dest")).applyInArrow(_word_answers(*learned), ANSWERS))]
-    discard(state)
-    for k in range(ANSWER_PARTS):  # one after another, so that only a part is in shuffle files
-        own = lambda x: x.where(F.col("dest") % ANSWER_PARTS == k)  # noqa: B023, E731
-        asking = own(requests).select("block", "dest", "words", "seconds", "first", "second").groupBy("dest")
-        back.append(materialize(asking.cogroup(own(pairs).select("dest", "keys", "seconds", "gains", "shares").groupBy("dest")).applyInArrow(_pair_answers, ANSWERS)))
-    discard(requests)
-    discard(pairs)
-    back = reduce(DataFrame.union, back)
-    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_scores(dests, tokens, types, ends), SCORES)
+            if number and not last:
+                continue
+            learned = (discount, seats, n_tables, unknown, mass)
+            parents = sent.select("pair_dest", "dest", "seconds").groupBy("dest").cogroup(state.groupBy("dest")).applyInArrow(_parents(*learned), "pair_dest int, dest int, p binary")
+            reseated = materialize(pairs.groupBy("dest").cogroup(parents.groupBy("pair_dest")).applyInArrow(_pairs_seated(dests, pair_discount, number, last), PAIRS))
+            discard(pairs)
+            discard(sent)
+            pairs = reseated
+            if not last:
+                sent = materialize(pairs.select("dest", "keys", "seconds", "tables").mapInArrow(_pair_tables(dests), TABLES))
+                following = materialize(state.groupBy("dest").cogroup(sent.groupBy("dest")).applyInArrow(_customers, WORDS))
+                discard(state)
+                state = following
+                n_tables, mass = _totals(state)
+        back = [materialize(requests.select("block", "dest", "words").groupBy("dest").cogroup(state.groupBy("dest")).applyInArrow(_word_answers(*learned), ANSWERS))]
+        discard(state)
+        for k in range(ANSWER_PARTS):  # one after another, so that only a part is in shuffle files
+            own = lambda x: x.where(F.col("dest") % ANSWER_PARTS == k)  # noqa: B023, E731
+            asking = own(requests).select("block", "dest", "words", "seconds", "first", "second").groupBy("dest")
+            back.append(materialize(asking.cogroup(own(pairs).select("dest", "keys", "seconds", "gains", "shares").groupBy("dest")).applyInArrow(_pair_answers, ANSWERS)))
+        discard(requests)
+        discard(pairs)
+        back = reduce(DataFrame.union, back)
+        return work.keep(materialize(dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_scores(dests, tokens, types, ends), SCORES)))
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import crc_mod, materialize, table
+from veridoc.llm.common import crc_mod, materialize, table, work_tables
 
 FOLDS = 5
 CUT = 0.3
@@ -175,9 +175,14 @@ def score(featured: DataFrame, model: Discriminant, cut: float = CUT) -> DataFra
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", cut: float = CUT) -> DataFrame:
-    """The rows of docs, columns unchanged, whose text scores at least cut."""
-    featured = materialize(features(docs, id_col, text_col))
-    model = fit(featured, labels, id_col=id_col)
+    """The rows of docs, columns unchanged, whose text scores at least cut.
+
+    Only labelled documents are needed for the fit, so the statistics of all are computed once, with the scores.
+    """
+    labelled = labels.select(F.col(id_col).cast("long").alias("veridoc_id")).where("veridoc_id is not null").distinct()
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with work_tables():
+        model = fit(materialize(features(own.join(labelled, F.col("doc_id") == F.col("veridoc_id"), "left_semi"))), labels, id_col=id_col)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,5 +194,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    featured = materialize(features(table(spark, sf_dir, "documents")))
-    return score(featured, fit(featured, table(spark, sf_dir, "labels")))
+    with work_tables() as work:
+        featured = materialize(features(table(spark, sf_dir, "documents")))
+        return work.keep(materialize(score(featured, fit(featured, table(spark, sf_dir, "labels")))))

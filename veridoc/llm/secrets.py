@@ -1,16 +1,22 @@
 """Secret scans: fixed patterns, and formats learned by grammar inference.
 
-The patterns (kinds assign, access and hex) are exact. Beside them, every run of 16 or more token
-characters is a candidate. For each kind of labelled credential a probabilistic automaton is inferred:
-a prefix tree of the examples, whose states are merged where their continuations agree within a
-Hoeffding bound (red states kept, blue ones tried in order of weight). A last automaton is inferred
-from ordinary long tokens. A candidate is reported under the kind whose automaton gives it the highest
-likelihood, if that exceeds the ordinary one's by ``threshold`` nats and the pattern spans don't hold
-it already. All candidates of a batch walk through the automata together, as numpy arrays.
-
-Cases: null text counts as empty; repeated rows are scanned each on its own; an empty table gives no
-rows; other columns are not read; texts are scanned whole whatever their length. Positions are code
-points, ends exclusive.
+The patterns (kinds assign, access and hex) are exact. Beside them, every run of 16 or more token characters is a
+candidate, and so is every such part of it between slashes and equals signs. For each kind of labelled credential a
+probabilistic automaton is inferred: a prefix tree of the examples, whose states are merged where their continuations
+agree within a Hoeffding bound (red states kept, blue ones tried in order of weight). A last automaton is inferred
+from ordinary long tokens. A candidate is reported under the kind whose automaton gives it the highest likelihood, if
+that exceeds the ordinary one's by ``threshold`` nats and the pattern spans don't hold it already; of candidates that
+overlap, the one with the greatest excess. All candidates of a batch walk through the automata together, as numpy arrays.
+
+The labelled credentials are those that the patterns find in the documents themselves (values assigned to a keyword,
+access keys, hexadecimal strings), and the ordinary tokens are the other candidates there: of each kind the ``EXAMPLES``
+different ones whose hashes are lowest, of at most ``LONGEST`` characters. Formats that are published, but may not occur
+in the documents at hand, are added as made-up examples with a fixed seed.
+
+Cases: null text counts as empty; repeated rows are scanned each on its own; of spans that begin together, the kind
+listed first comes first, and candidates that score alike go by place; an empty table gives no rows; other columns are
+not read, and clashing names do no harm; texts are scanned whole whatever their length. Positions are code points, ends
+exclusive.
 """
 
 from __future__ import annotations
@@ -19,11 +25,14 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veridoc.llm.common import table
@@ -38,6 +47,8 @@ ALPHA = 0.05
 #: Weight of symbols that a state hasn't seen, in a credential's automaton and in the ordinary one.
 SMOOTHING, PLAIN_SMOOTHING = 1e-4, 1e-2
 EXAMPLES = 150
+#: Ordinary tokens of the documents, and the greatest length of an example.
+ORDINARY, LONGEST = 600, 128
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 SYMBOLS = LOWER + UPPER + DIGITS + "+/_=-"
@@ -159,14 +170,60 @@ class Automaton:
         return total + self.log_end[state]
 
 
-_MODELS: dict[int, dict[str, Automaton]] = {}
+#: Kinds learned from the documents, by the pattern that labels them.
+FOUND_KINDS = {"assign": "assigned_value", "access": "access_key", "hex": "hex_string"}
+KINDS = (*FOUND_KINDS.values(), *(f[0] for f in FORMATS))
 
 
-def automata(seed: int = 7) -> dict[str, Automaton]:
-    """The automata of ``labelled_examples``, inferred once in each worker."""
-    if seed not in _MODELS:
-        _MODELS[seed] = {kind: Automaton(examples, smoothing=PLAIN_SMOOTHING if kind == "plain" else SMOOTHING) for kind, examples in labelled_examples(seed).items()}
-    return _MODELS[seed]
+def infer(found: dict[str, list[str]] | None = None, seed: int = 7) -> dict[str, Automaton]:
+    """The automata of labelled strings found, and of the made-up ones; ``plain`` is that of ordinary tokens."""
+    examples = labelled_examples(seed)
+    for kind, strings in (found or {}).items():
+        examples[kind] = examples.get(kind, []) + strings
+    return {kind: Automaton(examples[kind], smoothing=PLAIN_SMOOTHING if kind == "plain" else SMOOTHING) for kind in (*KINDS, "plain") if examples.get(kind)}
+
+
+def _labelled(texts: list[str]) -> Iterator[tuple[str, str]]:
+    """(kind, string) of the credentials that the patterns find, and of the ordinary candidates."""
+    for text in texts:
+        spans = base_spans(text)
+        for kind, a, b in spans:
+            value = ASSIGN.match(text, a)[2] if kind == "assign" else text[a:b]
+            if len(value) <= LONGEST and not set(value) - set(SYMBOLS):
+                yield FOUND_KINDS[kind], value
+        within = _inside(spans)
+        for a, b in _runs(_CODE[_points(text)] >= 0, MIN_CANDIDATE):
+            if b - a <= LONGEST and not within(a, b) and not any(a < y and x < b for _, x, y in spans):
+                yield "plain", text[a:b]
+
+
+def _lowest(strings: dict[str, int], n: int) -> dict[str, int]:
+    return dict(sorted(strings.items(), key=lambda x: (x[1], x[0]))[:n])
+
+
+def credentials(docs: DataFrame, text_col: str = "text", held: bool = False) -> dict[str, list[str]]:
+    """Labelled strings of the documents by kind, at most ``EXAMPLES`` (of plain ones ``ORDINARY``); held: those of the fifth of all strings that isn't learned from."""
+    bound = lambda kind: ORDINARY if kind == "plain" else EXAMPLES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[str, dict[str, int]] = {k: {} for k in (*FOUND_KINDS.values(), "plain")}
+        for batch in batches:
+            for _, texts in _chunks(batch.column(0)):
+                for kind, value in _labelled(texts):
+                    number = xxhash.xxh64_intdigest(value) >> 1
+                    if (number % 5 == 0) == held:
+                        least[kind][value] = number
+                        if len(least[kind]) > 4 * bound(kind):
+                            least[kind] = _lowest(least[kind], bound(kind))
+        rows = [(k, v, n) for k, own in least.items() for v, n in _lowest(own, bound(k)).items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["kind", "value", "number"])
+
+    each = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "kind string, value string, number long").distinct()
+    best = each.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("number", "value"))).where(F.col("r") <= F.when(F.col("kind") == "plain", ORDINARY).otherwise(EXAMPLES))
+    out: dict[str, list[str]] = {}
+    for r in best.orderBy("kind", "r").collect():  # a bounded number of short strings
+        out.setdefault(r["kind"], []).append(r["value"])
+    return out
 
 
 def _runs(mask: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -177,7 +234,8 @@ def _runs(mask: np.ndarray, least: int) -> list[tuple[int, int]]:
     return list(zip(starts[kept].tolist(), ends[kept].tolist()))
 
 
-_IS_HEX, _CODE = np.zeros(129, bool), np.full(129, -1, np.int16)
+_IS_HEX, _PARTS, _CODE = np.zeros(129, bool), np.zeros(129, bool), np.full(129, -1, np.int16)
+_PARTS[[ord(c) for c in "/="]] = True
 _IS_HEX[[ord(c) for c in "0123456789abcdef"]] = True
 _CODE[[ord(c) for c in SYMBOLS]] = np.arange(len(SYMBOLS))
 
@@ -191,25 +249,38 @@ def base_spans(text: str, points: np.ndarray | None = None) -> list[tuple[str, i
     if "AKIA" in text:
         found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     if points is None:
-        points = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 128)
+        points = _points(text)
     found += [("hex", a, b) for a, b in _runs(_IS_HEX[points], MIN_HEX)]
     return sorted(found, key=lambda x: (x[1], BASE_KINDS.index(x[0]), x[2]))
 
 
+def _points(text: str) -> np.ndarray:
+    """Code points, those beyond ASCII as 128."""
+    return np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 128)
+
+
+def _inside(spans: list[tuple[str, int, int]]):
+    """Whether one of the spans, which are sorted by start, holds a place whole."""
+    starts = [x for _, x, _ in spans]
+    reach = list(accumulate((y for _, _, y in spans), max))
+    return lambda a, b: (i := bisect_right(starts, a)) > 0 and reach[i - 1] >= b
+
+
 def _spelled(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def scan_texts(texts: list[str], threshold: float = THRESHOLD) -> list[tuple[list, list]]:
+def scan_texts(texts: list[str], models: dict[str, Automaton] | None = None, threshold: float = THRESHOLD) -> list[tuple[list, list]]:
     """For each text its pattern spans, and the spans that the automata add."""
-    models = automata()
+    models = models or infer()
     kinds = [k for k in models if k != "plain"]
     bases, where, codes, at = [], [], [], 0
     for i, text in enumerate(texts):
-        points = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 128)
+        points = _points(text)
         bases.append(base_spans(text, points))
         code = _CODE[points]
-        for a, b in _runs(code >= 0, MIN_CANDIDATE):
+        whole = _runs(code >= 0, MIN_CANDIDATE)
+        for a, b in dict.fromkeys([*whole, *(_runs((code >= 0) & ~_PARTS[points], MIN_CANDIDATE) if whole else [])]):
             where.append((i, a, b, at))
             codes.append(code[a:b])
             at += b - a
@@ -222,9 +293,11 @@ def scan_texts(texts: list[str], threshold: float = THRESHOLD) -> list[tuple[lis
         scores = np.stack([models[k].score(flat, starts, lengths) for k in kinds])
         best = scores.argmax(0)
         gain = scores.max(0) - plain
-        for j in np.flatnonzero(gain >= threshold):
+        good = np.flatnonzero(gain >= threshold)
+        inside = {i: _inside(bases[i]) for i in {where[j][0] for j in good}}
+        for j in sorted(good.tolist(), key=lambda j: (-gain[j], where[j][:2])):
             i, a, b, _ = where[j]
-            if not any(x <= a and b <= y for _, x, y in bases[i]):
+            if not inside[i](a, b) and not any(a < y and x < b for _, x, y in added[i]):
                 added[i].append((kinds[best[j]], a, b))
         for found in added:
             found.sort(key=lambda x: (x[1], kinds.index(x[0]), x[2]))
@@ -248,11 +321,11 @@ SPANS = "array<struct<kind:string,start:long,end:long>>"
 _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scanned(threshold: float):
+def _scanned(models: dict[str, Automaton], threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in _chunks(batch.column(1)):
-                found = scan_texts(texts, threshold)
+                found = scan_texts(texts, models, threshold)
                 as_dicts = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(texts)), pa.array([as_dicts(b) for b, _ in found], _SPAN_TYPE), pa.array([as_dicts(m) for _, m in found], _SPAN_TYPE)],
@@ -265,7 +338,7 @@ def _scanned(threshold: float):
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """A row per document: doc_id, base and learned (arrays of kind, start, end)."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(_scanned(threshold), f"doc_id long, base {SPANS}, learned {SPANS}")
+    return source.mapInArrow(_scanned(infer(credentials(docs, text_col)), threshold), f"doc_id long, base {SPANS}, learned {SPANS}")
 
 
 def redact_text(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -283,13 +356,13 @@ def redact_text(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _redacted(text_at: int, threshold: float):
+def _redacted(text_at: int, models: dict[str, Automaton], threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_at)
             new: list[str | None] = []
             for _, part in _chunks(texts):
-                new += [redact_text(t, base + learned) for t, (base, learned) in zip(part, scan_texts(part, threshold))]
+                new += [redact_text(t, base + learned) for t, (base, learned) in zip(part, scan_texts(part, models, threshold))]
             kept = [None if not texts[i].is_valid else t for i, t in enumerate(new)]
             yield batch.set_column(text_at, batch.schema.field(text_at), pa.array(kept, batch.schema.field(text_at).type))
 
@@ -298,7 +371,7 @@ def _redacted(text_at: int, threshold: float):
 
 def redact(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The same rows and columns, with every secret in the text replaced by its kind; null texts stay null."""
-    return docs.mapInArrow(_redacted(docs.columns.index(text_col), threshold), docs.schema)
+    return docs.mapInArrow(_redacted(docs.columns.index(text_col), infer(credentials(docs, text_col)), threshold), docs.schema)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,6 +379,6 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     spell = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     n = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     # By start, then kind as listed: the three fixed kinds, then the learned ones in their order.
-    listed = F.array(*(F.lit(k) for k in (*BASE_KINDS, *(f[0] for f in FORMATS))))
+    listed = F.array(*(F.lit(k) for k in (*BASE_KINDS, *KINDS)))
     every = F.transform(F.concat("base", "learned"), lambda x: F.struct(x["start"].alias("start"), F.array_position(listed, x["kind"]).alias("at"), x["end"].alias("end"), x["kind"].alias("kind")))
     return found.select("doc_id", *(n(k) for k in BASE_KINDS), F.sha2(spell(F.col("base")), 256).alias("base_sha256"), spell(F.array_sort(every)).alias("spans"))

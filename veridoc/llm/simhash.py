@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import components, discard, materialize, table
+from veridoc.llm.common import components, materialize, table, work_tables
 
 SHINGLE = 3
 SEED = 42
@@ -39,7 +39,7 @@ BUCKET = 64
 #: and the bits of those in which candidates may differ.
 NEAR_SHINGLE, NEAR = 5, 0.8
 PRINTS = 6
-NEAR_BITS = 64 * PRINTS // 5
+NEAR_BITS = 64 * PRINTS * 16 // 100
 NEAREST = 4
 BLOCK = 512
 FEW = 250_000
@@ -164,16 +164,17 @@ def fingerprint_links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """A row per document: doc_id, fp (signed 64 bits), fingerprint (hex), component_id (least id that can be reached)."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = materialize(source.mapInArrow(_fingerprints(shingle), "doc_id long, fp long"))
-    firsts = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(fingerprint_links(firsts)).withColumnsRenamed({"u": "fp", "v": "root"})
-    rooted = firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    # Fingerprints of one document alone and its component are few beside the documents; a hot
-    # fingerprint's documents are split between tasks by the skew-join rule.
-    of = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    with work_tables() as work:
+        source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        marked = materialize(source.mapInArrow(_fingerprints(shingle), "doc_id long, fp long"))
+        firsts = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+        roots = components(fingerprint_links(firsts)).withColumnsRenamed({"u": "fp", "v": "root"})
+        rooted = firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+        # Fingerprints of one document alone and its component are few beside the documents; a hot
+        # fingerprint's documents are split between tasks by the skew-join rule.
+        of = rooted.join(least, "root").select("fp", "component_id")
+        return work.keep(materialize(marked.join(of, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")))
 
 
 def word_prints(text: str | None) -> np.ndarray:
@@ -214,24 +215,34 @@ def _print_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(keys | np.int64(i << 40)), pa.array(node[rows])], names=["key", "node"])
 
 
-def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of buckets of bounded size, each once a batch."""
+def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of buckets of bounded size, the pairs of nodes with different roots, each once in a part."""
     places = lru_cache(maxsize=None)(lambda n: np.triu_indices(n, 1))
+    held: list[np.ndarray] = []
+
+    def told() -> Iterator[pa.RecordBatch]:
+        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *held]), axis=0)
+        held.clear()
+        for at in range(0, len(pairs), 50_000):
+            part = pairs[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[:, k])) for k in (0, 1)], names=["u", "v"])
+
     for batch in batches:
-        sizes, flat = batch.column(0).value_lengths().to_numpy(), batch.column(0).flatten().to_numpy()
-        ends = np.cumsum(sizes)
-        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for n, end in zip(sizes.tolist(), ends.tolist()):
-            own = flat[end - n : end]
+        flat, size = batch.column(0).flatten(), 0
+        nodes, roots = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+        sizes = batch.column(0).value_lengths().to_numpy()
+        for n, end in zip(sizes.tolist(), np.cumsum(sizes).tolist()):
+            own, root = nodes[end - n : end], roots[end - n : end]
             i, j = places(n)
-            us.append(own[i])
-            vs.append(own[j])
-        pairs = np.stack([np.concatenate(us), np.concatenate(vs)], axis=1)
-        pairs.sort(axis=1)
-        pairs = np.unique(pairs, axis=0)
-        for at in range(0, len(pairs), 100_000):
-            part = pairs[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[:, k])) for k in (0, 1)], names=["u", "v"])
+            apart = root[i] != root[j]
+            pairs = np.stack([own[i[apart]], own[j[apart]]], axis=1)
+            pairs.sort(axis=1)
+            held.append(pairs)
+            size += len(pairs)
+            if size > 200_000:
+                yield from told()
+                size = 0
+        yield from told()
 
 
 def _nearest_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,28 +296,34 @@ def _similar(similarity: float):
     return run
 
 
-def _candidates(keyed: DataFrame, prints: DataFrame, bucket: int, block: int) -> DataFrame:
-    """Pairs (u < v) of nodes that share a bucket and are near by their fingerprints, each once."""
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(keyed.join(sizes, "key"))
-    small = shared.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("node").alias("nodes")).select("nodes").mapInArrow(_all_pairs, "u long, v long")
-    crowded = materialize(shared.where(F.col("n") > bucket))
-    hubs = crowded.groupBy("key").agg(F.min("node").alias("u"))
-    stars = crowded.join(hubs, "key").select("u", F.col("node").alias("v")).where("u != v")
-    own = crowded.groupBy("node").agg(F.max(F.struct("n", "key")).alias("most")).select("node", F.col("most.key").alias("key"))
-    blocks = own.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = own.join(blocks, "key").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("key", F.least("b", "other").alias("low"), F.greatest("b", "other").alias("high"), "node").join(prints, "node")
-    met = placed.groupBy("key", "low", "high").agg(F.collect_list(F.struct("node", *_PS)).alias("members"))  # two blocks
-    forest = met.where(F.size("members") > 1).select("members").mapInArrow(_nearest_pairs, "u long, v long")
-    pairs = small.union(stars).union(forest).distinct()
+def _near(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The different pairs (u, v) that are near by their fingerprints."""
     left, right = (prints.select(F.col("node").alias(x), *(F.col(p).alias(f"{x}{p}") for p in _PS)) for x in ("u", "v"))
-    apart = sum((F.bit_count(F.col(f"u{p}").bitwiseXOR(F.col(f"v{p}"))) for p in _PS[1:]), F.bit_count(F.col(f"u{_PS[0]}").bitwiseXOR(F.col(f"v{_PS[0]}"))))
-    near = materialize(pairs.join(left, "u").join(right, "v").where(apart <= NEAR_BITS).select("u", "v"))
-    discard(shared)
-    discard(crowded)
-    return near
+    bits = [F.bit_count(F.col(f"u{p}").bitwiseXOR(F.col(f"v{p}"))) for p in _PS]
+    return pairs.distinct().join(left, "u").join(right, "v").where(sum(bits[1:], bits[0]) <= NEAR_BITS).select("u", "v")
+
+
+def _closest(shared: DataFrame, prints: DataFrame, block: int) -> DataFrame:
+    """Pairs of each node in its largest bucket: with the bucket's first, and the closest in every two blocks of it."""
+    own = shared.groupBy("node").agg(F.max(F.struct("n", "key")).alias("most")).select("node", F.col("most.key").alias("key"))
+    sizes = materialize(own.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("node").alias("u")))
+    placed = own.join(sizes, "key").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    stars = placed.select("u", F.col("node").alias("v")).where("u != v")
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("key", F.least("b", "other").alias("low"), F.greatest("b", "other").alias("high"), "node").join(prints, "node")
+    met = met.groupBy("key", "low", "high").agg(F.collect_list(F.struct("node", *_PS)).alias("members"))  # two blocks
+    return stars.union(met.where(F.size("members") > 1).select("members").mapInArrow(_nearest_pairs, "u long, v long"))
+
+
+def _between(shared: DataFrame, roots: DataFrame, bucket: int) -> DataFrame:
+    """Pairs of nodes that share a bucket but not a root: all of a small bucket, those with the first of a larger one."""
+    rooted = shared.join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"))
+    open_keys = lambda x: F.min(x) != F.max(x)
+    small = rooted.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list(F.struct("node", "root")).alias("members"), open_keys("root").alias("open"))
+    large = rooted.where(F.col("n") > bucket)
+    first = large.groupBy("key").agg(F.min(F.struct("node", "root")).alias("first"))
+    stars = large.join(first, "key").where(F.col("root") != F.col("first.root")).select(F.col("first.node").alias("u"), F.col("node").alias("v"))
+    return small.where("open").select("members").mapInArrow(_open_pairs, "u long, v long").union(stars)
 
 
 def _checked(spark: SparkSession, df: DataFrame, few: int) -> DataFrame:
@@ -320,38 +337,46 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are near-duplicates if their sets of five-word shingles have a Jaccard similarity of 0.8 or more, or through
     others that are. Such sets leave too many bits of a SimHash of shingles apart; a SimHash of the distinct words keeps
     them within a few, so candidates are found by ``PRINTS`` of those, each with the Golay keys above, and every
-    candidate is verified on the whole sets. Equal texts are one text. A bucket of up to ``bucket`` texts gives all its
-    pairs. A larger one gives its texts' links to its first one, and each text, in its largest such bucket, the links of
-    the least distances in every two blocks of the bucket's texts: enough to connect them, but not each pair.
+    candidate is verified on the whole sets. Equal texts are one text. First each text is compared, in its largest bucket,
+    with the bucket's first and with the closest in every two blocks of the bucket's texts, which connects copies of one
+    text however many there are. Then what is not yet connected is compared: all texts of a bucket of up to ``bucket``,
+    and those of a larger one with its first.
     """
-    spark = docs.sparkSession
-    t1, t2 = F.xxhash64("veridoc_text").alias("t1"), F.xxhash64(F.lit(7), "veridoc_text").alias("t2")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("veridoc_text")).select("doc_id", "veridoc_text", t1, t2)
-    marked = materialize(source.mapInArrow(_printed, f"doc_id long, t1 long, t2 long, {', '.join(f'{p} long' for p in _PS)}"))
-    firsts = materialize(marked.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), *(F.first(p).alias(p) for p in _PS)).withColumn("node", F.monotonically_increasing_id()))
-    prints = firsts.select("node", *_PS)
-    near = _candidates(prints.mapInArrow(_print_keys, "key long, node long"), prints, bucket, block)
-    nodes = near.select(F.col("u").alias("node")).union(near.select("v")).distinct().join(firsts.select("node", "t1", "t2"), "node")
-    texts = source.select("t1", "t2", "veridoc_text").join(_checked(spark, nodes, few), ["t1", "t2"]).groupBy("node").agg(F.first("veridoc_text").alias("text"))
-    sets = materialize(texts.mapInArrow(_sets(shingle), "node long, n long, shingles binary"))
-    left, right = (sets.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("shingles").alias(f"{x}_set")) for x in ("u", "v"))
-    pairs = near.join(left, "u").join(right, "v").where(F.least("u_n", "v_n") >= similarity * F.greatest("u_n", "v_n") - 1e-9)
-    roots = components(pairs.select("u", "v", "u_set", "v_set").mapInArrow(_similar(similarity), "u long, v long")).withColumnsRenamed({"u": "node", "v": "root"})
-    classes = firsts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
-    least = classes.agg(F.min(F.struct(F.col("first").isNull().alias("no_id"), "first", "node", "t1", "t2")).alias("of"))
-    kept = materialize(least.select(F.col("of.first").alias("kept_id"), F.col("of.t1").alias("kept_1"), F.col("of.t2").alias("kept_2")))
-    same = lambda i, x, y: F.col(i).cast("long").eqNullSafe(F.col("kept_id")) & (F.col(x) == F.col("kept_1")) & (F.col(y) == F.col("kept_2"))
-    repeated = materialize(marked.join(kept, same("doc_id", "t1", "t2"), "left_semi").groupBy("doc_id", "t1", "t2").count().where("count > 1").select(F.col("doc_id").alias("kept_id"), F.col("t1").alias("kept_1"), F.col("t2").alias("kept_2")))
-    for done in (marked, firsts, near, sets):
-        discard(done)
-    own = docs.select("*", text.alias("veridoc_text")).withColumns({"veridoc_1": t1, "veridoc_2": t2}).drop("veridoc_text")
-    here = same(id_col, "veridoc_1", "veridoc_2")
-    rows = own.join(_checked(spark, kept, few), here, "left_semi")
-    if repeated.limit(1).count():
-        again = _checked(spark, repeated, few)
-        rows = rows.join(again, here, "left_anti").union(rows.join(again, here, "left_semi").dropDuplicates([id_col, "veridoc_1", "veridoc_2"]))
-    return rows.select(*docs.columns)
+    with work_tables() as work:
+        spark = docs.sparkSession
+        t1, t2 = F.xxhash64("veridoc_text").alias("t1"), F.xxhash64(F.lit(7), "veridoc_text").alias("t2")
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("veridoc_text")).select("doc_id", "veridoc_text", t1, t2)
+        marked = materialize(source.mapInArrow(_printed, f"doc_id long, t1 long, t2 long, {', '.join(f'{p} long' for p in _PS)}"))
+        firsts = materialize(marked.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), *(F.first(p).alias(p) for p in _PS)).withColumn("node", F.monotonically_increasing_id()))
+        prints = firsts.select("node", *_PS)
+        keyed = prints.mapInArrow(_print_keys, "key long, node long")
+        shared = materialize(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+        nodes = shared.select("node").distinct().join(firsts.select("node", "t1", "t2"), "node")
+        texts = source.select("t1", "t2", "veridoc_text").join(_checked(spark, nodes, few), ["t1", "t2"]).groupBy("node").agg(F.first("veridoc_text").alias("text"))
+        sets = materialize(texts.mapInArrow(_sets(shingle), "node long, n long, shingles binary"))
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            left, right = (sets.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("shingles").alias(f"{x}_set")) for x in ("u", "v"))
+            sized = pairs.join(left.drop("u_set"), "u").join(right.drop("v_set"), "v").where(F.least("u_n", "v_n") >= similarity * F.greatest("u_n", "v_n") - 1e-9)
+            whole = sized.select("u", "v").join(left, "u").join(right, "v")
+            return materialize(whole.select("u", "v", "u_set", "v_set").mapInArrow(_similar(similarity), "u long, v long"))
+
+        rooted = lambda links: components(links).withColumnsRenamed({"u": "node", "v": "root"})
+        first_links = verified(_near(_closest(shared, prints, block), prints))
+        roots = rooted(first_links.union(verified(_near(_between(shared, rooted(first_links), bucket), prints))))
+        classes = firsts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
+        least = classes.agg(F.min(F.struct(F.col("first").isNull().alias("no_id"), "first", "node", "t1", "t2")).alias("of"))
+        kept = work.keep(materialize(least.select(F.col("of.first").alias("kept_id"), F.col("of.t1").alias("kept_1"), F.col("of.t2").alias("kept_2"))))
+        same = lambda i, x, y: F.col(i).cast("long").eqNullSafe(F.col("kept_id")) & (F.col(x) == F.col("kept_1")) & (F.col(y) == F.col("kept_2"))
+        repeated = work.keep(materialize(marked.join(kept, same("doc_id", "t1", "t2"), "left_semi").groupBy("doc_id", "t1", "t2").count().where("count > 1").select(F.col("doc_id").alias("kept_id"), F.col("t1").alias("kept_1"), F.col("t2").alias("kept_2"))))
+        own = docs.select("*", text.alias("veridoc_text")).withColumns({"veridoc_1": t1, "veridoc_2": t2}).drop("veridoc_text")
+        here = same(id_col, "veridoc_1", "veridoc_2")
+        rows = own.join(_checked(spark, kept, few), here, "left_semi")
+        if repeated.limit(1).count():
+            again = _checked(spark, repeated, few)
+            rows = rows.join(again, here, "left_anti").union(rows.join(again, here, "left_semi").dropDuplicates([id_col, "veridoc_1", "veridoc_2"]))
+        return rows.select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,22 +5,23 @@ Each model also gets the log odds that the chain gives the earlier categories. F
 from models fitted on the other folds of the training rows (out of fold), so a later model sees earlier
 predictions as good or bad as they are on new texts.
 
-Training takes at most ``sample`` labelled documents (those whose ids hash lowest); which features it
-uses (the ``keep`` with the largest standardised difference between classes, of at least ``LEAST_GAP``) and all weights come from
-those. Scoring reads every whole text.
-
-The label ``toxic`` is the last category. The earlier ones, insult and contempt, mark toxic
-documents with words of two short lists.
-
-Cases: null and empty texts have no features and get a low, defined score; rows without a label or
-with a null one aren't learned from, and of several labels of a document the mean decides; without any
-label, every score is 0.5 of each category and nothing is flagged; repeated rows are scored each; an
-empty table gives no rows; other columns are not read.
+The labels tell toxic documents only. Their categories are found in them: the features of toxic training
+rows are clustered (spherical k-means, started from the rows farthest apart, so without chance), and each
+of the ``KINDS`` clusters is a category; ``toxic`` itself is the last. No list of words is given.
+
+Training takes at most ``sample`` labelled documents (of those that exist, the ones whose ids hash lowest);
+which features it uses (the ``keep`` with the largest standardised difference between toxic rows and others, of
+at least ``LEAST_GAP``) and all weights come from those. Scoring reads every whole text.
+
+Cases: null and empty texts have no features and get a low, defined score, texts of any length are read whole;
+rows without a label or with a null one aren't learned from, and of several labels of a document the mean decides,
+a tie being toxic; of documents with one id that differ, training takes any; without any label, every score is 0.5 of
+each category and nothing is flagged; repeated rows are scored each; an empty table gives no rows; other columns are
+not read, and clashing names do no harm.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -42,12 +43,9 @@ FOLDS = 5
 #: Rows whose features are held at a time.
 PART = 256
 CUT = 0.4
-#: Words that mark a toxic document's category.
-LEXICON = {
-    "insult": ("idiot", "moron", "clown", "loser", "stupid"),
-    "contempt": ("trash", "scum", "worthless", "pathetic", "disgusting"),
-}
-CATEGORIES = (*LEXICON, "toxic")
+#: Clusters of toxic documents, each a category of its own.
+KINDS = 2
+CATEGORIES = (*(f"kind_{i + 1}" for i in range(KINDS)), "toxic")
 _GAPS = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(128)) + bytes(range(128, 256))
 
 
@@ -58,10 +56,33 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter(map(zlib.crc32, parts), np.int64, len(parts)) % BUCKETS)
 
 
-def marks(text: str | None, toxic: int) -> list[int]:
-    """The categories of a labelled document."""
-    words = set(re.findall(r"[a-z]+", (text or "").lower())) if toxic else set()
-    return [int(not words.isdisjoint(cues)) for cues in LEXICON.values()] + [toxic]
+def clusters(x: np.ndarray, kinds: int = KINDS, steps: int = 20) -> np.ndarray:
+    """The cluster of each row of 0 and 1, by the cosines with the clusters' centres; rows without features join the first."""
+    if not len(x):
+        return np.zeros(0, np.int64)
+    unit = x / np.maximum(np.sqrt(x.sum(1, keepdims=True)), 1)
+    chosen = [int((unit @ unit.mean(0)).argmax())]
+    while len(chosen) < min(kinds, len(x)):
+        chosen.append(int((unit @ unit[chosen].T).max(1).argmin()))
+    centres, of = unit[chosen], np.full(len(x), -1)
+    for _ in range(steps):
+        found = (unit @ centres.T).argmax(1)
+        if (found == of).all():
+            break
+        of = found
+        sums = np.stack([unit[of == k].sum(0) for k in range(len(centres))])
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norms > 0, sums / np.maximum(norms, 1e-12), centres)
+    return of
+
+
+def categories(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """A column for each cluster of the toxic rows, and the label."""
+    out = np.zeros((len(x), KINDS + 1), np.int64)
+    out[:, KINDS] = toxic
+    rows = np.flatnonzero(toxic)
+    out[rows, clusters(x[rows])] = 1
+    return out
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -119,7 +140,7 @@ class Chain:
 
 
 def bucket_counts(found: Sequence[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Of each bucket: the rows that have it, and those of each category."""
+    """Of each bucket: the rows that have it, and those of each column of y."""
     flat = np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)
     owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
     own = [np.bincount(flat[y[owner, c] == 1], minlength=BUCKETS) for c in range(y.shape[1])]
@@ -136,16 +157,21 @@ def choose(counts: np.ndarray, n: int, own: np.ndarray, keep: int = KEEP) -> np.
     return np.sort(kept[scores[kept] >= LEAST_GAP])
 
 
-def fit_weights(kept: np.ndarray, places: Sequence[np.ndarray], y: np.ndarray, folds: int = FOLDS) -> Chain:
+def fit_weights(kept: np.ndarray, places: Sequence[np.ndarray], toxic: np.ndarray, folds: int = FOLDS) -> Chain:
     """Fits the chain; places has the numbers of the kept buckets that each row has."""
     x = np.zeros((len(places), len(kept)))
     for i, p in enumerate(places):
         x[i, p] = 1
-    fold = np.arange(len(places)) % folds
-    weights, earlier = [], np.zeros((len(places), 0))
+    return fit_categories(kept, x, categories(x, toxic), folds)
+
+
+def fit_categories(kept: np.ndarray, x: np.ndarray, y: np.ndarray, folds: int = FOLDS) -> Chain:
+    """Fits the chain to given categories, in the order of y's columns."""
+    fold = np.arange(len(x)) % folds
+    weights, earlier = [], np.zeros((len(x), 0))
     for c in range(y.shape[1]):
         whole = np.concatenate([x, earlier], axis=1)
-        apart = np.zeros(len(places))
+        apart = np.zeros(len(x))
         for k in range(folds):
             if (fold == k).any():
                 apart[fold == k] = _predict(whole[fold == k], _logistic(whole[fold != k], y[fold != k, c]))
@@ -154,25 +180,17 @@ def fit_weights(kept: np.ndarray, places: Sequence[np.ndarray], y: np.ndarray, f
     return Chain(kept, tuple(weights))
 
 
-def fit_chain(found: Sequence[np.ndarray], y: np.ndarray) -> Chain:
-    """Fits the chain on rows of features and their categories (one column each)."""
-    if not len(found):
-        return Chain(np.zeros(0, np.int64), ())
-    kept = choose(bucket_counts(found, y), len(y), y.sum(0))
-    return fit_weights(kept, [np.flatnonzero(np.isin(kept, f, assume_unique=True)) for f in found], y)
-
-
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Chain:
     """Learns from at most sample labelled documents; the driver gets their kept features, and BUCKETS counts at most."""
     of = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("y is not null and doc_id is not null")
-    of = of.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    there = docs.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
+    of = of.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y")).join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     ints = pa.list_(pa.int32())
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            texts, ys = batch.column(1), batch.column(2).to_pylist()
-            found = [features(t.as_py()).astype(np.int32) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, ints), pa.array([marks(t.as_py(), y) for t, y in zip(texts, ys)], ints)], names=["doc_id", "f", "y"])
+            found = [features(t.as_py()).astype(np.int32) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, ints), batch.column(2)], names=["doc_id", "f", "y"])
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return (batch.slice(at, PART) for batch in batches for at in range(0, batch.num_rows, PART))
@@ -181,21 +199,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return [np.array(x.as_py(), np.int64) for x in batch.column(name)]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((1 + len(CATEGORIES), BUCKETS), np.int64)
+        total = np.zeros((2, BUCKETS), np.int64)
         for batch in parts(batches):
             if batch.num_rows:
-                total += bucket_counts(rows_of(batch, "f"), np.stack(rows_of(batch, "y")))
+                total += bucket_counts(rows_of(batch, "f"), batch.column("y").to_numpy()[:, None])
         at = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(t[at]) for t in total)], names=["bucket", *(f"n{i}" for i in range(len(total)))])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     one = source.join(F.broadcast(of), "doc_id").select("doc_id", "text", "y")  # sample rows at most
-    rows = materialize(one.mapInArrow(featured, "doc_id long, f array<int>, y array<int>").dropDuplicates(["doc_id"]))
-    names = [f"n{i}" for i in range(1 + len(CATEGORIES))]
+    rows = materialize(one.mapInArrow(featured, "doc_id long, f array<int>, y int").dropDuplicates(["doc_id"]))
+    names = ["n0", "n1"]
     sums = rows.mapInArrow(counted, ", ".join(["bucket int", *(f"{n} long" for n in names)])).groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
     counts = np.zeros((len(names), BUCKETS), np.int64)
     counts[:, sums.column("bucket").to_numpy()] = np.stack([sums.column(n).to_numpy() for n in names])
-    size = rows.agg(F.count("*"), *(F.sum(F.get("y", F.lit(c))) for c in range(len(CATEGORIES)))).first()
+    size = rows.agg(F.count("*"), F.sum("y")).first()
     if not size[0]:
         return Chain(np.zeros(0, np.int64), ())
     kept = choose(counts, size[0], np.array(size[1:]))
@@ -205,9 +223,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             places = [np.flatnonzero(np.isin(kept, f, assume_unique=True)).astype(np.int32) for f in rows_of(batch, "f")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, ints), batch.column(2)], names=["doc_id", "f", "y"])
 
-    few = rows.mapInArrow(placed, "doc_id long, f array<int>, y array<int>").toArrow().sort_by("doc_id")
+    few = rows.mapInArrow(placed, "doc_id long, f array<int>, y int").toArrow().sort_by("doc_id")
     discard(rows)
-    return fit_weights(kept, rows_of(few, "f"), np.stack(rows_of(few, "y")))
+    return fit_weights(kept, rows_of(few, "f"), few.column("y").to_numpy())
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
