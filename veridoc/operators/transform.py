@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from copy import deepcopy
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veridoc.functions.regex import to_java
+from veridoc.functions.regex import to_java, to_python
 from veridoc.functions.text import fresh, let, quote, spelled
 from veridoc.operators.validator import parsed
 from veridoc.plans.boolean import as_map, as_text, has, kind, member
@@ -41,6 +44,23 @@ def coerced(v: str, target: str) -> str:
     return v
 
 
+def coerced_value(x: Any, target: str) -> Any:
+    """What ``coerced`` does, to a Python value."""
+    if target in ("number", "integer") and isinstance(x, bool):
+        return int(x)
+    if target in ("number", "integer") and isinstance(x, str):
+        python = lambda p: p.replace(r"\z", r"\Z")
+        number = float(x) if re.search(python(_DECIMAL), x) else float(int(x.strip()[2:], 16)) if re.search(python(_HEX), x) else None
+        if number is None or abs(number) == float("inf") or target == "integer" and number % 1:
+            return x
+        return int(number) if number % 1 == 0 and abs(number) < 2**53 else number
+    if target == "string" and isinstance(x, (bool, int, float)):
+        return spelled(x)
+    if target == "boolean" and isinstance(x, str) and x in ("true", "1", "false", "0"):
+        return x in ("true", "1")
+    return x
+
+
 class Rewriter:
     """Rewrites documents; what it doesn't touch stays as it is."""
 
@@ -105,6 +125,36 @@ class Rewriter:
             return coerced(v, sub["type"])
         return inner
 
+    def value(self, x: Any, place: Place | None = None) -> Any:
+        """The rewritten document as a Python value; follows references however often they lead back."""
+        place = place or self.root
+        schema = place.schema
+        if not isinstance(schema, dict):
+            return x
+        if "$ref" in schema:
+            try:
+                return self.value(x, self.resources.follow(place))
+            except TooManyReferences:
+                raise
+            except RecursiveSchema:
+                return x
+        if not isinstance(x, dict):
+            return x
+        declared, out = schema.get("properties", {}), dict(x)
+        if self.remove_additional and schema.get("additionalProperties") is False:
+            patterns = [to_python(p) for p in schema.get("patternProperties", {})]
+            out = {k: v for k, v in out.items() if k in declared or any(p.search(k) for p in patterns)}
+        for k, sub in declared.items():
+            if not isinstance(sub, dict):
+                continue
+            if k in out:
+                scalar = self.coerce_types and isinstance(sub.get("type"), str) and sub["type"] in ("number", "integer", "string", "boolean")
+                self.resources.followed = 0
+                out[k] = coerced_value(out[k], sub["type"]) if scalar else self.value(out[k], replace(place.sub(sub, self.resources), open_refs=()))
+            elif self.defaults and "default" in sub:
+                out[k] = deepcopy(sub["default"])
+        return out
+
     def column(self, column: Column | str, kind: str = "json") -> Column:
         """The rewritten document as a variant; null where the text is no JSON document."""
         c = F.col(column) if isinstance(column, str) else column

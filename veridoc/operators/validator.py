@@ -31,6 +31,20 @@ def prepare(spark) -> None:
     spark.conf.set(LAST_KEY_WINS, "true")
 
 
+#: Names of the columns that hold a text, it with its hash as a variant, and the document.
+_TEXT, _BOTH, _DOC = "veridoc_text", "veridoc_both", "veridoc_doc"
+
+
+def _parsed_with_hash(text: str) -> str:
+    """SQL of the variant of a text and of its hash, as two items of an array."""
+    return f"try_parse_json(concat('[', {text}, ',', CAST(xxhash64({text}) AS STRING), ']'))"
+
+
+def _first_of(w: str, text: str) -> str:
+    """SQL of the first of two items, if the second is the text's hash and there is no third."""
+    return f"CASE WHEN try_variant_get({w}, '$[1]', 'bigint') = xxhash64({text}) AND try_variant_get({w}, '$[2]', 'variant') IS NULL THEN try_variant_get({w}, '$[0]', 'variant') END"
+
+
 def parsed(text: str) -> str:
     """SQL of the variant of a JSON text; null unless the text is one whole document.
 
@@ -38,10 +52,7 @@ def parsed(text: str) -> str:
     items of an array. The second is the text's hash: a text that ends the array, or adds items to it,
     would have to hold its own hash to pass.
     """
-    return let(
-        f"try_parse_json(concat('[', {text}, ',', CAST(xxhash64({text}) AS STRING), ']'))",
-        lambda w: f"CASE WHEN try_variant_get({w}, '$[1]', 'bigint') = xxhash64({text}) AND size(try_cast({w} AS ARRAY<VARIANT>)) = 2 THEN try_variant_get({w}, '$[0]', 'variant') END",
-    )
+    return let(_parsed_with_hash(text), lambda w: _first_of(w, text))
 
 
 class Validator:
@@ -62,7 +73,7 @@ class Validator:
         self.warnings = warnings(self.schema)
         self._compiled: tuple[str, str] | None = None
         self._interpreter: Interpreter | None = None
-        self._rewritten = "doc"
+        self._rewritten, self._rewriter = "doc", None
         self.recursive = False
 
     def add_schema(self, schema: Schema) -> None:
@@ -81,7 +92,8 @@ class Validator:
         check_references(resources, root)
         self._resources, self._root = resources, root
         if self.coerce_types or self.remove_additional or self.use_defaults and '"default"' in json.dumps([self.schema, self.registry]):
-            self._rewritten = Rewriter(self.schema, schemas=self.registry, coerce_types=self.coerce_types, remove_additional=self.remove_additional, defaults=self.use_defaults).sql("doc")
+            self._rewriter = Rewriter(self.schema, schemas=self.registry, coerce_types=self.coerce_types, remove_additional=self.remove_additional, defaults=self.use_defaults)
+            self._rewritten = self._rewriter.sql("doc")
         python = {k: f for k, f in self.formats.items() if callable(f)}
         self._interpreter = Interpreter(resources, root, python)
         if any(isinstance(f, str) for f in self.formats.values()) and python:
@@ -104,7 +116,7 @@ class Validator:
     def errors_of(self, value: Any) -> list[Error]:
         """The errors of a Python value."""
         self.compile()
-        return self._interpreter.errors(value)
+        return self._interpreter.errors(self._rewriter.value(value) if self._rewriter else value)
 
     # SQL of a document's verdict and result; doc is SQL of a variant, which is null where the text is none.
 
@@ -188,15 +200,13 @@ class Validator:
     def _interpreted(self, column: Column | str, kind: str) -> Column:
         """The result by the interpreter, in an Arrow UDF over JSON text."""
         c = F.col(column) if isinstance(column, str) else column
-        if self.rewrites:
-            c, kind = self._with(column, kind, lambda doc: doc), "variant"
         text = {"json": lambda: c.cast("string"), "binary": lambda: F.decode(c, "utf-8"), "variant": lambda: F.to_json(c), "struct": lambda: F.to_json(c), "struct_nulls": lambda: F.to_json(F.to_variant_object(c))}[kind]()
-        interpreter, verbose, early, every = self._interpreter, self.verbose, self.abort_early, self.all_errors
+        interpreter, rewriter, verbose, early, every = self._interpreter, self._rewriter, self.verbose, self.abort_early, self.all_errors
 
         @F.pandas_udf(RESULT)
         def judge(docs: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for batch in docs:
-                found = [_errors_of(interpreter, t, verbose, early, every) for t in batch]
+                found = [_errors_of(interpreter, rewriter, t, verbose, early, every) for t in batch]
                 yield pd.DataFrame({"valid": [not e for e in found], "errors": found})
 
         return judge(text)
@@ -211,14 +221,34 @@ class Validator:
             sql = typed_sql(self._resources, self._root, self.formats, df.select(F.expr(name)).schema[0].dataType, kind == "struct_nulls")
             if sql:
                 return F.expr(f"coalesce({name} IS NOT NULL AND {sql(name)}, false)")
+        if kind == "variant" and not self.recursive and not self.rewrites:
+            name = "`" + column.replace("`", "``") + "`" if column in df.columns else column
+            return F.expr(self._verdict_sql(name))
         return self.is_valid(column, kind)
 
+    def _verdict_sql(self, name: str) -> str:
+        """SQL of the verdict on the variant in a column."""
+        self._resources.followed = 0
+        sql = BooleanCompiler(self._resources, {k: f for k, f in self.formats.items() if isinstance(f, str)}).compile(self._root, name)
+        return f"coalesce({name} IS NOT NULL AND {sql}, false)"
+
+    def _staged(self, df: DataFrame, column: str, kind: str) -> tuple[DataFrame, Column]:
+        """df with a text column parsed in columns of their own, each computed once and in generated code, and the verdict."""
+        self.compile()
+        if kind not in ("json", "binary") or self.recursive or self.rewrites:
+            return df, self.verdict(df, column, kind)
+        c = F.col(column).cast("string") if kind == "json" else F.decode(F.col(column), "utf-8")
+        both = df.withColumn(_TEXT, c).withColumn(_BOTH, F.expr(_parsed_with_hash(_TEXT)))
+        return both.withColumn(_DOC, F.expr(_first_of(_BOTH, _TEXT))), F.expr(self._verdict_sql(_DOC))
+
     def filter_valid(self, df: DataFrame, column: str, kind: str = "json") -> DataFrame:
-        return df.filter(self.verdict(df, column, kind))
+        staged, valid = self._staged(df, column, kind)
+        return staged.filter(valid).select(*("`" + c.replace("`", "``") + "`" for c in df.columns))
 
     def with_valid(self, df: DataFrame, column: str, kind: str = "json", name: str = "valid") -> DataFrame:
         """df with the verdict in a column of that name."""
-        return df.withColumn(name, self.verdict(df, column, kind))
+        staged, valid = self._staged(df, column, kind)
+        return staged.withColumn(name, valid).drop(_TEXT, _BOTH, _DOC)
 
     def with_result(self, df: DataFrame, column: str, kind: str = "json", name: str = "result") -> DataFrame:
         """df with a struct of valid and errors; errors are looked for only in what doesn't fit."""
@@ -229,7 +259,8 @@ class Validator:
 
     def count_valid(self, df: DataFrame, column: str, kind: str = "json") -> DataFrame:
         """One row with n_valid and n_total: a partial and a final aggregate."""
-        return df.select(self.verdict(df, column, kind).alias("ok")).agg(F.count_if("ok").alias("n_valid"), F.count("*").alias("n_total"))
+        staged, valid = self._staged(df, column, kind)
+        return staged.select(valid.alias("ok")).agg(F.count_if("ok").alias("n_valid"), F.count("*").alias("n_total"))
 
     def error_counts(self, df: DataFrame, column: str, kind: str = "json") -> DataFrame:
         """How often each keyword fails at each path."""
@@ -246,13 +277,13 @@ def _renamed(sql: str, name: str) -> str:
     return sql if name == "doc" else f"get(transform(array({name}), doc -> {sql}), 0)"
 
 
-def _errors_of(interpreter: Interpreter, text: str | None, verbose: bool, early: bool, every: bool) -> list[dict]:
+def _errors_of(interpreter: Interpreter, rewriter: Any, text: str | None, verbose: bool, early: bool, every: bool) -> list[dict]:
     plain = lambda keyword, message, path: {"keyword": keyword, "instancePath": "", "schemaPath": path, "params": "{}", "message": message, "parentSchema": None}
     try:
         value = parse(text if text is not None else "")
     except (ValueError, RecursionError):
         return [plain("syntax", "invalid JSON", "#")]
-    found = interpreter.errors(value)
+    found = interpreter.errors(rewriter.value(value) if rewriter else value)
     if found and early:
         return [plain("", "validation failed", "")]
     found = found if every else found[:1]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from typing import Any
 
 from veridoc.functions import formats
@@ -18,6 +19,27 @@ OBJECTS = ("required", "properties", "patternProperties", "additionalProperties"
 _SIGNS = {"minimum": ">=", "maximum": "<=", "exclusiveMinimum": ">", "exclusiveMaximum": "<"}
 
 
+#: Keys that a path spells as they are.
+_SIMPLE = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
+#: Keywords of objects that need all keys.
+_ALL_KEYS = ("patternProperties", "propertyNames", "minProperties", "maxProperties")
+
+
+class Part(str):
+    """SQL of what is at a path of the variant named root; null where nothing is."""
+
+    root: str
+    path: str
+
+    def __new__(cls, root: str, path: str = "$") -> Part:
+        self = super().__new__(cls, root if path == "$" else f"try_variant_get({root}, {quote(path)}, 'variant')")
+        self.root, self.path = root, path
+        return self
+
+    def at(self, key: str) -> Part:
+        return Part(self.root, f"{self.path}.{key}")
+
+
 def as_map(v: str) -> str:
     return f"try_cast({v} AS MAP<STRING, VARIANT>)"
 
@@ -27,11 +49,11 @@ def as_array(v: str) -> str:
 
 
 def as_double(v: str) -> str:
-    return f"try_variant_get({v}, '$', 'double')"
+    return f"try_variant_get({v.root}, {quote(v.path)}, 'double')" if isinstance(v, Part) else f"try_variant_get({v}, '$', 'double')"
 
 
 def as_text(v: str) -> str:
-    return f"try_variant_get({v}, '$', 'string')"
+    return f"try_variant_get({v.root}, {quote(v.path)}, 'string')" if isinstance(v, Part) else f"try_variant_get({v}, '$', 'string')"
 
 
 def kind(v: str) -> str:
@@ -60,9 +82,10 @@ def is_type(v: str, name: str) -> str:
         case "null":
             return f"is_variant_null({v})"
         case "integer":
-            return let(f"schema_of_variant({v})", lambda t: f"({t} = 'BIGINT' OR ({t} IN ('DOUBLE', 'FLOAT') OR {t} LIKE 'DECIMAL%') AND {as_double(v)} % 1 = 0)")
+            return f"(schema_of_variant({v}) = 'BIGINT' OR substr(schema_of_variant({v}), 1, 7) IN {_FRACTIONS} AND {as_double(v)} % 1 = 0)"
         case "number":
-            return let(f"schema_of_variant({v})", lambda t: f"({t} = 'BIGINT' OR {t} LIKE 'DECIMAL%' OR {t} IN ('DOUBLE', 'FLOAT') AND NOT isnan({as_double(v)}) AND abs({as_double(v)}) < double('infinity'))")
+            finite = f"NOT isnan({as_double(v)}) AND abs({as_double(v)}) < double('infinity')"
+            return f"(schema_of_variant({v}) = 'BIGINT' OR substr(schema_of_variant({v}), 1, 7) IN {_FRACTIONS} AND {finite})"
         case "string":
             return f"(schema_of_variant({v}) IN {_TEXTS})"
         case "boolean":
@@ -70,6 +93,8 @@ def is_type(v: str, name: str) -> str:
     return "false"
 
 
+#: How the names begin that schema_of_variant gives to numbers that may have fractions.
+_FRACTIONS = "('DECIMAL', 'DOUBLE', 'FLOAT')"
 #: What schema_of_variant calls scalars that are texts in JSON.
 _TEXTS = "('STRING', 'DATE', 'TIMESTAMP', 'TIMESTAMP_NTZ', 'BINARY', 'UUID')"
 
@@ -142,6 +167,15 @@ def undeclared(k: str, schema: dict) -> str:
     return both(parts)
 
 
+def by_path(schema: dict) -> bool:
+    """Whether an object's keys that matter are all named, in words that a path can hold."""
+    if any(k in schema for k in _ALL_KEYS) or schema.get("additionalProperties", True) is not True or schema.get("unevaluatedProperties", True) is not True:
+        return False
+    depend = schema.get("dependentRequired", {})
+    keys = [*schema.get("required", []), *schema.get("properties", {}), *depend, *schema.get("dependentSchemas", {}), *(n for x in depend.values() for n in x)]
+    return all(map(_SIMPLE.match, keys))
+
+
 class BooleanCompiler:
     """Compiles the verdict of a schema on a variant."""
 
@@ -157,8 +191,8 @@ class BooleanCompiler:
         names = schema.get("type")
         names = [names] if isinstance(names, str) else names
         rest = lambda: both([*self._any_kind(place, v), *self._by_kind(place, v, names)])
-        if names is None:
-            return rest()
+        if names is None or names == ["object"] and schema.get("required") and by_path(schema):
+            return rest()  # what has a key is an object
         test = either(["(" + is_type(v, n) + ")" for n in dict.fromkeys(names)])
         if {"string", "boolean", "number"} & set(names) and len(names) > 1:
             numbers = [f"{as_double(v)} % 1 = 0"] if "integer" in names and "number" not in names else []
@@ -211,7 +245,9 @@ class BooleanCompiler:
                 parts.append(checks if known == "string" else f"CASE WHEN {is_type(v, 'string')} THEN {checks} ELSE true END")
         if may("array") and any(k in schema for k in ARRAYS):
             parts.append(let(as_array(v), lambda a: f"CASE WHEN {a} IS NULL THEN true ELSE {both(self.arrays(place, v, a))} END"))
-        if may("object") and any(k in schema for k in OBJECTS):
+        if may("object") and any(k in schema for k in OBJECTS) and by_path(schema):
+            parts.append(self.paths(place, v if isinstance(v, Part) else Part(v), known == "object"))
+        elif may("object") and any(k in schema for k in OBJECTS):
             parts.append(let(as_map(v), lambda m: f"CASE WHEN {m} IS NULL THEN true ELSE {both(self.objects(place, v, m))} END"))
         return parts
 
@@ -276,6 +312,24 @@ class BooleanCompiler:
                 parts.append(f"(size({left}) = 0)" if schema["unevaluatedItems"] is False else f"forall({left}, {i} -> {check})")
         return parts
 
+    def paths(self, place: Place, v: Part, known: bool) -> str:
+        """The checks of an object whose keys are all named, by their paths; others have none of them."""
+        schema, parts = place.schema, []
+        there = lambda k: f"({v.at(k)} IS NOT NULL)"
+        needed = both([there(k) for k in dict.fromkeys(schema.get("required", []))])
+        for k, others in schema.get("dependentRequired", {}).items():
+            if others:
+                parts.append(either([negate(there(k)), both([there(n) for n in others])]))
+        for k, s in schema.get("properties", {}).items():
+            check = self.sub(place, s, v.at(k))
+            if check != "true":
+                parts.append(check if k in schema.get("required", []) else f"({v.at(k)} IS NULL OR {check})")
+        for k, s in schema.get("dependentSchemas", {}).items():
+            parts.append(either([negate(there(k)), self.sub(place, s, v)]))
+        if known or needed == "true":
+            return both([needed, *parts])
+        return f"CASE WHEN {needed} THEN {both(parts)} ELSE {negate(is_type(v, 'object'))} END"
+
     def objects(self, place: Place, v: str, m: str) -> list[str]:
         schema, parts = place.schema, []
         parts += [has(m, k) for k in dict.fromkeys(schema.get("required", []))]

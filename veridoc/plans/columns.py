@@ -24,7 +24,6 @@ from veridoc.schema.resolve import Place, RecursiveSchema, Resources
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOATING = (T.FloatType, T.DoubleType)
 _SPELLED = (T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)
-_DEPENDENT = {"unevaluatedProperties", "unevaluatedItems"}
 
 
 class Untyped(Exception):
@@ -47,7 +46,7 @@ class ColumnCompiler:
         if isinstance(place.schema, bool):
             return str(place.schema).lower()
         try:
-            if _DEPENDENT & set(place.schema):
+            if "unevaluatedItems" in place.schema and isinstance(kind, T.ArrayType):
                 raise Untyped
             return both([*self._any_kind(place, x, kind), *self._own_kind(place, x, kind)])
         except Untyped:
@@ -214,8 +213,36 @@ class ColumnCompiler:
                 parts.append(f"({field(x, k)} IS NULL OR {check})")
             else:
                 parts.append(f"({field(x, k)} IS NOT NULL AND {check})")
+        if "unevaluatedProperties" in schema:
+            beside = replace(place, schema={k: s for k, s in schema.items() if k != "unevaluatedProperties"})
+            left = self._inside(place, schema["unevaluatedProperties"])
+            for k, of in kinds.items():
+                fits = self.compile(left, field(x, k), of)
+                if self.nulls:
+                    fits = f"CASE WHEN {field(x, k)} IS NULL THEN {str(self.null_fits(left)).lower()} ELSE {fits} END"
+                parts.append(either([absent(k), self._evaluated(beside, x, kind, k), fits]))
         return parts
 
+    def _evaluated(self, place: Place, x: str, kind: T.StructType, key: str) -> str:
+        """SQL that is true if a schema that the object fits has evaluated the key."""
+        schema = place.schema
+        if not isinstance(schema, dict):
+            return "false"
+        if key in schema.get("properties", {}) or "additionalProperties" in schema or "unevaluatedProperties" in schema or any(to_python(p).search(key) for p in schema.get("patternProperties", {})):
+            return "true"
+        sub = lambda s: place.sub(s, self.resources)
+        go = lambda s: self._evaluated(sub(s), x, kind, key)
+        fits = lambda s: self.compile(sub(s), x, kind)
+        parts = [self._evaluated(self.resources.follow(place, r == "$dynamicRef"), x, kind, key) for r in ("$ref", "$dynamicRef") if r in schema]
+        parts += [go(s) for s in schema.get("allOf", [])]
+        parts += [both([seen, fits(s)]) for name in ("anyOf", "oneOf") for s in schema.get(name, []) if (seen := go(s)) != "false"]
+        names = [f.name for f in kind.fields]
+        parts += [both([seen, "true" if self.nulls else f"({field(x, k)} IS NOT NULL)"]) for k, s in schema.get("dependentSchemas", {}).items() if k in names and (seen := go(s)) != "false"]
+        if "if" in schema:
+            test, first, then, other = fits(schema["if"]), go(schema["if"]), go(schema.get("then", True)), go(schema.get("else", True))
+            parts += [both([test, either([first, then])]), both([negate(test), other])]
+        return either(parts)
+
 
 def typed_sql(resources: Resources, root: Place, custom: dict[str, str], kind: T.DataType, nulls: bool) -> Callable[[str], str] | None:
     """From a name of a value of that type to SQL of its verdict; None where the type has no such SQL."""

@@ -42,7 +42,7 @@ class Verdict:
         validator = compile(self.schema, **self.options)
         ids = self.ids.split(", ")
         docs = df.select(*ids, F.expr(self.doc).alias("doc"))
-        return docs.select(*ids, validator.verdict(docs, "doc", self.kind).alias("valid"))
+        return validator.with_valid(docs, "doc", self.kind).select(*ids, "valid")
 
     def sql(self) -> str:
         return f"select {self.ids}, ({self.oracle}) as valid from {self.oracle_source or self.table}"

@@ -46,6 +46,15 @@ class Resources:
     dynamic: dict[tuple[str, str], Schema] = field(default_factory=dict)
     base_of: dict[int, str] = field(default_factory=dict)
     followed: int = 0
+    seen: list[Schema] = field(default_factory=list)
+
+    def __getstate__(self) -> dict[str, Any]:
+        return {**self.__dict__, "base_of": [self.base_of[id(s)] for s in self.seen]}
+
+    def __setstate__(self, state: dict[str, Any]) -> None:
+        """Identities are those of the copies, in another process."""
+        self.__dict__.update(state)
+        self.base_of = {id(s): base for s, base in zip(self.seen, state["base_of"])}
 
     @classmethod
     def of(cls, schema: Schema, others: Iterable[Schema] = ()) -> tuple[Resources, Place]:
@@ -69,6 +78,7 @@ class Resources:
         if not isinstance(schema, dict):
             return
         self.base_of[id(schema)] = base
+        self.seen.append(schema)
         for key, table in (("$anchor", self.anchors), ("$dynamicAnchor", self.dynamic)):
             if key in schema:
                 table[base, schema[key]] = schema

@@ -31,7 +31,7 @@ def split_buffers(df: DataFrame, column: str) -> DataFrame:
 
 def valid_flags(validator: Validator, lines: DataFrame, column: str = "value") -> DataFrame:
     """lines with a column valid."""
-    return lines.withColumn("valid", validator.is_valid(column))
+    return validator.with_valid(lines, column)
 
 
 def count_valid(validator: Validator, lines: DataFrame, column: str = "value") -> DataFrame:
