@@ -73,3 +73,50 @@ def test_recall_among_near_equal_vectors(spark):
     vectors = [(i, v.tolist()) for i, v in enumerate(x)]
     got = rows(N.nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), 25))
     assert _recall(got, _brute(vectors, 25, 5)) >= 0.9
+
+
+def test_scaled_copies_are_ties(spark):
+    """Vectors of one direction have one cosine; the smaller ids come first."""
+    vectors = [(i, [float(np.float32(0.1 + i / 7))] * 4) for i in range(300)] + [(300 + i, [1.0, 2.0, float(i), 0.5]) for i in range(20)]
+    got = {q: [r[2] for r in sorted(rows(N.nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), 50))) if r[0] == q] for q in (0, 200)}
+    assert got == {0: [1, 2, 3, 4, 5], 200: [0, 1, 2, 3, 4]}
+
+
+def test_a_stray_length_takes_no_part(spark):
+    draw = np.random.default_rng(3)
+    vectors = [(i, draw.normal(size=4).tolist()) for i in range(60)] + [(60, [1.0] * 5), (61, [1.0] * 3)]
+    got = rows(N.nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), 10))
+    assert {r[0] for r in got} == {0, 10, 20, 30, 40, 50} and _recall(got, _brute(vectors[:60], 10, 5)) == 1.0
+
+
+def test_the_start_depends_on_the_data_alone(spark):
+    """However the table and its shuffles are partitioned, the same blocks are compared."""
+    draw = np.random.default_rng(4)
+    vectors = spark.createDataFrame([(i, draw.normal(size=16).tolist()) for i in range(600)], "vec_id long, embedding array<double>")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("3", "23"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            graph = N.build_graph(N.materialize(N.nodes_of(vectors.repartition(int(n)))), degree=8, block=100, rounds=0)
+            found.append({r["u"]: [e["v"] for e in r["near"]] for r in graph.collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] and len(found[0]) == 600
+
+
+def test_recall_of_many_random_vectors(spark):
+    """Vectors without any structure are the hardest; blocks hold a twentieth of them."""
+    n = 20_000
+    x = np.random.default_rng(6).normal(size=(n, 48)).astype(np.float32).astype(float)
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(n), "embedding": list(x)}))
+    got = rows(N.nearest(df, 200))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = 0
+    for q in range(0, n, 200):
+        s = unit @ unit[q]
+        s[q] = -9
+        fifth = np.sort(s)[-5]
+        found += sum(1 for r in got if r[0] == q and r[3] >= fifth - 1e-9)
+    assert found >= 0.9 * 5 * (n // 200)

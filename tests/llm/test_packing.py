@@ -23,6 +23,16 @@ def test_ids_are_the_librarys(spark, library):
         assert encode(t).tolist() == library.encode(t, add_special_tokens=False).ids, t[:50]
 
 
+def test_other_vocabularies_are_run_by_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encode = Tokenizer.from_file(path), P.coder(path)
+    for r in table(spark, "documents").limit(20).collect():
+        assert encode(r["text"]).tolist() == library.encode(r["text"], add_special_tokens=False).ids
+
+
 def _check(pieces, docs, library, capacity=2048):
     """Every document's ids are there once, cut as asked, and sequences are gapless."""
     want = []

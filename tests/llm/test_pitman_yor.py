@@ -106,3 +106,52 @@ def test_words_after_a_word_sum_to_one(spark):
     got = {r[0]: r[6] for r in rows(P.score_documents(spark.createDataFrame(docs, "doc_id long, text string")))}
     end, alone = (got[i] for i in probes[:2])
     assert abs(10**end + sum(10 ** (got[i] - alone) for i in probes[2:]) - 1) < 1e-3
+
+
+def test_restaurants_of_words_against_a_plain_sampler():
+    """What the seatings after a word predict, on average, is what one-by-one Gibbs sampling predicts."""
+    counts = {0: {0: 9, 1: 1, 2: 3}, 1: {1: 40, 3: 2}, 2: {0: 1}}
+    base, discount, strength = np.array([0.4, 0.1, 0.3, 0.2]), 0.4, P.PAIR_STRENGTH
+    draw = np.random.default_rng(9)
+    want = {}
+    for first, dishes in counts.items():
+        tables = {w: [c] for w, c in dishes.items()}
+        total, sweeps = {w: 0.0 for w in range(4)}, 600
+        for s in range(sweeps + 100):
+            for w, c in dishes.items():
+                for _ in range(c):
+                    seats = tables[w]
+                    k = int(draw.choice(len(seats), p=np.array(seats) / sum(seats)))  # a customer of this dish gets up
+                    seats[k] -= 1
+                    if not seats[k]:
+                        seats.pop(k)
+                    n = sum(map(len, tables.values()))
+                    weight = np.array([x - discount for x in seats] + [(strength + discount * n) * base[w]])
+                    k = int(draw.choice(len(weight), p=weight / weight.sum()))
+                    if k == len(seats):
+                        seats.append(1)
+                    else:
+                        seats[k] += 1
+            if s >= 100:
+                n, customers = sum(map(len, tables.values())), sum(dishes.values())
+                for w in range(4):
+                    own = dishes.get(w, 0) - discount * len(tables.get(w, ()))
+                    total[w] += (own + (strength + discount * n) * base[w]) / (strength + customers) / sweeps
+        want[first] = total
+    keys = np.array([f << 32 | w for f, d in counts.items() for w in d], np.uint64)
+    n = np.array([c for d in counts.values() for c in d.values()])
+    start = P._pair_row(0, 3, keys, n, np.arange(4, dtype=np.uint64), np.minimum(n, 1), np.zeros(0), np.zeros(0))
+    answers = P.pa.table({"dest": [0], "p": [P._pack(base.astype(np.float32))]})
+    runs = 400
+    gains, shares = np.zeros(len(keys)), np.zeros(3)
+    for number in range(runs):
+        row = P._pairs_seated(1, discount, number, True)(start, answers)
+        gains += P._unpack(row.column("gains")[0].as_py(), np.float32) / runs
+        shares += P._unpack(row.column("shares")[0].as_py(), np.float32) / runs
+    for first, total in want.items():
+        got = {w: shares[first] * base[w] for w in range(4)}
+        for key, g in zip(keys.tolist(), gains):
+            if key >> 32 == first:
+                got[key & 0xFFFFFFFF] += g
+        assert abs(sum(got.values()) - 1) < 1e-5
+        assert all(abs(got[w] - total[w]) < 0.02 for w in range(4)), (first, got, total)

@@ -10,8 +10,9 @@ The plan is a short list of intervals (length, ranks, first sequence, offset); e
 place from its rank among the pieces of its length. Ranks come from counts by (length, salt), so one
 length that holds a third of all pieces is dealt out over many tasks.
 
-Cases: null text counts as empty (the end token alone); repeated rows are packed each on its own; an
-empty table gives no rows; other columns are not read.
+Cases: null text counts as empty (the end token alone); texts of any length are encoded whole and cut; repeated
+rows are packed each on its own; of equally good fits the plan takes the longest length, and equal pieces are
+interchangeable; an empty table gives no rows; other columns are not read, and clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -35,27 +36,47 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _CODERS: dict[str, Callable] = {}
 
 
+def _plain_byte_level(spec: dict) -> bool:
+    """Whether a tokenizer is what tiktoken runs alike: byte-level BPE by the usual pattern, its ids in the order of the merges."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    options = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    if model.get("type") != "BPE" or spec.get("normalizer") or any(model.get(k) for k in options):
+        return False
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return False
+    if any(x.get(k) for x in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        return False
+    made = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    return all(a < b for a, b in zip([255, *made], made))
+
+
 def coder(vocabulary: str) -> Callable[[str], np.ndarray]:
-    """Text to ids of a byte-level BPE vocabulary file of the tokenizers library, kept once a worker.
+    """Text to ids of a vocabulary file of the tokenizers library, kept once a worker.
 
-    The merges are run by tiktoken on the same vocabulary, some four times faster; the tests hold its
-    ids against the tokenizers library's own.
+    Where the file describes plain byte-level BPE, tiktoken runs its merges, some four times faster; the tests
+    hold its ids against the library's own. Any other file is run by the library itself.
     """
     if vocabulary not in _CODERS:
         import json
 
-        import tiktoken
-
         with open(vocabulary, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
-        # The byte-level alphabet: printable bytes stand for themselves, the others for 256 and up.
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-        ranks = {bytes(byte_of[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
-        pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        encoding = tiktoken.Encoding("veridoc", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-        _CODERS[vocabulary] = lambda text: encoding.encode_to_numpy(text, allowed_special="all")
+        if _plain_byte_level(spec):
+            import tiktoken
+
+            special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+            # The byte-level alphabet: printable bytes stand for themselves, the others for 256 and up.
+            plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+            ranks = {bytes(byte_of[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
+            pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+            encoding = tiktoken.Encoding("veridoc", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+            _CODERS[vocabulary] = lambda text: encoding.encode_to_numpy(text, allowed_special="all")
+        else:
+            from tokenizers import Tokenizer
+
+            library = Tokenizer.from_file(vocabulary)
+            _CODERS[vocabulary] = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
     return _CODERS[vocabulary]
 
 

@@ -21,8 +21,9 @@ the probabilities of their words' byte 5-grams, in rounds; the restaurants of on
 dishes at most, are sampled on the driver. The probabilities of words and pairs go back packed, and each
 block scores its documents. Every word and pair of every training document is counted; nothing grows on the driver.
 
-Cases: a null text counts as empty (the end alone); a null id counts as the empty id in the fold;
-repeated rows are scored each; without training documents the base is that of zero counts and every
+Cases: a null text counts as empty (the end alone); a null id counts as the empty id in the fold; texts of any
+length are read whole; equal texts score alike, and nothing is ranked, so there are no ties to break;
+repeated rows are scored each, in one block if id and text are the same; without training documents the base is that of zero counts and every
 token is the unknown word, with certainty; an empty table gives no rows; other columns are not read.
 """
 
@@ -358,19 +359,20 @@ def _summed(rows: pa.Table) -> pa.Table:
     return _word_row(rows.column("dest")[0].as_py(), _join(words), counts, np.zeros(len(words), np.int64), np.zeros(len(words), np.float32), np.zeros((1, len(words)), np.int64))
 
 
-def _word_grams(words: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """In parts: the first word's number, the 5-grams of the words, and their words' numbers in the part."""
+def _word_grams(words: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """In parts: the first word's number, the sorted distinct 5-grams, and of each predicted byte its 5-gram's place and its word's number in the part."""
     for at in range(0, len(words), CHUNK_WORDS):
-        yield at, *grams([spell(w) for w in words[at : at + CHUNK_WORDS]])
+        keys, row = grams([spell(w) for w in words[at : at + CHUNK_WORDS]])
+        distinct, place = np.unique(keys, return_inverse=True)
+        yield at, distinct, place.astype(np.int32), row.astype(np.int32)
 
 
-def _distinct_grams(words: list[bytes], weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _distinct_grams(words: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct 5-grams of the words, and the sums of their words' weights."""
     keys, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for at, k, row in _word_grams(words):
-        n = np.zeros(len(k), np.int64) if weights is None else weights[at + row]
-        k, n = _added(k, n)
-        keys, sums = _added(np.concatenate([keys, k]), np.concatenate([sums, n]))
+    for at, own, place, row in _word_grams(words):
+        n = np.bincount(place, weights[at + row], len(own)).astype(np.int64)
+        keys, sums = _added(np.concatenate([keys, own]), np.concatenate([sums, n])) if at else (own, n)
     return keys, sums
 
 
@@ -536,13 +538,14 @@ def _seated(gram_dests: int, discount: float, n_tables: int, known: float, numbe
     def run(state: pa.Table, answers: pa.Table) -> pa.Table:
         dest, packed = state.column("dest")[0].as_py(), state.column("words")[0].as_py()
         words, counts, customers = _split(packed), *(_unpack(state.column(x)[0].as_py(), np.int64) for x in ("counts", "customers"))
-        keys, _ = _distinct_grams(words)
+        parts = list(_word_grams(words))
+        keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x[1] for x in parts)]))
         of, logs = _gram_dest(keys, gram_dests), np.zeros(len(keys))
         for d, a in zip(answers.column("dest").to_pylist(), answers.column("logs").to_pylist()):
             logs[of == d] = np.frombuffer(a, np.float32)
-        log_of, spelled = _Lookup(keys, logs), np.zeros(len(words))
-        for at, k, row in _word_grams(words):
-            spelled[at : at + CHUNK_WORDS] = np.bincount(row, log_of(k))
+        spelled = np.zeros(len(words))
+        for at, own, place, row in parts:
+            spelled[at : at + CHUNK_WORDS] = np.bincount(row, logs[np.searchsorted(keys, own)][place])
         weight = (WORD_STRENGTH + discount * n_tables) * known * 10**spelled
         draw = _seed(dest, 1_000 + number)
         tables = np.stack([np.minimum(seat(customers, weight, discount, draw), customers) for _ in range(samples)])
@@ -575,23 +578,6 @@ def _word_answers(discount: float, seats: int, n_tables: list[int], unknown: flo
     return run
 
 
-class _Lookup:
-    """Values by sorted uint64 keys: a table by hash, and a search for those that share a slot."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, self.values = keys, values
-        self.shift = np.uint64(64 - max(10, int(len(keys) * 4).bit_length()))
-        self.slots = np.zeros(1 << (64 - int(self.shift)), np.int32)
-        self.slots[(keys * _MIX) >> self.shift] = np.arange(len(keys))
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = self.slots[(keys * _MIX) >> self.shift]
-        wrong = np.flatnonzero(self.keys[at] != keys)
-        if len(wrong):
-            at[wrong] = np.searchsorted(self.keys, keys[wrong])
-        return self.values[at]
-
-
 def _scores(dests: int, tokens: int, types: int, ends: int):
     floor = float(np.log10(tokens + types + 1))
     # Untrained, the end is the unknown word too.

@@ -13,8 +13,10 @@ fingerprints of larger buckets are linked through points of the Hamming space: t
 of the same point lie within two bits of each other, and two within two bits share such a point. A
 point has 65 fingerprints around it at most, so no group grows with the data, and no link is lost.
 
-Cases: null and empty texts have fingerprint zero and are linked like others; a null id is kept, with
-the component of its fingerprint; an empty table gives no rows; other columns are not read.
+Cases: null and empty texts have fingerprint zero and are linked like others; texts of any length are read whole;
+a bit that exactly half of the shingles set is 0; a null id is kept, with the component of its fingerprint; repeated
+rows each have their row; of ids that tie for a component's name the least is it; an empty table gives no rows; other
+columns are not read, and clashing names do no harm.
 """
 
 from __future__ import annotations
