@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from veridoc.functions.regex import to_java, to_python
 from veridoc.functions.text import fresh, let, quote, spelled
 from veridoc.operators.validator import parsed
-from veridoc.plans.boolean import as_map, as_text, has, kind, member
+from veridoc.plans.boolean import as_map, as_text, has, is_type, member
 from veridoc.schema.resolve import Place, RecursiveSchema, Resources, TooManyReferences
 
 _EMPTY = "CAST(map() AS MAP<STRING, VARIANT>)"
@@ -35,12 +35,12 @@ def coerced(v: str, target: str) -> str:
             lambda d: f"CASE WHEN {d} IS NULL OR abs({d}) = double('infinity'){f' OR {d} % 1 <> 0' if target == 'integer' else ''} THEN {v} ELSE {_number(d)} END",
         )
         flag = f"CASE WHEN try_variant_get({v}, '$', 'boolean') THEN CAST(1L AS VARIANT) ELSE CAST(0L AS VARIANT) END"
-        return let(kind(v), lambda k: f"CASE {k} WHEN 'string' THEN {value} WHEN 'boolean' THEN {flag} ELSE {v} END")
+        return f"CASE WHEN {is_type(v, 'string')} THEN {value} WHEN {is_type(v, 'boolean')} THEN {flag} ELSE {v} END"
     if target == "string":
         shown = f"CAST(regexp_replace(to_json({v}), {quote(chr(92) + '.0+' + chr(92) + 'z')}, '') AS VARIANT)"
-        return let(kind(v), lambda k: f"CASE WHEN {k} IN ('number', 'boolean') THEN {shown} ELSE {v} END")
+        return f"CASE WHEN {is_type(v, 'number')} OR {is_type(v, 'boolean')} THEN {shown} ELSE {v} END"
     if target == "boolean":
-        return let(kind(v), lambda k: f"CASE WHEN {k} = 'string' AND {text} IN ('true', '1') THEN CAST(true AS VARIANT) WHEN {k} = 'string' AND {text} IN ('false', '0') THEN CAST(false AS VARIANT) ELSE {v} END")
+        return f"CASE WHEN {is_type(v, 'string')} AND {text} IN ('true', '1') THEN CAST(true AS VARIANT) WHEN {is_type(v, 'string')} AND {text} IN ('false', '0') THEN CAST(false AS VARIANT) ELSE {v} END"
     return v
 
 

@@ -213,16 +213,23 @@ class Validator:
 
     # DataFrames.
 
+    def _typed_sql(self, df: DataFrame, column: str, kind: str) -> Callable[[str], str] | None:
+        """SQL of the verdict on a typed column's own fields, from its name; None where there is no such SQL."""
+        self.compile()
+        if kind not in ("struct", "struct_nulls") or self.rewrites or any(callable(f) for f in self.formats.values()):
+            return None
+        return typed_sql(self._resources, self._root, self.formats, df.select(F.expr(_name(df, column))).schema[0].dataType, kind == "struct_nulls")
+
+    def plan(self, df: DataFrame, column: str, kind: str = "json") -> str:
+        """How a column of df is judged: by its "columns", as a "variant", or by the "interpreter"."""
+        return "columns" if self._typed_sql(df, column, kind) else "interpreter" if self.recursive else "variant"
+
     def verdict(self, df: DataFrame, column: str, kind: str = "json") -> Column:
         """``is_valid`` for a column of df. A typed one is judged by its type, without documents, wherever that can be."""
-        self.compile()
-        if kind in ("struct", "struct_nulls") and not self.rewrites and not any(callable(f) for f in self.formats.values()):
-            name = "`" + column.replace("`", "``") + "`" if column in df.columns else column
-            sql = typed_sql(self._resources, self._root, self.formats, df.select(F.expr(name)).schema[0].dataType, kind == "struct_nulls")
-            if sql:
-                return F.expr(f"coalesce({name} IS NOT NULL AND {sql(name)}, false)")
+        name = _name(df, column)
+        if sql := self._typed_sql(df, column, kind):
+            return F.expr(f"coalesce({name} IS NOT NULL AND {sql(name)}, false)")
         if kind == "variant" and not self.recursive and not self.rewrites:
-            name = "`" + column.replace("`", "``") + "`" if column in df.columns else column
             return F.expr(self._verdict_sql(name))
         return self.is_valid(column, kind)
 
@@ -272,6 +279,11 @@ class Validator:
         return typed_predicate(self.schema, df.schema, nulls) if is_flat(self.schema) and not self.formats else None
 
 
+def _name(df: DataFrame, column: str) -> str:
+    """SQL of a column's name."""
+    return "`" + column.replace("`", "``") + "`" if column in df.columns else column
+
+
 def _renamed(sql: str, name: str) -> str:
     """The compiled SQL over the variable of that name."""
     return sql if name == "doc" else f"get(transform(array({name}), doc -> {sql}), 0)"

@@ -120,18 +120,10 @@ def one_of_values(v: str, values: list) -> str:
     numbers = [x for x in values if isinstance(x, (int, float)) and not isinstance(x, bool)]
     rest = [x for x in values if not isinstance(x, str) and (isinstance(x, bool) or not isinstance(x, (int, float)))]
     parts = []
-    if texts and not numbers:
-        parts.append(f"(schema_of_variant({v}) IN {_TEXTS} AND {as_text(v)} IN ({', '.join(map(quote, texts))}))")
-    elif numbers:
-        def scalars(k: str) -> str:
-            own = []
-            if texts:
-                own.append(f"({k} = 'string' AND {as_text(v)} IN ({', '.join(map(quote, texts))}))")
-            if numbers:
-                own.append(f"({k} = 'number' AND {as_double(v)} IN ({', '.join(map(number, numbers))}))")
-            return either(own)
-
-        parts.append(let(kind(v), scalars))
+    if texts:
+        parts.append(f"({is_type(v, 'string')} AND {as_text(v)} IN ({', '.join(map(quote, texts))}))")
+    if numbers:
+        parts.append(f"({is_type(v, 'number')} AND {as_double(v)} IN ({', '.join(map(number, numbers))}))")
     return either(parts + [equals(v, x) for x in rest])
 
 
@@ -193,11 +185,7 @@ class BooleanCompiler:
         rest = lambda: both([*self._any_kind(place, v), *self._by_kind(place, v, names)])
         if names is None or names == ["object"] and schema.get("required") and by_path(schema):
             return rest()  # what has a key is an object
-        test = either(["(" + is_type(v, n) + ")" for n in dict.fromkeys(names)])
-        if {"string", "boolean", "number"} & set(names) and len(names) > 1:
-            numbers = [f"{as_double(v)} % 1 = 0"] if "integer" in names and "number" not in names else []
-            plain = [quote(n) for n in names if n != "integer"]
-            test = let(kind(v), lambda k: either([*([f"{k} IN ({', '.join(plain)})"] if plain else []), *(both([f"{k} = 'number'", n]) for n in numbers)]))
+        test = either([is_type(v, n) for n in dict.fromkeys(names) if n != "integer" or "number" not in names])
         checks = rest()
         if checks == "true":
             return f"coalesce({test}, false)"
@@ -234,13 +222,11 @@ class BooleanCompiler:
         may = lambda *kinds: names is None or bool(set(names) & set(kinds))
         if may("number", "integer") and any(k in schema for k in NUMERIC):
             own = [k for k in NUMERIC if k in schema]
-            inner = lambda d: both([self.numeric(k, d, schema[k]) for k in own])
-            checks = inner(as_double(v)) if own in (["minimum"], ["maximum"]) else let(as_double(v), inner)
+            checks = both([self.numeric(k, as_double(v), schema[k]) for k in own])
             parts.append(checks if known in ("number", "integer") else f"CASE WHEN {is_type(v, 'number')} THEN {checks} ELSE true END")
         if may("string") and any(k in schema for k in TEXTUAL):
             texts = [k for k in TEXTUAL if k in schema]
-            spelled = lambda s: both([self.textual(k, s, schema[k]) for k in texts])
-            checks = spelled(as_text(v)) if len(texts) == 1 else let(as_text(v), spelled)
+            checks = both([self.textual(k, as_text(v), schema[k]) for k in texts])
             if checks != "true":
                 parts.append(checks if known == "string" else f"CASE WHEN {is_type(v, 'string')} THEN {checks} ELSE true END")
         if may("array") and any(k in schema for k in ARRAYS):

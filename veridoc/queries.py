@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veridoc.__main__ import main
 from veridoc.ddl import to_ddl, to_struct_type
+from veridoc.harness import answers
 from veridoc.operators.registry import SchemaSet
 from veridoc.operators.transform import rewrite
 from veridoc.operators.validator import Validator, compile, prepare
@@ -140,6 +145,18 @@ VERDICTS: dict[str, Verdict] = {
     "json_text": Verdict("events", "event_id", f"to_json({_EVENT})", EVENT_SCHEMA, "event_id >= 1 and event_type in ('click', 'view') and value <= 50 and event_id % 4 <> 0", "json"),
     "binary_text": Verdict("events", "event_id", f"CAST(to_json({_EVENT}) AS BINARY)", EVENT_SCHEMA, "event_id >= 1 and event_type in ('click', 'view') and value <= 50 and event_id % 4 <> 0", "binary"),
 }
+_TWICE = "array(named_struct('t', coalesce(text, ''), 'n', 1), named_struct('t', coalesce(text, ''), 'n', CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END))"
+#: Definitions that each refer twice to the next.
+_LEVELS = {f"d{i}": {"allOf": [{"$ref": f"#/$defs/d{i + 1}"}, {"properties": {"a": {"$ref": f"#/$defs/d{i + 1}"}}}]} for i in range(20)}
+VERDICTS |= {
+    "unique_items_texts": Verdict("documents", "doc_id", f"to_json(named_struct('a', {_TWICE}))", _of("a", {"uniqueItems": True}), "doc_id % 2 <> 0", "json"),
+    "typed_nested": Verdict(
+        "lineitem", "l_orderkey", "named_struct('lines', lines, 'first', lines[0])",
+        {"properties": {"lines": {"minItems": 2, "items": {"type": "object", "properties": {"q": {"type": "number", "minimum": 2}, "f": {"type": "string", "maxLength": 1}}, "required": ["n", "q"], "additionalProperties": {"type": "integer"}}}, "first": {"properties": {"q": {"maximum": 40}}, "not": {"properties": {"f": {"const": "A"}}}}}},
+        "len(qs) >= 2 and list_bool_and(list_transform(qs, lambda x: x >= 2)) and qs[1] <= 40 and fs[1] <> 'A'", source=_LINES, oracle_source=_LINES_SQL,
+    ),
+    "ref_fan_out": Verdict("customer", "c_custkey", "to_json(named_struct('a', named_struct('a', CASE WHEN c_custkey % 3 = 0 THEN c_name END)))", {"$ref": "#/$defs/d0", "$defs": {**_LEVELS, "d20": {"type": ["object", "integer"]}}}, "c_custkey % 3 <> 0", "json"),
+}
 VERDICTS["dynamic_ref"] = Verdict(**{**VERDICTS["dynamic_ref"].__dict__, "doc": "CAST(transform(lines, x -> x.q) AS VARIANT)"})
 
 
@@ -280,6 +297,72 @@ def compile_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(w["path"], w["message"]) for w in found], "path string, message string")
 
 
+def _kinds(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").selectExpr("event_id", f"to_json(named_struct('k', {key}, 'z', 1)) AS doc")
+
+
+_SMALL = {"type": "object", "properties": {"k": {"type": "integer", "maximum": 80}}, "required": ["k"], "additionalProperties": False}
+
+
+def validate_coerced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys are removed and texts coerced before the documents are judged."""
+    docs = _kinds(spark, sf_dir, "CASE WHEN event_id % 3 = 0 THEN 'x' ELSE CAST(event_id % 100 AS STRING) END")
+    result = compile(_SMALL, coerce_types=True, remove_additional=True).validate("doc")
+    return docs.select("event_id", result["valid"].alias("valid"), F.size(result["errors"]).alias("n_errors"))
+
+
+def validate_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A missing key that has a default isn't missed."""
+    docs = _kinds(spark, sf_dir, "CASE WHEN event_id % 2 = 0 THEN event_id % 100 END")
+    schema = {"properties": {"k": {"type": "integer", "maximum": 80, "default": 5}}, "required": ["k"]}
+    parsed = compile(schema).validate_and_parse("doc")
+    return docs.select("event_id", parsed["valid"].alias("valid"), F.try_variant_get(parsed["value"], "$.k", "long").alias("k"))
+
+
+def parent_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors = _events(spark, sf_dir).select("event_id", F.explode(compile(EVENT_SCHEMA, verbose=True).errors("doc")).alias("e"))
+    return errors.select("event_id", "e.keyword", F.col("e.parentSchema").alias("parent"))
+
+
+def added_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A schema that is added to a validator after it is made, before it is used."""
+    validator = Validator({"properties": {"customer": {"properties": {"nation": {"$ref": "https://example.com/nation"}}}}})
+    validator.add_schema(NATION_DOC)
+    docs = _read(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_NESTED} AS doc")
+    return validator.with_valid(docs, "doc", "struct").select("c_custkey", "valid")
+
+
+def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions that the command line writes for a schema file, run over documents."""
+    with tempfile.TemporaryDirectory() as folder:  # the driver's own: the statements are text
+        schema, out = Path(folder, "event.json"), Path(folder, "event.sql")
+        schema.write_text(json.dumps(EVENT_SCHEMA))
+        if main(["compile", str(schema), "-o", str(out), "--name", "veridoc_cli", "--abort-early", "--no-types"]):
+            raise RuntimeError("the command line failed")
+        for statement in filter(str.strip, out.read_text().split(";\n")):
+            spark.sql(statement)
+    return _events(spark, sf_dir).select("event_id", F.expr("veridoc_cli(doc)").alias("valid"))
+
+
+def judged_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each way to judge the same rows, with the name of the plan chosen."""
+    df = _read(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "named_struct('l_quantity', l_quantity, 'l_returnflag', l_returnflag) AS doc")
+    tree = {"properties": {"l_quantity": {"maximum": 30}, "next": {"$ref": "#"}}}
+    ways = [(Validator(tree), "struct"), (Validator({**tree, "properties": {"l_quantity": {"maximum": 30}}}), "variant"), (Validator(tree), "json")]
+    columns = {"struct": F.col("doc"), "variant": F.expr("parse_json(to_json(doc))"), "json": F.to_json("doc")}
+    out = [v.with_valid(df.withColumn("d", columns[kind]), "d", kind).select("l_orderkey", "l_linenumber", F.lit(v.plan(df.withColumn("d", columns[kind]), "d", kind)).alias("plan"), "valid") for v, kind in ways]
+    return out[0].union(out[1]).union(out[2])
+
+
+def conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conformance protocol over the compiled SQL, its instances the properties of the first events."""
+    rows = _read(spark, sf_dir, "events").where("event_id <= 50").select("event_id", "props").orderBy("event_id").collect()  # 50 at most
+    case = {"schema": _PROPS, "tests": [{"instance": json.loads(r["props"])} for r in rows]}
+    (answer,) = answers([json.dumps({"cmd": "run", "seq": 1, "case": case})], spark)
+    found = [(r["event_id"], x["valid"]) for r, x in zip(rows, json.loads(answer)["results"])]
+    return spark.createDataFrame(found, "event_id long, valid boolean")
+
+
 _GOOD_EVENT = "event_id >= 1 and event_type in ('click', 'view') and value <= 50 and event_id % 4 <> 0"
 _N_ERRORS = "(event_id < 1)::int + (event_type not in ('click', 'view'))::int + (value > 50)::int + (event_id % 4 = 0)::int"
 _GOOD_PROPS = "coalesce(json_type(props, '$.k') in ('UBIGINT', 'BIGINT') and (props->>'$.k')::bigint <= 80, false)"
@@ -304,6 +387,17 @@ OTHERS: dict[str, tuple[Query, str]] = {
     "ddl_columns": (ddl_columns, "select * from (values (0, '`id` BIGINT NOT NULL,'), (1, '`tags` ARRAY<STRING>,'), (2, '`any` VARIANT')) as t(n, ddl)"),
     "validate_and_parse": (validate_and_parse, f"select event_id, {_GOOD_EVENT} as valid, case when {_GOOD_EVENT} then event_id end as id from events"),
     "filter_valid": (filter_valid, f"select event_id from events where {_GOOD_EVENT}"),
+    "validate_coerced": (validate_coerced, "select event_id, event_id % 3 <> 0 and event_id % 100 <= 80 as valid, (event_id % 3 = 0 or event_id % 100 > 80)::int as n_errors from events"),
+    "validate_defaults": (validate_defaults, "select event_id, event_id % 2 <> 0 or event_id % 100 <= 80 as valid, case when event_id % 2 <> 0 then 5 when event_id % 100 <= 80 then event_id % 100 end as k from events"),
+    "parent_schema": (
+        parent_schema,
+        f"""select event_id, keyword, case keyword when 'minimum' then '{{"type":"integer","minimum":1}}' when 'enum' then '{{"enum":["click","view"]}}' when 'maximum' then '{{"type":"number","maximum":50}}' """
+        f"""else '{json.dumps(EVENT_SCHEMA, separators=(",", ":"))}' end as parent from ({_VIOLATIONS})""",
+    ),
+    "added_schema": (added_schema, "select c_custkey, c_nationkey <= 12 and c_acctbal >= 0 as valid from customer"),
+    "command_line": (command_line, f"select event_id, {_GOOD_EVENT} as valid from events"),
+    "judged_by": (judged_by, "select l_orderkey, l_linenumber, p as plan, l_quantity <= 30 as valid from lineitem, (values ('columns'), ('variant'), ('interpreter')) as t(p)"),
+    "conformance": (conformance, f"select event_id, {_GOOD_PROPS} as valid from events where event_id <= 50"),
     "compile_warnings": (compile_warnings, "select * from (values ('#/minLength', 'minLength must be a non-negative integer'), ('#/properties/a/type', 'unknown type strin')) as t(path, message)"),
 }
 OTHERS["ndjson_flags"] = (ndjson_flags, f"select line, valid, count(*) as n from ({OTHERS['ndjson_flags'][1]}) group by all")
