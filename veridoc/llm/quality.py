@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from veridoc.llm.common import crc_mod, materialize, table, work_tables
 
 FOLDS = 5
+FEW = 500_000
 CUT = 0.3
 #: Shrinkage of a class covariance towards the pooled one, then of that towards its diagonal.
 TO_POOLED, TO_DIAGONAL = 0.15, 0.1
@@ -178,12 +179,15 @@ def score(featured: DataFrame, model: Discriminant, cut: float = CUT) -> DataFra
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", cut: float = CUT) -> DataFrame:
     """The rows of docs, columns unchanged, whose text scores at least cut.
 
-    Only labelled documents are needed for the fit, so the statistics of all are computed once, with the scores.
+    The fit needs the statistics of labelled documents only, found by a broadcast of up to ``FEW`` ids; where more are
+    labelled, it takes those of all documents, and texts are not shuffled either way.
     """
     labelled = labels.select(F.col(id_col).cast("long").alias("veridoc_id")).where("veridoc_id is not null").distinct()
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if labelled.count() <= FEW:
+        own = own.join(F.broadcast(labelled), F.col("doc_id") == F.col("veridoc_id"), "left_semi")
     with work_tables():
-        model = fit(materialize(features(own.join(labelled, F.col("doc_id") == F.col("veridoc_id"), "left_semi"))), labels, id_col=id_col)
+        model = fit(materialize(features(own, "doc_id", "text")), labels.withColumnRenamed(id_col, "doc_id"))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
