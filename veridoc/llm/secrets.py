@@ -25,7 +25,7 @@ import hashlib
 import math
 import random
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -191,9 +191,9 @@ def _labelled(texts: list[str]) -> Iterator[tuple[str, str]]:
             value = ASSIGN.match(text, a)[2] if kind == "assign" else text[a:b]
             if len(value) <= LONGEST and not set(value) - set(SYMBOLS):
                 yield FOUND_KINDS[kind], value
-        within = _inside(spans)
+        _, overlaps = _held(spans)
         for a, b in _runs(_CODE[_points(text)] >= 0, MIN_CANDIDATE):
-            if b - a <= LONGEST and not within(a, b) and not any(a < y and x < b for _, x, y in spans):
+            if b - a <= LONGEST and not overlaps(a, b):
                 yield "plain", text[a:b]
 
 
@@ -259,11 +259,13 @@ def _points(text: str) -> np.ndarray:
     return np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 128)
 
 
-def _inside(spans: list[tuple[str, int, int]]):
-    """Whether one of the spans, which are sorted by start, holds a place whole."""
+def _held(spans: list[tuple[str, int, int]]):
+    """Of spans sorted by start: whether one holds a place whole, and whether one overlaps it."""
     starts = [x for _, x, _ in spans]
     reach = list(accumulate((y for _, _, y in spans), max))
-    return lambda a, b: (i := bisect_right(starts, a)) > 0 and reach[i - 1] >= b
+    inside = lambda a, b: (i := bisect_right(starts, a)) > 0 and reach[i - 1] >= b
+    overlaps = lambda a, b: (i := bisect_left(starts, b)) > 0 and reach[i - 1] > a
+    return inside, overlaps
 
 
 def _spelled(spans: list[tuple[str, int, int]]) -> str:
@@ -294,7 +296,7 @@ def scan_texts(texts: list[str], models: dict[str, Automaton] | None = None, thr
         best = scores.argmax(0)
         gain = scores.max(0) - plain
         good = np.flatnonzero(gain >= threshold)
-        inside = {i: _inside(bases[i]) for i in {where[j][0] for j in good}}
+        inside = {i: _held(bases[i])[0] for i in {where[j][0] for j in good}}
         for j in sorted(good.tolist(), key=lambda j: (-gain[j], where[j][:2])):
             i, a, b, _ = where[j]
             if not inside[i](a, b) and not any(a < y and x < b for _, x, y in added[i]):
