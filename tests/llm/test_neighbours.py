@@ -108,9 +108,7 @@ def test_recall_of_many_random_vectors(spark):
     """Vectors without any structure are the hardest; blocks hold a twentieth of them."""
     n = 20_000
     x = np.random.default_rng(6).normal(size=(n, 48)).astype(np.float32).astype(float)
-    import pandas as pd
-
-    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(n), "embedding": list(x)}))
+    df = spark.createDataFrame(N.pa.table({"vec_id": list(range(n)), "embedding": list(x)}))
     got = rows(N.nearest(df, 200))
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     found = 0

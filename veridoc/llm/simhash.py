@@ -217,34 +217,41 @@ def _print_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(keys | np.int64(i << 40)), pa.array(node[rows])], names=["key", "node"])
 
 
-def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of buckets of bounded size, the pairs of nodes with different roots, each once in a part."""
-    places = lru_cache(maxsize=None)(lambda n: np.triu_indices(n, 1))
-    held: list[np.ndarray] = []
-
-    def told() -> Iterator[pa.RecordBatch]:
-        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *held]), axis=0)
-        held.clear()
-        for at in range(0, len(pairs), 50_000):
-            part = pairs[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[:, k])) for k in (0, 1)], names=["u", "v"])
+def _shared_shingles(sets: list[np.ndarray], columns: int = 20_000) -> np.ndarray:
+    """How many shingles each two of the sets have in common."""
+    out = np.zeros((len(sets), len(sets)))
+    distinct, place = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    for at in range(0, len(distinct), columns):
+        own = (place >= at) & (place < at + columns)
+        has = np.zeros((len(sets), min(columns, len(distinct) - at)), np.float32)
+        has[row[own], place[own] - at] = 1
+        out += has @ has.T
+    return out
 
-    for batch in batches:
-        flat, size = batch.column(0).flatten(), 0
-        nodes, roots = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-        sizes = batch.column(0).value_lengths().to_numpy()
-        for n, end in zip(sizes.tolist(), np.cumsum(sizes).tolist()):
-            own, root = nodes[end - n : end], roots[end - n : end]
-            i, j = places(n)
-            apart = root[i] != root[j]
-            pairs = np.stack([own[i[apart]], own[j[apart]]], axis=1)
-            pairs.sort(axis=1)
-            held.append(pairs)
-            size += len(pairs)
-            if size > 200_000:
-                yield from told()
-                size = 0
-        yield from told()
+
+def _met(similarity: float):
+    """Of buckets of bounded size, the links between nodes with different roots, by their whole sets; those that connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us, vs = [], []
+            for members in batch.column(0):
+                node, root = (members.values.field(i).to_numpy() for i in (0, 1))
+                if (root == root[0]).all():
+                    continue
+                sets = [np.frombuffer(x.as_py(), np.uint64) for x in members.values.field(2)]
+                size, shared = np.array([len(x) for x in sets]), _shared_shingles(sets)
+                near = (shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-9) & (root[:, None] != root[None, :])
+                root = root.copy()
+                for i, j in zip(*np.nonzero(np.triu(near, 1))):
+                    if root[i] != root[j]:
+                        us.append(node[i])
+                        vs.append(node[j])
+                        root[root == root[j]] = root[i]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in (us, vs)], names=["u", "v"])
+
+    return run
 
 
 def _nearest_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,15 +324,16 @@ def _closest(shared: DataFrame, prints: DataFrame, block: int) -> DataFrame:
     return stars.union(met.where(F.size("members") > 1).select("members").mapInArrow(_nearest_pairs, "u long, v long"))
 
 
-def _between(shared: DataFrame, roots: DataFrame, bucket: int) -> DataFrame:
-    """Pairs of nodes that share a bucket but not a root: all of a small bucket, those with the first of a larger one."""
+def _between(shared: DataFrame, roots: DataFrame, sets: DataFrame, bucket: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links of small buckets between nodes of different roots; and, of larger buckets, pairs of such nodes with the first one."""
     rooted = shared.join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"))
-    open_keys = lambda x: F.min(x) != F.max(x)
-    small = rooted.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list(F.struct("node", "root")).alias("members"), open_keys("root").alias("open"))
+    small = rooted.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list(F.struct("node", "root")).alias("members"), (F.min("root") != F.max("root")).alias("open"))
+    each = small.where("open").select("key", F.explode("members").alias("e")).select("key", "e.node", "e.root").join(sets.select("node", "shingles"), "node")
+    met = each.groupBy("key").agg(F.collect_list(F.struct("node", "root", "shingles")).alias("members"))  # a small bucket
     large = rooted.where(F.col("n") > bucket)
     first = large.groupBy("key").agg(F.min(F.struct("node", "root")).alias("first"))
     stars = large.join(first, "key").where(F.col("root") != F.col("first.root")).select(F.col("first.node").alias("u"), F.col("node").alias("v"))
-    return small.where("open").select("members").mapInArrow(_open_pairs, "u long, v long").union(stars)
+    return met.select("members").mapInArrow(_met(similarity), "u long, v long"), stars
 
 
 def _checked(spark: SparkSession, df: DataFrame, few: int) -> DataFrame:
@@ -366,7 +374,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         rooted = lambda links: components(links).withColumnsRenamed({"u": "node", "v": "root"})
         first_links = verified(_near(_closest(shared, prints, block), prints))
-        roots = rooted(first_links.union(verified(_near(_between(shared, rooted(first_links), bucket), prints))))
+        met, stars = _between(shared, rooted(first_links), sets, bucket, similarity)
+        roots = rooted(first_links.union(verified(_near(stars, prints))).union(materialize(met)))
         classes = firsts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
         least = classes.agg(F.min(F.struct(F.col("first").isNull().alias("no_id"), "first", "node", "t1", "t2")).alias("of"))
         kept = work.keep(materialize(least.select(F.col("of.first").alias("kept_id"), F.col("of.t1").alias("kept_1"), F.col("of.t2").alias("kept_2"))))
