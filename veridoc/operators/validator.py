@@ -197,6 +197,18 @@ class Validator:
         """Errors as an array of message and path, the path as an array of its steps."""
         return F.transform(self.errors(column, kind), lambda e: F.struct(e["message"].alias("message"), F.filter(F.split(e["instancePath"], "/"), lambda s, i: i > 0).alias("path")))
 
+    def standard(self, column: Column | str, kind: str = "json") -> Column:
+        """A struct of value (the document, if it fits) and issues: message and path, whose steps are keys or integers."""
+        result = self.validate_and_parse(column, kind)
+
+        def step(s: Column) -> Column:
+            key = F.replace(F.replace(s, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
+            return F.when(s.rlike(r"^(0|[1-9][0-9]{0,17})\z"), s.cast("long").cast("variant")).otherwise(key.cast("variant"))
+
+        path = lambda e: F.transform(F.filter(F.split(e["instancePath"], "/"), lambda s: s != ""), step)
+        issues = F.transform(result["errors"], lambda e: F.struct(e["message"].alias("message"), path(e).alias("path")))
+        return F.struct(result["value"].alias("value"), issues.alias("issues"))
+
     def _interpreted(self, column: Column | str, kind: str) -> Column:
         """The result by the interpreter, in an Arrow UDF over JSON text."""
         c = F.col(column) if isinstance(column, str) else column

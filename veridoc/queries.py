@@ -195,6 +195,15 @@ def issues_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "i.message", F.array_join("i.path", ".").alias("path"))
 
 
+def standard_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues with the steps of their paths, keys as texts and places as integers."""
+    lines = _grouped(_read(spark, sf_dir, "lineitem"), _LINES).selectExpr("l_orderkey", "to_json(named_struct('lines', lines)) AS doc")
+    schema = _of("lines", {"items": {"properties": {"q": {"minimum": 3}}}})
+    rows = lines.select("l_orderkey", compile(schema).standard("doc").alias("r"))
+    rows = rows.select("l_orderkey", F.to_json("r.value").alias("value"), F.explode_outer("r.issues").alias("i"))
+    return rows.select("l_orderkey", F.col("value").isNotNull().alias("fits"), "i.message", F.to_json("i.path").alias("path"))
+
+
 def abort_early(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).select("event_id", compile(EVENT_SCHEMA, abort_early=True).errors("doc").alias("e"))
     return rows.select("event_id", F.coalesce(F.get("e", F.lit(0))["message"], F.lit("")).alias("message"))
@@ -371,6 +380,11 @@ OTHERS: dict[str, tuple[Query, str]] = {
     "errors_by_keyword": (errors_by_keyword, f"select keyword, instance_path, count(*) as n_errors from ({_VIOLATIONS}) group by all"),
     "first_error": (first_error, f"select event_id, {_GOOD_EVENT} as valid, case when {_GOOD_EVENT} then 0 else 1 end as n_errors from events"),
     "issues_path": (issues_path, f"select event_id, message, ltrim(instance_path, '/') as path from ({_VIOLATIONS})"),
+    "standard_result": (
+        standard_result,
+        f"""select l_orderkey, false as fits, 'must be >= 3' as message, '["lines",' || i || ',"q"]' as path from (select l_orderkey, qs, unnest(range(len(qs))) as i from {_LINES_SQL}) where qs[i + 1] < 3
+        union all select l_orderkey, true, null, null from {_LINES_SQL} where list_bool_and(list_transform(qs, lambda x: x >= 3))""",
+    ),
     "abort_early": (abort_early, f"select event_id, case when {_GOOD_EVENT} then '' else 'validation failed' end as message from events"),
     "coerce_types": (coerce_types, "select event_id, '{\"b\":' || (event_id % 2 = 0)::varchar || ',\"n\":' || event_id || ',\"s\":\"' || event_id || '\",\"v\":' || event_id || '.5}' as doc from events"),
     "apply_defaults": (apply_defaults, "select event_id, '{\"id\":' || event_id || ',\"in\":{\"a\":1,\"b\":[1,2]},\"type\":\"' || case when event_id % 2 = 0 then event_type else 'none' end || '\"}' as doc from events"),
