@@ -159,13 +159,13 @@ def _block_words(texts: pa.ChunkedArray) -> tuple[list[bytes], np.ndarray, np.nd
     flat, owner = lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
     full = pc.greater(pc.binary_length(flat), 0)  # what precedes or follows all white space is empty
     coded, owner = flat.filter(full).dictionary_encode(), owner[full.to_numpy(zero_copy_only=False)]
-    words = coded.dictionary.cast(pa.binary()).to_pylist()
-    order = sorted(range(len(words)), key=words.__getitem__)
-    rank = np.zeros(len(words), np.int64)
-    rank[order] = np.arange(1, len(words) + 1)
+    spelled = coded.dictionary.cast(pa.binary())
+    order = pc.array_sort_indices(spelled)
+    rank = np.zeros(len(spelled), np.int64)
+    rank[order.to_numpy()] = np.arange(1, len(spelled) + 1)
     tokens = np.zeros(len(owner) + len(lists), np.int64)
     tokens[np.arange(len(owner)) + owner] = rank[coded.indices.to_numpy()]
-    return [END, *(words[i] for i in order)], tokens, np.bincount(owner, minlength=len(lists)) + 1
+    return [END, *spelled.take(order).to_pylist()], tokens, np.bincount(owner, minlength=len(lists)) + 1
 
 
 def _block_pairs(tokens: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,22 +227,39 @@ def _request_words(rows: pa.Table) -> tuple[list[bytes], list[np.ndarray]]:
     return words, [np.fromiter(map(place.__getitem__, x), np.int64, len(x)) for x in lists]
 
 
+PAIRED = f"{PAIRS}, block int, at binary, place binary"
+
+
 def _paired(rows: pa.Table) -> pa.Table:
-    """The distinct pairs of a destination with their training counts, a table each."""
+    """The distinct pairs of a destination with their training counts, a table each; and a row for each request, which
+    says where its words and its pairs are (a pair that no training document has: after all others)."""
     words, places = _request_words(rows)
     hashes = [_risen(x, np.uint64) for x in rows.column("seconds").to_pylist()]
     seconds = np.unique(np.concatenate(hashes))
     keys, counts = [], []
     for at, h, c, w, n in zip(places, hashes, *(rows.column(x).to_pylist() for x in ("first", "second", "n"))):
-        n = _unplaned(n, np.int32)
-        seen = n > 0
-        keys.append((at[_risen(c, np.int32)[seen]].astype(np.uint64) << np.uint64(32)) | np.searchsorted(seconds, h)[_unplaned(w, np.int32)[seen]].astype(np.uint64))
-        counts.append(n[seen].astype(np.int64))
-    keys, counts = _added(np.concatenate(keys), np.concatenate(counts))
+        keys.append((at[_risen(c, np.int32)].astype(np.uint64) << np.uint64(32)) | np.searchsorted(seconds, h)[_unplaned(w, np.int32)].astype(np.uint64))
+        counts.append(_unplaned(n, np.int32))
+    sizes, keys, counts = [len(x) for x in keys], np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.concatenate([np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]])
+    first, number = np.flatnonzero(new), np.cumsum(new) - 1
+    total = np.add.reduceat(counts[order], first, dtype=np.int64) if len(keys) else np.zeros(0, np.int64)
+    seen = total > 0
+    kept = np.where(seen, np.cumsum(seen) - 1, seen.sum()).astype(np.int32)
+    place = np.empty(len(keys), np.int32)
+    place[order] = kept[number]
+    keys, total = keys[first][seen], total[seen]
     used, second = np.unique(keys & np.uint64(0xFFFFFFFF), return_inverse=True)  # those that only held-out documents have go
     keys = (keys >> np.uint64(32) << np.uint64(32)) | second.astype(np.uint64)
-    none = np.zeros(0)
-    return _pair_row(rows.column("dest")[0].as_py(), len(words), keys, counts, seconds[used.astype(np.int64)], np.minimum(counts, 1), none, none)
+    none, dest = np.zeros(0), rows.column("dest")[0].as_py()
+    state = _pair_row(dest, len(words), keys, total, seconds[used.astype(np.int64)], np.minimum(total, 1), none, none)
+    ends = np.cumsum(sizes)
+    found = [(block, _rising(at.astype(np.int32)), _rising(place[end - n : end])) for block, at, n, end in zip(rows.column("block").to_pylist(), places, sizes, ends.tolist())]
+    extra = [pa.array([None, *x], t) for x, t in zip(zip(*found), (pa.int32(), pa.binary(), pa.binary()))]
+    columns = [pa.array([dest] * (len(found) + 1), pa.int32()), *(pa.concat_arrays([c.combine_chunks(), pa.nulls(len(found), c.type)]) for c in state.columns[1:]), *extra]
+    return pa.Table.from_arrays(columns, names=[*_PAIR_NAMES, "block", "at", "place"])
 
 
 TABLES = "pair_dest int, dest int, seconds binary, tables binary"
@@ -318,20 +335,11 @@ def _pairs_seated(dests: int, discount: float, number: int, last: bool):
 ANSWERS = "block int, dest int, counts binary, p binary, shares binary, gains binary"
 
 
-def _pair_answers(requests: pa.Table, pairs: pa.Table) -> pa.Table:
+def _pair_answers(asked: pa.Table, pairs: pa.Table) -> pa.Table:
     """What each block's pairs have of their own, and what share of each first word's predictions is its parent's."""
-    keys, seconds = (_risen(pairs.column(x)[0].as_py(), np.uint64) for x in ("keys", "seconds"))
     gains, shares = (np.append(_unpack(pairs.column(x)[0].as_py(), np.float32), np.float32(0)) for x in ("gains", "shares"))
-    out = []
-    for at, h, c, w in zip(_request_words(requests)[1], *(requests.column(x).to_pylist() for x in ("seconds", "first", "second"))):
-        h = _risen(h, np.uint64)
-        place = np.searchsorted(seconds, h)
-        place[np.append(seconds, np.uint64(0))[place] != h] = 0xFFFFFFFF  # not in training
-        own = (at[_risen(c, np.int32)].astype(np.uint64) << np.uint64(32)) | place[_unplaned(w, np.int32)].astype(np.uint64)
-        found = np.searchsorted(keys, own)
-        found[np.append(keys, ~np.uint64(0))[found] != own] = len(keys)
-        out.append((None, None, _pack(shares[at]), _pack(gains[found])))
-    arrays = [requests.column("block").combine_chunks(), requests.column("dest").combine_chunks(), *(pa.array(x, pa.binary()) for x in zip(*out))]
+    out = [(None, None, _pack(shares[_risen(at, np.int32)]), _pack(gains[_risen(place, np.int32)])) for at, place in zip(asked.column("at").to_pylist(), asked.column("place").to_pylist())]
+    arrays = [asked.column("block").combine_chunks(), asked.column("dest").combine_chunks(), *(pa.array(x, pa.binary()) for x in zip(*out))]
     return pa.Table.from_arrays(arrays, names=["block", "dest", "counts", "p", "shares", "gains"])
 
 
@@ -628,10 +636,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         held = crc_mod("doc_id", FOLDS) == HELD
         dealt = source.select("doc_id", "text", held.alias("held_out"), (~held).alias("train"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
         requests = materialize(dealt.groupBy("block").applyInArrow(_requests(dests), REQUESTS))
-        pairs = materialize(requests.groupBy("dest").applyInArrow(_paired, PAIRS))
+        paired = materialize(requests.groupBy("dest").applyInArrow(_paired, PAIRED))
+        pairs, places = paired.where("block is null").select(*_PAIR_NAMES), paired.where("block is not null").select("block", "dest", "at", "place")
         once, twice = pairs.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("once", "twice"))).first()
         pair_discount = _discount(once, twice)
         summed = materialize(requests.select("dest", "words", "counts").groupBy("dest").applyInArrow(_summed, WORDS))
+        asked_words = materialize(requests.select("block", "dest", "words"))
+        discard(requests)
         sent = materialize(pairs.select("dest", "keys", "seconds", "tables").mapInArrow(_pair_tables(dests), TABLES))
         state = materialize(summed.groupBy("dest").cogroup(sent.groupBy("dest")).applyInArrow(_customers, WORDS))
         discard(summed)
@@ -671,13 +682,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 discard(state)
                 state = following
                 n_tables, mass = _totals(state)
-        back = [materialize(requests.select("block", "dest", "words").groupBy("dest").cogroup(state.groupBy("dest")).applyInArrow(_word_answers(*learned), ANSWERS))]
+        back = [materialize(asked_words.groupBy("dest").cogroup(state.groupBy("dest")).applyInArrow(_word_answers(*learned), ANSWERS))]
         discard(state)
         for k in range(ANSWER_PARTS):  # one after another, so that only a part is in shuffle files
             own = lambda x: x.where(F.col("dest") % ANSWER_PARTS == k)  # noqa: B023, E731
-            asking = own(requests).select("block", "dest", "words", "seconds", "first", "second").groupBy("dest")
-            back.append(materialize(asking.cogroup(own(pairs).select("dest", "keys", "seconds", "gains", "shares").groupBy("dest")).applyInArrow(_pair_answers, ANSWERS)))
-        discard(requests)
+            asking = own(places).groupBy("dest")
+            back.append(materialize(asking.cogroup(own(pairs).select("dest", "gains", "shares").groupBy("dest")).applyInArrow(_pair_answers, ANSWERS)))
+        discard(paired)
         discard(pairs)
         back = reduce(DataFrame.union, back)
         return work.keep(materialize(dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_scores(dests, tokens, types, ends), SCORES)))
