@@ -221,18 +221,21 @@ def _pair_row(dest: int, n_words: int, keys: np.ndarray, counts: np.ndarray, sec
 
 def _request_words(rows: pa.Table) -> tuple[list[bytes], list[np.ndarray]]:
     """The sorted distinct words of a destination's requests, and the places of each request's words among them."""
-    lists = [_split(x) for x in rows.column("words").to_pylist()]
-    words = sorted(set().union(*lists))
-    place = {w: i for i, w in enumerate(words)}
-    return words, [np.fromiter(map(place.__getitem__, x), np.int64, len(x)) for x in lists]
+    lists = [pc.split_pattern(pa.array([zstandard.decompress(x)], pa.binary()), b"\n").flatten() for x in rows.column("words").to_pylist()]
+    coded = pa.concat_arrays(lists).dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary)
+    rank = np.zeros(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    ends = np.cumsum([len(x) for x in lists])
+    return coded.dictionary.take(order).to_pylist(), np.split(rank[coded.indices.to_numpy()], ends[:-1])
 
 
-PAIRED = f"{PAIRS}, block int, at binary, place binary"
+PAIRED = f"{PAIRS}, words binary, word_counts binary, block int, at binary, place binary"
 
 
 def _paired(rows: pa.Table) -> pa.Table:
-    """The distinct pairs of a destination with their training counts, a table each; and a row for each request, which
-    says where its words and its pairs are (a pair that no training document has: after all others)."""
+    """The distinct pairs of a destination with their training counts, a table each, and its words with theirs; and a row
+    for each request, which says where its words and its pairs are (a pair that no training document has: after all others)."""
     words, places = _request_words(rows)
     hashes = [_risen(x, np.uint64) for x in rows.column("seconds").to_pylist()]
     seconds = np.unique(np.concatenate(hashes))
@@ -255,11 +258,15 @@ def _paired(rows: pa.Table) -> pa.Table:
     keys = (keys >> np.uint64(32) << np.uint64(32)) | second.astype(np.uint64)
     none, dest = np.zeros(0), rows.column("dest")[0].as_py()
     state = _pair_row(dest, len(words), keys, total, seconds[used.astype(np.int64)], np.minimum(total, 1), none, none)
+    word_counts = np.zeros(len(words), np.int64)
+    for at, n in zip(places, rows.column("counts").to_pylist()):
+        word_counts[at] += _unpack(n, np.int64)
     ends = np.cumsum(sizes)
     found = [(block, _rising(at.astype(np.int32)), _rising(place[end - n : end])) for block, at, n, end in zip(rows.column("block").to_pylist(), places, sizes, ends.tolist())]
     extra = [pa.array([None, *x], t) for x, t in zip(zip(*found), (pa.int32(), pa.binary(), pa.binary()))]
-    columns = [pa.array([dest] * (len(found) + 1), pa.int32()), *(pa.concat_arrays([c.combine_chunks(), pa.nulls(len(found), c.type)]) for c in state.columns[1:]), *extra]
-    return pa.Table.from_arrays(columns, names=[*_PAIR_NAMES, "block", "at", "place"])
+    own = [*(c.combine_chunks() for c in state.columns[1:]), *(pa.array([x], pa.binary()) for x in (_join(words), _pack(word_counts)))]
+    columns = [pa.array([dest] * (len(found) + 1), pa.int32()), *(pa.concat_arrays([c, pa.nulls(len(found), c.type)]) for c in own), *extra]
+    return pa.Table.from_arrays(columns, names=[*_PAIR_NAMES, "words", "word_counts", "block", "at", "place"])
 
 
 TABLES = "pair_dest int, dest int, seconds binary, tables binary"
@@ -356,15 +363,13 @@ def _word_row(dest: int, words: bytes, counts: np.ndarray, customers: np.ndarray
     return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(row, _WORD_KINDS)], names=_WORD_NAMES)
 
 
-def _summed(rows: pa.Table) -> pa.Table:
-    """The distinct words of a word destination with their training counts."""
-    total: dict[bytes, int] = {}
-    for data, n in zip(rows.column("words"), rows.column("counts")):
-        for w, c in zip(_split(data.as_py()), _unpack(n.as_py(), np.int64).tolist()):
-            total[w] = total.get(w, 0) + c
-    words = sorted(total)
-    counts = np.fromiter((total[w] for w in words), np.int64, len(words))
-    return _word_row(rows.column("dest")[0].as_py(), _join(words), counts, np.zeros(len(words), np.int64), np.zeros(len(words), np.float32), np.zeros((1, len(words)), np.int64))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of word destinations with their training counts."""
+    for batch in batches:
+        for dest, words, counts in zip(*(batch.column(x).to_pylist() for x in ("dest", "words", "word_counts"))):
+            counts = _unpack(counts, np.int64)
+            none = np.zeros(len(counts))
+            yield from _word_row(dest, words, counts, none.astype(np.int64), none.astype(np.float32), none.astype(np.int64)[None]).to_batches()
 
 
 def _word_grams(words: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -575,10 +580,9 @@ def _word_answers(discount: float, seats: int, n_tables: list[int], unknown: flo
     """Count and probability of the words that each block asks a word destination for."""
 
     def run(requests: pa.Table, state: pa.Table) -> pa.Table:
-        words, p = _predicted(state, discount, seats, n_tables, unknown, mass)
+        _, p = _predicted(state, discount, seats, n_tables, unknown, mass)
         counts = _unpack(state.column("counts")[0].as_py(), np.int64)
-        place = {w: i for i, w in enumerate(words)}
-        rows = [np.fromiter(map(place.__getitem__, _split(x)), np.int64) for x in requests.column("words").to_pylist()]
+        rows = [_risen(x, np.int32) for x in requests.column("at").to_pylist()]
         none = pa.nulls(len(rows), pa.binary())
         arrays = [requests.column("block").combine_chunks(), requests.column("dest").combine_chunks(), pa.array([_pack(counts[r]) for r in rows], pa.binary()), pa.array([_pack(p[r].astype(np.float32)) for r in rows], pa.binary()), none, none]
         return pa.Table.from_arrays(arrays, names=["block", "dest", "counts", "p", "shares", "gains"])
@@ -637,12 +641,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         dealt = source.select("doc_id", "text", held.alias("held_out"), (~held).alias("train"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
         requests = materialize(dealt.groupBy("block").applyInArrow(_requests(dests), REQUESTS))
         paired = materialize(requests.groupBy("dest").applyInArrow(_paired, PAIRED))
+        discard(requests)
         pairs, places = paired.where("block is null").select(*_PAIR_NAMES), paired.where("block is not null").select("block", "dest", "at", "place")
         once, twice = pairs.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("once", "twice"))).first()
         pair_discount = _discount(once, twice)
-        summed = materialize(requests.select("dest", "words", "counts").groupBy("dest").applyInArrow(_summed, WORDS))
-        asked_words = materialize(requests.select("block", "dest", "words"))
-        discard(requests)
+        summed = materialize(paired.where("block is null").select("dest", "words", "word_counts").mapInArrow(_counted, WORDS))
         sent = materialize(pairs.select("dest", "keys", "seconds", "tables").mapInArrow(_pair_tables(dests), TABLES))
         state = materialize(summed.groupBy("dest").cogroup(sent.groupBy("dest")).applyInArrow(_customers, WORDS))
         discard(summed)
@@ -682,7 +685,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 discard(state)
                 state = following
                 n_tables, mass = _totals(state)
-        back = [materialize(asked_words.groupBy("dest").cogroup(state.groupBy("dest")).applyInArrow(_word_answers(*learned), ANSWERS))]
+        back = [materialize(places.select("block", "dest", "at").groupBy("dest").cogroup(state.groupBy("dest")).applyInArrow(_word_answers(*learned), ANSWERS))]
         discard(state)
         for k in range(ANSWER_PARTS):  # one after another, so that only a part is in shuffle files
             own = lambda x: x.where(F.col("dest") % ANSWER_PARTS == k)  # noqa: B023, E731
