@@ -328,7 +328,9 @@ def _between(shared: DataFrame, roots: DataFrame, sets: DataFrame, bucket: int,
     """Links of small buckets between nodes of different roots; and, of larger buckets, pairs of such nodes with the first one."""
     rooted = shared.join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"))
     small = rooted.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list(F.struct("node", "root")).alias("members"), (F.min("root") != F.max("root")).alias("open"))
-    each = small.where("open").select("key", F.explode("members").alias("e")).select("key", "e.node", "e.root").join(sets.select("node", "shingles"), "node")
+    # The same texts often share several buckets: they meet once.
+    once = small.where("open").groupBy(F.sort_array("members").alias("members")).agg(F.min("key").alias("key"))
+    each = once.select("key", F.explode("members").alias("e")).select("key", "e.node", "e.root").join(sets.select("node", "shingles"), "node")
     met = each.groupBy("key").agg(F.collect_list(F.struct("node", "root", "shingles")).alias("members"))  # a small bucket
     large = rooted.where(F.col("n") > bucket)
     first = large.groupBy("key").agg(F.min(F.struct("node", "root")).alias("first"))
