@@ -231,25 +231,20 @@ def _shared_shingles(sets: list[np.ndarray], columns: int = 20_000) -> np.ndarra
 
 
 def _met(similarity: float):
-    """Of buckets of bounded size, the links between nodes with different roots, by their whole sets; those that connect."""
+    """Of a bucket of bounded size, the links between nodes with different roots, by their whole sets; those that connect."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            us, vs = [], []
-            for members in batch.column(0):
-                node, root = (members.values.field(i).to_numpy() for i in (0, 1))
-                if (root == root[0]).all():
-                    continue
-                sets = [np.frombuffer(x.as_py(), np.uint64) for x in members.values.field(2)]
-                size, shared = np.array([len(x) for x in sets]), _shared_shingles(sets)
-                near = (shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-9) & (root[:, None] != root[None, :])
-                root = root.copy()
-                for i, j in zip(*np.nonzero(np.triu(near, 1))):
-                    if root[i] != root[j]:
-                        us.append(node[i])
-                        vs.append(node[j])
-                        root[root == root[j]] = root[i]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in (us, vs)], names=["u", "v"])
+    def run(members: pa.Table) -> pa.Table:
+        node, root = (members.column(x).to_numpy().copy() for x in ("node", "root"))
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in members.column("shingles")]
+        size, shared = np.array([len(x) for x in sets]), _shared_shingles(sets)
+        near = (shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-9) & (root[:, None] != root[None, :])
+        us, vs = [], []
+        for i, j in zip(*np.nonzero(np.triu(near, 1))):
+            if root[i] != root[j]:
+                us.append(node[i])
+                vs.append(node[j])
+                root[root == root[j]] = root[i]
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return run
 
@@ -331,11 +326,11 @@ def _between(shared: DataFrame, roots: DataFrame, sets: DataFrame, bucket: int,
     # The same texts often share several buckets: they meet once.
     once = small.where("open").groupBy(F.sort_array("members").alias("members")).agg(F.min("key").alias("key"))
     each = once.select("key", F.explode("members").alias("e")).select("key", "e.node", "e.root").join(sets.select("node", "shingles"), "node")
-    met = each.groupBy("key").agg(F.collect_list(F.struct("node", "root", "shingles")).alias("members"))  # a small bucket
+    met = each.groupBy("key").applyInArrow(_met(similarity), "u long, v long")  # a small bucket each
     large = rooted.where(F.col("n") > bucket)
     first = large.groupBy("key").agg(F.min(F.struct("node", "root")).alias("first"))
     stars = large.join(first, "key").where(F.col("root") != F.col("first.root")).select(F.col("first.node").alias("u"), F.col("node").alias("v"))
-    return met.select("members").mapInArrow(_met(similarity), "u long, v long"), stars
+    return met, stars
 
 
 def _checked(spark: SparkSession, df: DataFrame, few: int) -> DataFrame:
