@@ -158,3 +158,13 @@ def test_harness_runs_the_sql(spark, case):
     schema, instances = case
     lines = [json.dumps({"cmd": "run", "seq": 1, "case": {"schema": schema, "tests": [{"instance": x} for x in instances]}})]
     assert list(answers(lines, spark)) == list(answers(lines))
+
+
+def test_deep_documents(spark):
+    """A conversation of thousands of turns is judged like a short one; what leads nowhere ends."""
+    tree = {"type": "object", "properties": {"role": {"enum": ["a"]}, "reply": {"$ref": "#"}}, "required": ["role"]}
+    deep = lambda n, last: '{"role":"a","reply":' * n + last + "}" * n
+    docs = [deep(900, '{"role":"a"}'), deep(900, "{}"), deep(3000, '{"role":"a"}')]
+    v = Validator(tree)
+    assert [r[0] for r in spark.createDataFrame([(d,) for d in docs], "doc string").select(v.is_valid("doc")).collect()] == [True, False, True]
+    assert Validator({"$ref": "#"}).errors_of(1)
