@@ -21,7 +21,7 @@ def _row(draw):
     inner = (inner[0], None if inner[1] is None else __import__("decimal").Decimal(str(inner[1])), inner[2])
     import datetime
 
-    return (maybe(draw.randint(-3, 9)), maybe(draw.choice([0.0, 1.5, 2.0, float("nan"), float("inf")])), maybe(draw.choice(["one", "two", "", "a@b.cd"])), maybe(draw.random() < 0.5), maybe([maybe(draw.randint(0, 4)) for _ in range(draw.randint(0, 4))]), maybe(inner), maybe(draw.choice([0.5, 2.0])), maybe(datetime.date(2024, 1, 2)))
+    return (maybe(draw.randint(-3, 9)), maybe(draw.choice([0.0, 1.5, 2.0, float("nan"), float("inf")])), maybe(draw.choice(["one", "two", "", "a@b.cd"])), maybe(draw.random() < 0.5), maybe([maybe(draw.randint(0, 4)) for _ in range(draw.randint(0, 4))]), maybe(inner), maybe(draw.choice([0.5, 2.0, 0.1])), maybe(datetime.date(2024, 1, 2)))
 
 
 def _schema(draw, depth=0):
@@ -75,6 +75,7 @@ def test_columns_agree_with_documents(spark):
     df = spark.createDataFrame([(i, _row(draw)) for i in range(150)], f"id int, doc {DDL}").repartition(2)
     schemas = [s for s in (_schema(draw) for _ in range(70)) if len(Validator(s).valid_sql("doc")) < 15_000]
     assert len(schemas) > 40
+    schemas += [{"properties": {"x_l": {"maximum": 0.1}}}, {"properties": {"x_l": {"enum": [0.1, 2, "NaN"]}, "b": {"minimum": 1, "type": ["number", "string"]}}}]
     schemas += [{"$ref": "#/$defs/n", "$defs": {"n": {"properties": {"f": {"$ref": "#/$defs/n"}, "a": {"minimum": 0}}}}}, {"properties": {"f": {"properties": {"i": {"items": {"properties": {"j": {"type": "integer"}}, "required": ["j"]}}}}}}]
     seen = 0
     for at in range(0, len(schemas), 4):

@@ -89,8 +89,9 @@ class ColumnCompiler:
         if isinstance(kind, (*_INTEGRAL, T.DecimalType)):
             return self._numbers(place, x, names, isinstance(kind, _INTEGRAL))
         if isinstance(kind, _FLOATING):
-            # Infinite values and NaN are texts in JSON.
-            whole, text = both(self._numbers(place, x, names, False)), both(self._texts(place, f"CAST({x} AS STRING)", names))
+            # Infinite values and NaN are texts in a document, and of no type in a variant.
+            whole = both(self._numbers(place, self._exact(x, kind), names, False))
+            text = str(names is None).lower() if self.nulls else both(self._texts(place, f"CAST({x} AS STRING)", names))
             if whole == text:
                 return [whole]
             return [f"CASE WHEN isnan({x}) OR abs({x}) = double('infinity') THEN {text} ELSE {whole} END"]
@@ -108,6 +109,10 @@ class ColumnCompiler:
             return ["false"] if names is not None and "object" not in names else self._objects(place, x, kind)
         raise Untyped
 
+    def _exact(self, x: str, kind: T.DataType) -> str:
+        """A float or double as a double: of a float in a document, the number that it is spelled as."""
+        return f"CAST(CAST({x} AS STRING) AS DOUBLE)" if isinstance(kind, T.FloatType) and not self.nulls else f"CAST({x} AS DOUBLE)"
+
     def _numbers(self, place: Place, x: str, names: set | None, integral: bool) -> list[str]:
         parts = []
         if names is not None and "number" not in names:
@@ -115,7 +120,8 @@ class ColumnCompiler:
                 return ["false"]
             if not integral:
                 parts.append(f"({x} % 1 = 0)")
-        return parts + [self.variants.numeric(k, f"CAST({x} AS DOUBLE)", place.schema[k]) for k in NUMERIC if k in place.schema]
+        as_double = x if x.startswith("CAST(") else f"CAST({x} AS DOUBLE)"
+        return parts + [self.variants.numeric(k, as_double, place.schema[k]) for k in NUMERIC if k in place.schema]
 
     def _texts(self, place: Place, x: str, names: set | None) -> list[str]:
         if names is not None and "string" not in names:
@@ -133,7 +139,7 @@ class ColumnCompiler:
         if isinstance(kind, (*_INTEGRAL, T.DecimalType)):
             return within(f"CAST({x} AS DOUBLE)", numbers)
         if isinstance(kind, _FLOATING):
-            return either([f"coalesce({within(f'CAST({x} AS DOUBLE)', numbers)}, false)", within(f"CAST({x} AS STRING)", [t for t in texts if t in ("'NaN'", "'Infinity'", "'-Infinity'")])])
+            return either([f"coalesce({within(self._exact(x, kind), numbers)}, false)", within(f"CAST({x} AS STRING)", [t for t in texts if not self.nulls and t in ("'NaN'", "'Infinity'", "'-Infinity'")])])
         if isinstance(kind, T.StringType):
             return within(x, texts)
         raise Untyped
