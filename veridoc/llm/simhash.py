@@ -42,7 +42,7 @@ BUCKET = 64
 NEAR_SHINGLE, NEAR = 5, 0.8
 PRINTS = 6
 NEAR_BITS = 64 * PRINTS * 16 // 100
-NEAREST = 4
+NEAREST = 2
 BLOCK = 512
 FEW = 250_000
 _PS = [f"p{i}" for i in range(PRINTS)]
