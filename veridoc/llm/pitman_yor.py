@@ -639,9 +639,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         gram_dests = max(2, dests // DESTS_A_GRAM_DEST)
         held = crc_mod("doc_id", FOLDS) == HELD
         dealt = source.select("doc_id", "text", held.alias("held_out"), (~held).alias("train"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
-        requests = materialize(dealt.groupBy("block").applyInArrow(_requests(dests), REQUESTS))
+        requests = dealt.groupBy("block").applyInArrow(_requests(dests), REQUESTS)  # read once
         paired = materialize(requests.groupBy("dest").applyInArrow(_paired, PAIRED))
-        discard(requests)
         pairs, places = paired.where("block is null").select(*_PAIR_NAMES), paired.where("block is not null").select("block", "dest", "at", "place")
         once, twice = pairs.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("once", "twice"))).first()
         pair_discount = _discount(once, twice)
