@@ -193,10 +193,10 @@ def word_prints(text: str | None) -> np.ndarray:
 
 
 def shingle_set(text: str | None, shingle: int = NEAR_SHINGLE) -> np.ndarray:
-    """The sorted hashes of a text's distinct shingles; a shorter text is one, a text without words the empty one."""
+    """The sorted 32-bit hashes of a text's distinct shingles; a shorter text is one, a text without words the empty one."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     found = {b" ".join(words)} if len(words) < shingle else set(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
-    return np.sort(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in found), np.uint64, len(found)))
+    return np.unique(np.fromiter(map(xxhash.xxh32_intdigest, found), np.uint32, len(found)))
 
 
 def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +235,7 @@ def _met(similarity: float):
 
     def run(members: pa.Table) -> pa.Table:
         node, root = (members.column(x).to_numpy().copy() for x in ("node", "root"))
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in members.column("shingles")]
+        sets = [np.frombuffer(x.as_py(), np.uint32) for x in members.column("shingles")]
         size, shared = np.array([len(x) for x in sets]), _shared_shingles(sets)
         near = (shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-9) & (root[:, None] != root[None, :])
         us, vs = [], []
@@ -292,7 +292,7 @@ def _similar(similarity: float):
         for batch in batches:
             good = []
             for a, b in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (a, b))
+                x, y = (np.frombuffer(s.as_py(), np.uint32) for s in (a, b))
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
