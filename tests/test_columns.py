@@ -102,6 +102,15 @@ def test_typed_plan_has_no_documents(spark):
     assert v.count_valid(df, "doc", "struct").first()["n_valid"] == 1
 
 
+def test_unique_numbers_of_typed_arrays(spark):
+    prepare(spark)
+    rows = [[1.0, 2.0], [0.0, -0.0], [None, None], [float("nan"), float("nan")], [1.5, None], [], [float("inf"), float("-inf")]]
+    df = spark.createDataFrame([(i, (r,)) for i, r in enumerate(rows)], "id int, doc struct<a: array<double>>")
+    v = Validator({"properties": {"a": {"uniqueItems": True}}})
+    got = [(r["c"], r["v"]) for r in df.select("id", v.verdict(df, "doc", "struct").alias("c"), v.is_valid("doc", "struct").alias("v")).orderBy("id").collect()]
+    assert [c for c, _ in got] == [True, False, False, False, True, True, True] and all(c == x for c, x in got), got
+
+
 def test_options_take_effect_before_judging(spark):
     schema = {"type": "object", "properties": {"a": {"type": "integer"}, "b": {"default": "x", "type": "string"}}, "required": ["a", "b"], "additionalProperties": False}
     docs = spark.createDataFrame([(1, '{"a":"5"}'), (2, '{"a":"z"}'), (3, '{"a":1,"b":"y","c":2}'), (4, "{")], "id int, doc string")

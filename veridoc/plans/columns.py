@@ -156,9 +156,11 @@ class ColumnCompiler:
         if "maxItems" in schema:
             parts.append(f"(size({x}) <= {int(schema['maxItems'])})")
         if schema.get("uniqueItems"):
-            if not isinstance(of, (*_INTEGRAL, T.StringType, T.BooleanType)):
+            if not isinstance(of, (*_INTEGRAL, *_FLOATING, T.DecimalType, T.StringType, T.BooleanType)):
                 raise Untyped
-            parts.append(f"(size(array_distinct({x})) = size({x}))")
+            e = fresh()
+            values = f"transform({x}, {e} -> {e} + 0.0D)" if isinstance(of, _FLOATING) else x  # zero has one sign
+            parts.append(f"(size(array_distinct({values})) = size({x}))")
         prefix = schema.get("prefixItems", [])
         for i, s in enumerate(prefix):
             check = self._element(self._inside(place, s), f"get({x}, {i})", of)
