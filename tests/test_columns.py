@@ -178,3 +178,24 @@ def test_deep_documents(spark):
     v = Validator(tree)
     assert [r[0] for r in spark.createDataFrame([(d,) for d in docs], "doc string").select(v.is_valid("doc")).collect()] == [True, False, True]
     assert Validator({"$ref": "#"}).errors_of(1)
+
+
+@pytest.mark.parametrize("level, leaf", [
+    ({"allOf": [{"$ref": "N"}, {"properties": {"a": {"$ref": "N"}}}]}, {"type": ["object", "integer"]}),
+    ({"allOf": [{"$ref": "N"}, {"type": "object", "required": ["a"], "properties": {"a": {"$ref": "N"}}}]}, {"type": "object", "required": ["a"]}),
+    ({"required": ["k"], "properties": {"a": {"$ref": "N"}, "k": {"minimum": 5}}, "allOf": [{"$ref": "N"}]}, {"maxLength": 2, "minimum": 3, "not": {"type": "boolean"}}),
+    ({"allOf": [{"$ref": "N"}, {"properties": {"a": {"$ref": "N"}, "k": False}}], "dependentRequired": {"a": ["b"]}}, {"anyOf": [{"type": "object"}, {"enum": [None, 1]}]}),
+])
+def test_merged_references_are_judged_in_sql(spark, level, leaf):
+    """Over 400 references that fan out are merged into little SQL, which says what the interpreter says."""
+    prepare(spark)
+    at = lambda i: json.loads(json.dumps(level).replace('"N"', f'"#/$defs/d{i + 1}"'))
+    v = Validator({"$ref": "#/$defs/d0", "$defs": {**{f"d{i}": at(i) for i in range(16)}, "d16": leaf}})
+    inner = [1, 4, 2.5, None, True, "x", "long", [], {}, {"k": 4}, {"k": "x", "a": 4}, {"a": {}}, {"a": 1, "b": 1}, {"a": None, "b": {"a": 1}}, {"k": {"k": 5}, "a": {"k": 3}}]
+    deep = json.loads('{"a":' * 20 + "{}" + "}" * 20)
+    docs = [*inner, *({"a": x} for x in inner), *({"a": x, "k": x, "b": 1} for x in inner), *({"a": {"a": x, "k": 7, "b": 0}, "k": 8, "b": 1} for x in inner), deep]
+    df = spark.createDataFrame([(json.dumps(d),) for d in docs] + [("{",)], "doc string")
+    assert v.plan(df, "doc") == "variant"
+    want = [not v.errors_of(d) for d in docs] + [False]
+    assert [r["valid"] for r in v.with_valid(df, "doc").collect()] == [r[0] for r in df.select(v.is_valid("doc")).collect()] == want
+    assert v.filter_valid(df, "doc").count() == sum(want)

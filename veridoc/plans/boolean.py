@@ -10,7 +10,7 @@ from veridoc.functions import formats
 from veridoc.functions.regex import to_java
 from veridoc.functions.text import both, either, fresh, let, negate, number, quote
 from veridoc.schema.normalize import SchemaError
-from veridoc.schema.resolve import Place, Resources
+from veridoc.schema.resolve import MOST_TEXT, Place, Resources, TooManyReferences
 
 NUMERIC = ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf")
 TEXTUAL = ("minLength", "maxLength", "pattern", "format")
@@ -40,6 +40,37 @@ class Part(str):
         return Part(self.root, f"{self.path}.{key}")
 
 
+class Merged(str):
+    """A conjunction that holds each of its parts once; a part with a path counts only where something is there."""
+
+    parts: dict[tuple[Part | None, str], None]
+
+    def __new__(cls, checks: list[str]) -> Merged:
+        parts = {x: None for c in checks if c != "true" for x in (c.parts if isinstance(c, Merged) else {(None, c): None})}
+        self = super().__new__(cls, _nested(list(parts), None))
+        self.parts = parts
+        return self
+
+    @classmethod
+    def below(cls, path: Part, check: str) -> Merged:
+        """The check, where something is at the path; where something is at a longer one, something is at the path."""
+        parts = {(own or path, c): None for own, c in cls([check]).parts}
+        self = super().__new__(cls, _nested(list(parts), None))
+        self.parts = parts
+        return self
+
+
+def _nested(parts: list[tuple[Part | None, str]], at: Part | None) -> str:
+    """The parts at a path, and below it those of each longer one, which is looked at once."""
+    here, deeper = [c for path, c in parts if path == at], [x for x in parts if x[0] != at]
+    while deeper:
+        top = min((path for path, _ in deeper), key=lambda x: len(x.path))
+        inside = lambda x, top=top: x[0] == top or x[0].root == top.root and x[0].path.startswith(f"{top.path}.")
+        here.append(either([f"{top} IS NULL", _nested([x for x in deeper if inside(x)], top)]))
+        deeper = [x for x in deeper if not inside(x)]
+    return both(here)
+
+
 def as_map(v: str) -> str:
     return f"try_cast({v} AS MAP<STRING, VARIANT>)"
 
@@ -169,26 +200,44 @@ def by_path(schema: dict) -> bool:
 
 
 class BooleanCompiler:
-    """Compiles the verdict of a schema on a variant."""
+    """Compiles the verdict of a schema on a variant.
 
-    def __init__(self, resources: Resources, custom: dict[str, str] | None = None):
+    merge: what several references ask of the same value is asked once, and a definition is compiled once
+    for each value, so references that fan out through conjunctions and named keys make little text.
+    """
+
+    def __init__(self, resources: Resources, custom: dict[str, str] | None = None, merge: bool = False):
         #: Custom formats as SQL templates with {} for the text.
-        self.resources, self.custom = resources, custom or {}
+        self.resources, self.custom, self.merge = resources, custom or {}, merge
+        self._all = Merged if merge else both
+        self._known: dict[tuple, str] = {}
 
     def compile(self, place: Place, v: str) -> str:
         """SQL that is true if the variant named v (not null) fits."""
+        if isinstance(place.schema, bool):
+            return str(place.schema).lower()
+        if not self.merge:
+            return self._compiled(place, v)
+        key = id(place.schema), place.base, place.scope, str(v)
+        if key not in self._known:
+            self._known[key] = self._compiled(place, v)
+            if len(self._known[key]) > MOST_TEXT:
+                raise TooManyReferences(f"over {MOST_TEXT} characters")
+        return self._known[key]
+
+    def _compiled(self, place: Place, v: str) -> str:
         schema = place.schema
-        if isinstance(schema, bool):
-            return str(schema).lower()
         names = schema.get("type")
         names = [names] if isinstance(names, str) else names
-        rest = lambda: both([*self._any_kind(place, v), *self._by_kind(place, v, names)])
+        rest = lambda: self._all([*self._any_kind(place, v), *self._by_kind(place, v, names)])
         if names is None or names == ["object"] and schema.get("required") and by_path(schema):
             return rest()  # what has a key is an object
         test = either([is_type(v, n) for n in dict.fromkeys(names) if n != "integer" or "number" not in names])
         checks = rest()
         if checks == "true":
             return f"coalesce({test}, false)"
+        if self.merge:
+            return Merged([f"coalesce({test}, false)", checks])
         return f"CASE WHEN {test} THEN {checks} ELSE false END"
 
     def sub(self, place: Place, schema: Any, v: str) -> str:
@@ -308,10 +357,14 @@ class BooleanCompiler:
                 parts.append(either([negate(there(k)), both([there(n) for n in others])]))
         for k, s in schema.get("properties", {}).items():
             check = self.sub(place, s, v.at(k))
-            if check != "true":
+            if check != "true" and self.merge:
+                parts.append(Merged.below(v.at(k), check))
+            elif check != "true":
                 parts.append(check if k in schema.get("required", []) else f"({v.at(k)} IS NULL OR {check})")
         for k, s in schema.get("dependentSchemas", {}).items():
             parts.append(either([negate(there(k)), self.sub(place, s, v)]))
+        if self.merge:
+            return Merged([needed if known else either([needed, negate(is_type(v, "object"))]), *parts])
         if known or needed == "true":
             return both([needed, *parts])
         return f"CASE WHEN {needed} THEN {both(parts)} ELSE {negate(is_type(v, 'object'))} END"

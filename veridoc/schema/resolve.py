@@ -18,8 +18,10 @@ class TooManyReferences(RecursiveSchema):
     """Written out, the references would make more text than Spark can take."""
 
 
-#: References that are written out into one expression, at most; schemas with more go through the interpreter.
+#: References that are written out into one expression, at most. Of schemas with more, what several ask of a value is merged;
+#: if that follows more than so many, or makes more than so many characters, they go through the interpreter.
 MOST_REFERENCES = 400
+MOST_MERGED, MOST_TEXT = 5_000, 100_000
 
 
 @dataclass(frozen=True)
@@ -46,6 +48,7 @@ class Resources:
     dynamic: dict[tuple[str, str], Schema] = field(default_factory=dict)
     base_of: dict[int, str] = field(default_factory=dict)
     followed: int = 0
+    most: int = MOST_REFERENCES
     seen: list[Schema] = field(default_factory=list)
 
     def __getstate__(self) -> dict[str, Any]:
@@ -143,7 +146,7 @@ class Resources:
             raise RecursiveSchema(f"{ref} leads back to itself")
         if not recursive:
             self.followed += 1
-            if self.followed > MOST_REFERENCES:
-                raise TooManyReferences(f"over {MOST_REFERENCES} references")
+            if self.followed > self.most:
+                raise TooManyReferences(f"over {self.most} references")
         scope = place.scope if base == place.base else (*place.scope, base)
         return Place(target, base, scope if not recursive else scope[:64], place.open_refs if recursive else (*place.open_refs, id(target)))
