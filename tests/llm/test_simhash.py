@@ -149,3 +149,24 @@ def test_near_copies_of_the_supplied_documents(spark):
     want = {min(c) for c in plain_classes(docs)}
     gone = {i for i, _ in docs} - want
     assert want <= got and len(got - want) <= 0.03 * len(gone)
+
+
+@pytest.mark.parametrize("settings", [{}, {"bucket": 4, "block": 16, "few": 0}])
+def test_no_near_copy_is_lost(spark, settings):
+    """Short texts around common lines, whose fingerprints are far apart and whose buckets are crowded: the classes of brute force."""
+    draw = np.random.default_rng(11)
+    lines = [[f"l{i}x{j}" for j in range(int(draw.integers(8, 40)))] for i in range(6)]
+    docs = []
+    for i in range(500):
+        line = lines[int(draw.integers(0, 6))]
+        own = [f"o{int(x)}" for x in draw.integers(0, 300, int(draw.integers(0, 9)))]
+        docs.append((i, " ".join(line + own if i % 3 else own + line)))
+    docs += [(1000 + i, " ".join(f"c{j}" for j in range(i, i + 40))) for i in range(30)]
+    got = sorted(r["doc_id"] for r in S.deduplicate(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), **settings).collect())
+    assert got == sorted(min(c) for c in plain_classes(docs))
+
+
+def test_near_copies_of_the_supplied_documents_are_those_of_brute_force(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    got = {r["doc_id"] for r in S.deduplicate(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert got == {min(c) for c in plain_classes(docs)}

@@ -27,10 +27,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import components, materialize, table, work_tables
+from veridoc.llm.common import components, discard, materialize, table, work_tables
 
 SHINGLE = 3
 SEED = 42
@@ -45,6 +45,12 @@ NEAR_BITS = 64 * PRINTS * 16 // 100
 NEAREST = 2
 BLOCK = 512
 FEW = 250_000
+#: The order of shingles, which decides the time only: texts that are counted at least and at most, if there are so many,
+#: the share of them (one in SHARE) between, and the frequent shingles that are known.
+LEAST_COUNTED, MOST_COUNTED, SHARE = 10_000, 100_000, 16
+FREQUENT = 500_000
+#: Columns with the parities of a set's hashes by residue.
+_QS = [f"q{i}" for i in range(8)]
 _PS = [f"p{i}" for i in range(PRINTS)]
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _SALTS = np.arange(1, PRINTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -199,11 +205,17 @@ def shingle_set(text: str | None, shingle: int = NEAR_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh32_intdigest, found), np.uint32, len(found)))
 
 
-def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = np.array([word_prints(t.as_py()) for t in batch.column(1)], np.uint64).reshape(-1, PRINTS).view(np.int64)
-        columns = [batch.column(0), batch.column(2), batch.column(3), *(pa.array(np.ascontiguousarray(prints[:, i])) for i in range(PRINTS))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t1", "t2", *_PS])
+def _printed(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            prints = np.array([word_prints(t) for t in texts], np.uint64).reshape(-1, PRINTS).view(np.int64)
+            found = [shingle_set(t, shingle) for t in texts]
+            columns = [batch.column(0), batch.column(2), batch.column(3), *(pa.array(np.ascontiguousarray(prints[:, i])) for i in range(PRINTS))]
+            columns += [pa.array([len(x) for x in found], pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t1", "t2", *_PS, "n", "shingles"])
+
+    return run
 
 
 def _print_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,38 +229,6 @@ def _print_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(keys | np.int64(i << 40)), pa.array(node[rows])], names=["key", "node"])
 
 
-def _shared_shingles(sets: list[np.ndarray], columns: int = 20_000) -> np.ndarray:
-    """How many shingles each two of the sets have in common."""
-    out = np.zeros((len(sets), len(sets)))
-    distinct, place = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    for at in range(0, len(distinct), columns):
-        own = (place >= at) & (place < at + columns)
-        has = np.zeros((len(sets), min(columns, len(distinct) - at)), np.float32)
-        has[row[own], place[own] - at] = 1
-        out += has @ has.T
-    return out
-
-
-def _met(similarity: float):
-    """Of a bucket of bounded size, the links between nodes with different roots, by their whole sets; those that connect."""
-
-    def run(members: pa.Table) -> pa.Table:
-        node, root = (members.column(x).to_numpy().copy() for x in ("node", "root"))
-        sets = [np.frombuffer(x.as_py(), np.uint32) for x in members.column("shingles")]
-        size, shared = np.array([len(x) for x in sets]), _shared_shingles(sets)
-        near = (shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-9) & (root[:, None] != root[None, :])
-        us, vs = [], []
-        for i, j in zip(*np.nonzero(np.triu(near, 1))):
-            if root[i] != root[j]:
-                us.append(node[i])
-                vs.append(node[j])
-                root[root == root[j]] = root[i]
-        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
-
-    return run
-
-
 def _nearest_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each two blocks of a crowded bucket: a spanning forest of the least distances, and each member's nearest."""
     for batch in batches:
@@ -278,15 +258,6 @@ def _nearest_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
 
-def _sets(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(t.as_py(), shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "n", "shingles"])
-
-    return run
-
-
 def _similar(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,18 +290,89 @@ def _closest(shared: DataFrame, prints: DataFrame, block: int) -> DataFrame:
     return stars.union(met.where(F.size("members") > 1).select("members").mapInArrow(_nearest_pairs, "u long, v long"))
 
 
-def _between(shared: DataFrame, roots: DataFrame, sets: DataFrame, bucket: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Links of small buckets between nodes of different roots; and, of larger buckets, pairs of such nodes with the first one."""
-    rooted = shared.join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"))
-    small = rooted.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list(F.struct("node", "root")).alias("members"), (F.min("root") != F.max("root")).alias("open"))
-    # The same texts often share several buckets: they meet once.
-    once = small.where("open").groupBy(F.sort_array("members").alias("members")).agg(F.min("key").alias("key"))
-    each = once.select("key", F.explode("members").alias("e")).select("key", "e.node", "e.root").join(sets.select("node", "shingles"), "node")
-    met = each.groupBy("key").applyInArrow(_met(similarity), "u long, v long")  # a small bucket each
-    large = rooted.where(F.col("n") > bucket)
-    first = large.groupBy("key").agg(F.min(F.struct("node", "root")).alias("first"))
-    stars = large.join(first, "key").where(F.col("root") != F.col("first.root")).select(F.col("first.node").alias("u"), F.col("node").alias("v"))
-    return met, stars
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            values = b"".join(x.as_py() for x in batch.column(0).slice(at, 500))
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(values, np.int32))], names=["key"])
+
+
+def _frequent(sets: DataFrame, n_sets: int, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles expected in over ``bucket`` sets, sorted, and their places in the order of frequency, from a share of the sets."""
+    step = max(1, n_sets // min(max(LEAST_COUNTED, n_sets // SHARE), MOST_COUNTED))
+    counted = sets.where(F.pmod(F.xxhash64("node"), F.lit(step)) == 0).select("shingles").mapInArrow(_hashes, "key int")
+    often = counted.groupBy("key").count().where((F.col("count") > 1) & (F.col("count") * step > bucket))
+    often = often.orderBy(F.desc("count"), "key").limit(FREQUENT).select("key").toArrow()
+    keys = often.column(0).to_numpy().view(np.uint32)[::-1]
+    order = np.argsort(keys)
+    return keys[order], order
+
+
+def _first_shingles(similarity: float, frequent: np.ndarray, place: np.ndarray):
+    """Of each set, those first in the order: so many that two similar sets have one of them in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for x in batch.column(2):
+                own = np.frombuffer(x.as_py(), np.uint32)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+                    hit = frequent[at] == own
+                    own = np.concatenate([own[~hit], own[hit][np.argsort(place[at[hit]])]])
+                found.append(own[: len(own) - int(np.ceil(similarity * len(own) - 1e-6)) + 1])
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            values = np.concatenate([np.zeros(0, np.uint32), *found]).view(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["node", "n", "keys"])
+
+    return run
+
+
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each residue of the hashes, whether an odd number of a set's has it: two sets differ in as many shingles at least."""
+    for batch in batches:
+        odd = [np.bincount(np.frombuffer(x.as_py(), np.uint32) % (64 * len(_QS)), minlength=64 * len(_QS)) & 1 for x in batch.column(1)]
+        bits = np.packbits(np.array(odd, np.uint8).reshape(-1, 64 * len(_QS)), axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(_QS)))], names=["node", *_QS])
+
+
+def _meetings(spark: SparkSession, sets: DataFrame, rooted: DataFrame, n_sets: int, bucket: int, similarity: float, few: int) -> DataFrame:
+    """Nodes by the shingles (key) at which any two of them with different roots can be found to be similar.
+
+    rooted has each node once, and its root. All sets are in one order of shingles, the frequent ones last. Similar sets
+    of n and m shingles have similarity * n of them in common at least, so one is among the first n - similarity * n + 1
+    of both. left is how many shingles a set has from the key on.
+    """
+    firsts = sets.select("node", "n", "shingles").mapInArrow(_first_shingles(similarity, *_frequent(sets, n_sets, bucket)), "node long, n int, keys array<int>")
+    each = firsts.join(rooted, "node").select("node", "root", "n", F.posexplode("keys").alias("at", "key"))
+    met = materialize(_several(each.select("key", "node", "root", "n", (F.col("n") - F.col("at")).alias("left"))))
+    odd = materialize(sets.select("node", "shingles").mapInArrow(_parities, f"node long, {', '.join(f'{q} long' for q in _QS)}"))
+    out = materialize(met.join(_checked(spark, odd, few), "node"))
+    discard(met)
+    discard(odd)
+    return out
+
+
+def _several(meetings: DataFrame) -> DataFrame:
+    """The meetings at keys whose nodes have several roots."""
+    own = Window.partitionBy("key")
+    return meetings.withColumns({"least": F.min("root").over(own), "most": F.max("root").over(own)}).where("least != most").drop("least", "most")
+
+
+def _meeting_pairs(a: DataFrame, b: DataFrame, similarity: float) -> DataFrame:
+    """The different pairs (u, v) of a node of a and one of b that meet with different roots and can be similar.
+
+    The sizes must do for it; where the first shingle that two sets share is, what is left from there on; and the parities.
+    """
+    same = a is b
+    a, b = (x.select("key", *(F.col(c).alias(f"{name}_{c}") for c in ("node", "root", "n", "left", *_QS))) for name, x in (("u", a), ("v", b)))
+    sizes = F.least("u_n", "v_n") >= similarity * F.greatest("u_n", "v_n") - 1e-6
+    enough = (1 + similarity) * F.least("u_left", "v_left") >= similarity * (F.col("u_n") + F.col("v_n")) - 1e-6
+    bits = [F.bit_count(F.col(f"u_{q}").bitwiseXOR(F.col(f"v_{q}"))) for q in _QS]
+    close = (1 + similarity) * sum(bits[1:], bits[0]) <= (1 - similarity) * (F.col("u_n") + F.col("v_n")) + 1e-6
+    once = F.col("u_node") < F.col("v_node") if same else F.lit(True)
+    met = a.join(b, "key").where(once & (F.col("u_root") != F.col("v_root")) & sizes & enough & close)
+    return met.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")).distinct()
 
 
 def _checked(spark: SparkSession, df: DataFrame, few: int) -> DataFrame:
@@ -346,33 +388,47 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     them within a few, so candidates are found by ``PRINTS`` of those, each with the Golay keys above, and every
     candidate is verified on the whole sets. Equal texts are one text. First each text is compared, in its largest bucket,
     with the bucket's first and with the closest in every two blocks of the bucket's texts, which connects copies of one
-    text however many there are. Then what is not yet connected is compared: all texts of a bucket of up to ``bucket``,
-    and those of a larger one with its first.
+    text however many there are. Then every two texts that are not yet connected and can be similar are compared: those
+    that share one of their first shingles in a common order, in which shingles expected in over ``bucket`` texts come
+    last. That leaves out no pair (of 32-bit hashes of shingles), so the classes are those of comparing all pairs. Before
+    all of them, those with the first text of each such shingle are, which leaves fewer where groups are large.
     """
     with work_tables() as work:
         spark = docs.sparkSession
         t1, t2 = F.xxhash64("veridoc_text").alias("t1"), F.xxhash64(F.lit(7), "veridoc_text").alias("t2")
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("veridoc_text")).select("doc_id", "veridoc_text", t1, t2)
-        marked = materialize(source.mapInArrow(_printed, f"doc_id long, t1 long, t2 long, {', '.join(f'{p} long' for p in _PS)}"))
-        firsts = materialize(marked.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), *(F.first(p).alias(p) for p in _PS)).withColumn("node", F.monotonically_increasing_id()))
+        marked = source.mapInArrow(_printed(shingle), f"doc_id long, t1 long, t2 long, {', '.join(f'{p} long' for p in _PS)}, n int, shingles binary")
+        marked = materialize(marked.withColumn("row", F.monotonically_increasing_id()))
+        firsts = materialize(marked.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.min("row").alias("node"), *(F.first(p).alias(p) for p in _PS)))
         prints = firsts.select("node", *_PS)
         keyed = prints.mapInArrow(_print_keys, "key long, node long")
         shared = materialize(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
-        nodes = shared.select("node").distinct().join(firsts.select("node", "t1", "t2"), "node")
-        texts = source.select("t1", "t2", "veridoc_text").join(_checked(spark, nodes, few), ["t1", "t2"]).groupBy("node").agg(F.first("veridoc_text").alias("text"))
-        sets = materialize(texts.mapInArrow(_sets(shingle), "node long, n long, shingles binary"))
+        sets = marked.select(F.col("row").alias("node"), "n", "shingles")  # of all rows, those that are nodes and others
 
         def verified(pairs: DataFrame) -> DataFrame:
-            left, right = (sets.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("shingles").alias(f"{x}_set")) for x in ("u", "v"))
-            sized = pairs.join(left.drop("u_set"), "u").join(right.drop("v_set"), "v").where(F.least("u_n", "v_n") >= similarity * F.greatest("u_n", "v_n") - 1e-9)
-            whole = sized.select("u", "v").join(left, "u").join(right, "v")
+            left, right = (sets.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n")) for x in ("u", "v"))
+            sized = materialize(pairs.join(left, "u").join(right, "v").where(F.least("u_n", "v_n") >= similarity * F.greatest("u_n", "v_n") - 1e-9).select("u", "v"))
+            needed = sized.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+            own = sets.join(_checked(spark, needed, few), "node", "left_semi")  # only these are sent
+            left, right = (own.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_set")) for x in ("u", "v"))
+            whole = sized.join(left, "u").join(right, "v")
             return materialize(whole.select("u", "v", "u_set", "v_set").mapInArrow(_similar(similarity), "u long, v long"))
 
         rooted = lambda links: components(links).withColumnsRenamed({"u": "node", "v": "root"})
         first_links = verified(_near(_closest(shared, prints, block), prints))
-        met, stars = _between(shared, rooted(first_links), sets, bucket, similarity)
-        roots = rooted(first_links.union(verified(_near(stars, prints))).union(materialize(met)))
+        discard(shared)
+        links, found = first_links, rooted(first_links)
+        of_each = lambda nodes: nodes.join(found, "node", "left").withColumn("root", F.coalesce(found["root"], "node"))
+        met = _meetings(spark, sets, _checked(spark, materialize(of_each(firsts.select("node"))), few), firsts.count(), bucket, similarity, few)
+        for last in (False, True):
+            hubs = met if last else met.join(met.groupBy("key").agg(F.min(F.struct("root", "node")).alias("hub")), "key").where("node = hub.node")
+            links = links.union(verified(_meeting_pairs(hubs, met, similarity)))
+            found, before = rooted(links), met
+            if not last:
+                met = materialize(_several(of_each(met.drop("root")).select(met.columns)))
+            discard(before)
+        roots = found
         classes = firsts.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
         least = classes.agg(F.min(F.struct(F.col("first").isNull().alias("no_id"), "first", "node", "t1", "t2")).alias("of"))
         kept = work.keep(materialize(least.select(F.col("of.first").alias("kept_id"), F.col("of.t1").alias("kept_1"), F.col("of.t2").alias("kept_2"))))
